@@ -28,7 +28,7 @@ def time_to_ms(text: Column, fmt: str = "srt") -> Column:
 
 
 def _div(a: Column, n: int) -> Column:
-    return F.floor(a / F.lit(n)).cast("bigint")
+    return F.call_function("div", a, F.lit(n))
 
 
 def ms_to_time(ms: Column, fmt: str = "srt") -> Column:

@@ -81,7 +81,7 @@ def match_serial(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
         edges.select(
             "media_id", F.col("src_idx").cast("int"), F.col("ref_idx").cast("int"),
             F.col("score").cast("double").alias("score"), F.col("near").cast("double").alias("near"),
-            F.floor(F.col("src_idx") / chunk).cast("bigint").alias("_chunk"),
+            F.call_function("div", F.col("src_idx"), F.lit(chunk)).alias("_chunk"),
         ),
         "edges",
     )

@@ -15,7 +15,7 @@ CHUNK_MS = 600_000
 
 def time_chunk(ms: Column, width: int = CHUNK_MS) -> Column:
     """Chunk number of a time in ms (or, with another width, of a cue index)."""
-    return F.floor(ms / F.lit(width)).cast("bigint")
+    return F.call_function("div", ms, F.lit(width))
 
 
 def running_sum(
@@ -45,8 +45,8 @@ def number_rows(
 ) -> DataFrame:
     """Dense 0-based position in (by, *tie) order within ``keys``."""
     chunked = df.withColumn("_chunk", time_chunk(F.col(by), width)).withColumn("_one", F.lit(1).cast("bigint"))
-    summed = running_sum(chunked, keys, "_chunk", [by, *tie], "_one", "_pos")
-    return summed.withColumn(out, (F.col("_pos") - 1).cast("int")).drop("_chunk", "_one", "_pos")
+    summed = running_sum(chunked, keys, "_chunk", [by, *tie], "_one", "_n")
+    return summed.withColumn(out, (F.col("_n") - 1).cast("int")).drop("_chunk", "_one", "_n")
 
 
 def with_neighbour(

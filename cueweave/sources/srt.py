@@ -71,7 +71,7 @@ def dedup(cues: DataFrame) -> DataFrame:
 
     A grouped minimum, so copies collapse map-side before the shuffle.
     """
-    tick = [F.floor((F.col(c) + 5) / 10).alias(f"_{c}") for c in ("start_ms", "end_ms")]
+    tick = [F.call_function("div", F.col(c) + 5, F.lit(10)).alias(f"_{c}") for c in ("start_ms", "end_ms")]
     return (
         cues.groupBy("media_id", *tick, "text")
         .agg(F.min(F.struct("cue_idx", "start_ms", "end_ms")).alias("c"))

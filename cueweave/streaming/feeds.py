@@ -41,7 +41,7 @@ def ingest(spark: SparkSession, path: str, checkpoint: str, sink: str, glob: str
 
 def dedup(feed: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeated cues of a media within the watermark delay; later rows are dropped."""
-    tick = [F.floor((F.col(c) + 5) / 10).alias(f"{c}_tick") for c in ("start_ms", "end_ms")]
+    tick = [F.call_function("div", F.col(c) + 5, F.lit(10)).alias(f"{c}_tick") for c in ("start_ms", "end_ms")]
     return (
         feed.withWatermark("ts", delay).select("*", *tick)
         .dropDuplicatesWithinWatermark(["media_id", "start_ms_tick", "end_ms_tick", "text"])
