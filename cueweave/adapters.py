@@ -23,7 +23,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for mark in ".?!":
         text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
-    pieces = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("media_id"), "lang", "source", pieces.alias("ls")
     )

@@ -493,11 +493,10 @@ def _near_texts(s: SparkSession, d: str) -> DataFrame:
 
 @query("similarity_scores")
 def _(s, d):
-    def ascii_form(c: str) -> Column:
-        return tx.norm_text(F.regexp_replace(c, r"[^\x{20}-\x{7E}]", ""))
-    pairs = _near_texts(s, d).withColumn("_x", ascii_form("_a")).withColumn("_y", ascii_form("_b"))
+    ascii_only = [F.regexp_replace(c, r"[^\x{20}-\x{7E}]", "").alias(c) for c in ("_a", "_b")]
+    pairs = _near_texts(s, d).select("media_id", "a_idx", "b_idx", *ascii_only)
     names = ("jaccard", "cosine", "edit", "length", "common")
-    scored = sj.pair_scores(pairs, "_x", "_y", names)
+    scored = sj.pair_scores(sj.profiled(sj.profiled(pairs, "_a", "_p"), "_b", "_q"), "_p", "_q", names)
     cols = {n: F.col(f"s_{n}") for n in names}
     return scored.select(
         "media_id", "a_idx", "b_idx", *[r6(c).alias(n) for n, c in cols.items()],
@@ -508,7 +507,8 @@ def _(s, d):
 
 @query("similarity_combined")
 def _(s, d):
-    return sj.combined(_near_texts(s, d), "_a", "_b").select("media_id", "a_idx", "b_idx", r6("similarity").alias("similarity"))
+    pairs = sj.profiled(sj.profiled(_near_texts(s, d), "_a", "_p"), "_b", "_q")
+    return sj.pair_scores(pairs, "_p", "_q").select("media_id", "a_idx", "b_idx", r6(sj.total_score()).alias("similarity"))
 
 
 # ---- filters ---------------------------------------------------------------------

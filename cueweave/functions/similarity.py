@@ -2,7 +2,7 @@
 
 Everything but the sequence ratio is a built-in expression; the ratio has no
 JVM counterpart and runs as one Arrow batch UDF on candidates that survived
-the cheap bound of :func:`upper_bound`.
+the bounds of the cheaper scores.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -39,30 +39,44 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def with_profile(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the struct ``out`` of a normalised text: distinct words, their counts, norm, non-stop words.
+
+    Built in steps, so that no lambda re-evaluates the split of the text.
+    """
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    split = df.withColumn("_w", words(F.col(text))).withColumn("_d", F.array_distinct("_w"))
+    counted = split.withColumn("_c", F.transform("_d", lambda w: F.size(F.filter("_w", lambda x: x == w)).cast("bigint")))
+    norm = F.sqrt(F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, c: s + c * c).cast("double"))
+    return counted.withColumn(
+        out,
+        F.struct(
+            F.col(text).alias("text"), F.col("_d").alias("words"), F.col("_c").alias("counts"),
+            norm.alias("norm"), F.array_except("_d", stop).alias("solid"),
+        ),
+    ).drop("_w", "_d", "_c")
+
+
 def _set_ratio(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def jaccard(a: Column, b: Column) -> Column:
+def jaccard(p: Column, q: Column) -> Column:
     """Word-set Jaccard; two empty texts are equal."""
-    w1, w2 = words(a), words(b)
+    w1, w2 = p["words"], q["words"]
     return F.when((F.size(w1) == 0) & (F.size(w2) == 0), 1.0).otherwise(_set_ratio(w1, w2))
 
 
-def _count(w: Column, all_words: Column) -> Column:
-    return F.size(F.filter(all_words, lambda x: x == w))
-
+def cosine(p: Column, q: Column) -> Column:
+    """Cosine of word counts over the shared words."""
+    def count(side: Column, w: Column) -> Column:
+        return F.element_at(side["counts"], F.array_position(side["words"], w).cast("int"))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of word counts. Sum over occurrences: each word adds its count once per occurrence."""
-    w1, w2 = words(a), words(b)
-
-    def weight(left: Column, right: Column) -> Column:
-        return F.aggregate(left, F.lit(0).cast("bigint"), lambda s, w: s + _count(w, right))
-
-    dot = weight(w1, w2)
-    norm = F.sqrt(weight(w1, w1).cast("double")) * F.sqrt(weight(w2, w2).cast("double"))
-    return F.when((F.size(w1) == 0) | (F.size(w2) == 0), 0.0).otherwise(dot / norm)
+    dot = F.aggregate(
+        F.array_intersect(p["words"], q["words"]), F.lit(0).cast("bigint"), lambda s, w: s + count(p, w) * count(q, w)
+    )
+    empty = (F.size(p["words"]) == 0) | (F.size(q["words"]) == 0)
+    return F.when(empty, 0.0).otherwise(dot / (p["norm"] * q["norm"]))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -75,9 +89,8 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(F.least(F.length(a), F.length(b)) / longest)
 
 
-def common_words(a: Column, b: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    w1, w2 = F.array_except(words(a), stop), F.array_except(words(b), stop)
+def common_words(p: Column, q: Column) -> Column:
+    w1, w2 = p["solid"], q["solid"]
     return (
         F.when((F.size(w1) == 0) & (F.size(w2) == 0), 1.0)
         .when((F.size(w1) == 0) | (F.size(w2) == 0), 0.0)
@@ -85,12 +98,13 @@ def common_words(a: Column, b: Column) -> Column:
     )
 
 
-def cheap_scores(a: Column, b: Column) -> dict[str, Column]:
-    """The five scores the JVM computes, on normalised texts."""
-    return {
-        "jaccard": jaccard(a, b), "cosine": cosine(a, b), "edit": edit_similarity(a, b),
-        "length": length_ratio(a, b), "common": common_words(a, b),
-    }
+def score(name: str, p: Column, q: Column) -> Column:
+    """One of the six scores for two profile structs."""
+    if name == "sequence":
+        return seq_ratio(p["text"], q["text"])
+    if name in ("edit", "length"):
+        return {"edit": edit_similarity, "length": length_ratio}[name](p["text"], q["text"])
+    return {"jaccard": jaccard, "cosine": cosine, "common": common_words}[name](p, q)
 
 
 def weighted(cols: dict[str, Column], weights: dict[str, float]) -> Column:

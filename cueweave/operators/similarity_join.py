@@ -11,29 +11,54 @@ from cueweave.operators.matching import best_per_reference, match_serial
 from cueweave.operators.timing import even_sample
 
 
-def pair_scores(pairs: DataFrame, a: str, b: str, names: tuple[str, ...] = tuple(sim.WEIGHTS)) -> DataFrame:
-    """Add one ``s_<name>`` column per score for normalised text columns ``a`` and ``b``."""
-    x, y = F.col(a), F.col(b)
-    cheap = sim.cheap_scores(x, y)
-    cols = {f"s_{n}": sim.seq_ratio(x, y) if n == "sequence" else cheap[n] for n in names}
-    return pairs.withColumns(cols)
-
-
-def combined(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
-    """Combined similarity of raw text columns; a blank side gives 0."""
-    norm = pairs.withColumn("_x", norm_text(F.col(a))).withColumn("_y", norm_text(F.col(b)))
-    scored = pair_scores(norm, "_x", "_y")
-    total = sim.weighted({n: F.col(f"s_{n}") for n in sim.WEIGHTS}, sim.WEIGHTS)
-    blank = (F.trim(F.col(a)) == "") | (F.trim(F.col(b)) == "")
-    return scored.withColumn(out, F.when(blank, 0.0).otherwise(total)).drop(
-        "_x", "_y", *[f"s_{n}" for n in sim.WEIGHTS]
+def profiled(cues: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the profile struct ``out`` of the normalised ``text`` of each row."""
+    return sim.with_profile(cues.withColumn("_norm", norm_text(F.col(text))), "_norm", out).drop("_norm")
+
+
+def pair_scores(pairs: DataFrame, p: str, q: str, names: tuple[str, ...] = tuple(sim.WEIGHTS)) -> DataFrame:
+    """Add one ``s_<name>`` column per score for the profile columns ``p`` and ``q``."""
+    return pairs.withColumns({f"s_{n}": sim.score(n, F.col(p), F.col(q)) for n in names})
+
+
+def total_score(weights: dict[str, float] = sim.WEIGHTS) -> Column:
+    return sim.weighted({n: F.col(f"s_{n}") for n in weights}, weights)
+
+
+def scores_above(pairs: DataFrame, p: str, q: str, min_score: float) -> DataFrame:
+    """All six scores of pairs whose combined score is >= ``min_score``, cheapest score first.
+
+    Each stage keeps the pairs that perfect remaining scores could still lift
+    to the threshold: lengths alone, then the word sets, then the edit
+    distance. The sequence ratio sees what is left.
+    """
+    x, y = F.col(p)["text"], F.col(q)["text"]
+    ratio = sim.WEIGHTS["sequence"] * F.col("_bound")
+    edit_room = sim.WEIGHTS["edit"] * F.col("s_length")
+    limit = min_score - 1e-9
+
+    def have(*names: str) -> Column:
+        return sim.weighted({n: F.col(f"s_{n}") for n in names}, {n: sim.WEIGHTS[n] for n in names})
+
+    sets = ("jaccard", "cosine", "common")
+    sized = pairs.withColumn("s_length", sim.length_ratio(x, y)).withColumn("_bound", sim.ratio_bound(x, y))
+    near = sized.where(0.5 + have("length") + ratio + edit_room >= limit)
+    worded = pair_scores(near, p, q, sets).where(have("length", *sets) + ratio + edit_room >= limit)
+    edited = pair_scores(worded, p, q, ("edit",)).where(have("length", "edit", *sets) + ratio >= limit)
+    return pair_scores(edited, p, q, ("sequence",)).drop("_bound").where(total_score() >= min_score)
+
+
+def prune_and_score(pairs: DataFrame, min_score: float, p: str = "_p", q: str = "_q") -> DataFrame:
+    """``similarity`` of pairs of profiles, keeping those >= ``min_score`` (above 0)."""
+    return scores_above(pairs, p, q, min_score).withColumn("similarity", total_score()).drop(
+        p, q, *[f"s_{n}" for n in sim.WEIGHTS]
     )
 
 
-def _firsts(cues: DataFrame, side: str) -> DataFrame:
-    """Distinct normalised texts of a track with their first index; equal texts score equally."""
+def _texts(cues: DataFrame, side: str) -> DataFrame:
+    """Distinct normalised texts of a track; the first index of a text is its id."""
     norm = cues.select("media_id", "cue_idx", norm_text(F.col("text")).alias(f"{side}_norm"))
-    return norm.groupBy("media_id", f"{side}_norm").agg(F.min("cue_idx").alias(f"{side}_first"))
+    return norm.groupBy("media_id", f"{side}_norm").agg(F.min("cue_idx").alias(f"{side}_id"))
 
 
 def _prefix_words(texts: DataFrame, side: str, need: float) -> DataFrame:
@@ -46,12 +71,12 @@ def _prefix_words(texts: DataFrame, side: str, need: float) -> DataFrame:
     share of the text's words, cosine by the root of the share of its squared
     counts (Cauchy-Schwarz), common by the share of its non-stop words.
     """
-    norm = f"{side}_norm"
-    words = texts.select("media_id", norm, F.explode(sim.words(F.col(norm))).alias("word")).groupBy(
-        "media_id", norm, "word"
-    ).agg(F.count("*").alias("tf"))
+    key = ["media_id", f"{side}_id"]
+    words = texts.select(*key, F.explode(sim.words(F.col(f"{side}_norm"))).alias("word")).groupBy(*key, "word").agg(
+        F.count("*").alias("tf")
+    )
     solid = (~F.col("word").isin(*sim.STOP_WORDS)).cast("int")
-    whole = Window.partitionBy("media_id", norm)
+    whole = Window.partitionBy(*key)
     upto = whole.orderBy(solid, F.length("word"), "word").rowsBetween(Window.unboundedPreceding, 0)
     squares = F.col("tf") * F.col("tf")
 
@@ -61,7 +86,7 @@ def _prefix_words(texts: DataFrame, side: str, need: float) -> DataFrame:
     all_solid = F.sum(solid).over(whole)
     common = F.when(all_solid > 0, F.sum(solid).over(upto) / F.greatest(all_solid, F.lit(1))).otherwise(1.0)
     bound = share(F.lit(1)) + F.sqrt(share(squares)) + 0.5 * common
-    return words.withColumn("_bound", bound).where(F.col("_bound") >= need - 1e-9).select("media_id", norm, "word")
+    return words.withColumn("_bound", bound).where(F.col("_bound") >= need - 1e-9).select(*key, "word")
 
 
 def text_pairs(src: DataFrame, ref: DataFrame, min_score: float) -> DataFrame:
@@ -69,38 +94,30 @@ def text_pairs(src: DataFrame, ref: DataFrame, min_score: float) -> DataFrame:
 
     Prefix filter: with every character score at its maximum of 1 a pair still
     needs jaccard + cosine + common / 2 >= 5 (min_score - 0.5), so its rarest
-    shared word is a prefix word on both sides. Length bounds, then the JVM
-    scores, then the edit distance thin the candidates out before the sequence
-    ratio sees them. Thresholds below 0.6 are refused: pairs without a common
-    word could reach them.
+    shared word is a prefix word on both sides. The word join carries text ids
+    only; texts are attached to the distinct id pairs. Thresholds below 0.6
+    are refused: pairs without a common word could reach them.
+    ``media_id, a_id, b_id, similarity, _var`` with the texts' first indexes as ids.
     """
     if min_score < 0.6:
         raise ValueError("similarity thresholds below 0.6 cannot be found through shared words")
     need = 5.0 * (min_score - 0.5)
-    left, right = _firsts(src, "a").drop("a_first"), _firsts(ref, "b").drop("b_first")
-    x, y = F.col("a_norm"), F.col("b_norm")
-    short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-    reachable = 0.5 + 0.5 * short / (short + long) + 0.25 * short / long
-    pairs = _prefix_words(left, "a", need).join(_prefix_words(right, "b", need), ["media_id", "word"]).where(
-        reachable >= min_score - 1e-9
-    ).select("media_id", "a_norm", "b_norm").distinct()
-    part = {n: F.col(f"s_{n}") for n in sim.WEIGHTS}
-    ratio_room = sim.WEIGHTS["sequence"] * sim.ratio_bound(x, y)
-    sets = pair_scores(pairs, "a_norm", "b_norm", ("jaccard", "cosine", "length", "common"))
-    known = sim.weighted({n: part[n] for n in ("jaccard", "cosine", "length", "common")}, sim.WEIGHTS)
-    close = sets.where(known + ratio_room + sim.WEIGHTS["edit"] * F.col("s_length") >= min_score - 1e-9)
-    edited = close.withColumn("s_edit", sim.edit_similarity(x, y)).where(
-        known + ratio_room + sim.WEIGHTS["edit"] * F.col("s_edit") >= min_score - 1e-9
-    )
-    full = edited.withColumn("s_sequence", sim.seq_ratio(x, y))
-    # Two empty texts score 1 everywhere but in cosine; there is one such text per track.
-    empty = left.where("a_norm = ''").join(right.where("b_norm = ''"), "media_id")
+    left, right = _texts(src, "a"), _texts(ref, "b")
+    pairs = _prefix_words(left, "a", need).join(_prefix_words(right, "b", need), ["media_id", "word"]).select(
+        "media_id", "a_id", "b_id"
+    ).distinct()
+    profiles_a = sim.with_profile(left, "a_norm", "_p").drop("a_norm")
+    profiles_b = sim.with_profile(right, "b_norm", "_q").drop("b_norm")
+    attached = pairs.join(profiles_a, ["media_id", "a_id"]).join(profiles_b, ["media_id", "b_id"])
+    full = scores_above(attached, "_p", "_q", min_score).drop("_p", "_q")
+    # Two empty texts score 1 everywhere but in cosine; a track has one such text at most.
+    empty = left.where("a_norm = ''").join(right.where("b_norm = ''"), "media_id").select("media_id", "a_id", "b_id")
     both = full.unionByName(
         empty.withColumns({f"s_{n}": F.lit(0.0 if n == "cosine" else 1.0) for n in sim.WEIGHTS})
     )
     return both.select(
-        "media_id", "a_norm", "b_norm", sim.weighted(part, sim.WEIGHTS).alias("similarity"),
-        sim.variance_penalty(list(part.values())).alias("_var"),
+        "media_id", "a_id", "b_id", total_score().alias("similarity"),
+        sim.variance_penalty([F.col(f"s_{n}") for n in sim.WEIGHTS]).alias("_var"),
     ).where(F.col("similarity") >= min_score)
 
 
@@ -110,14 +127,12 @@ def similarity_align(src: DataFrame, ref: DataFrame, min_confidence: float = 0.6
     ``media_id, src_idx, ref_idx, similarity, confidence``. Cue indexes are
     positions in their list, as the position penalty needs them.
     """
-    pairs = text_pairs(src, ref, min_confidence)
-    firsts = _firsts(ref, "b")
-    best = pairs.join(firsts, ["media_id", "b_norm"]).groupBy("media_id", "a_norm").agg(
+    best = text_pairs(src, ref, min_confidence).groupBy("media_id", "a_id").agg(
         F.max_by(
-            F.struct(F.col("b_first").alias("ref_idx"), "similarity", "_var"),
-            F.struct("similarity", (-F.col("b_first")).alias("t")),
+            F.struct(F.col("b_id").alias("ref_idx"), "similarity", "_var"),
+            F.struct("similarity", (-F.col("b_id")).alias("t")),
         ).alias("m")
-    ).select("media_id", "a_norm", "m.*")
+    ).select("media_id", "a_id", "m.*").join(_texts(src, "a"), ["media_id", "a_id"])
     sizes = src.groupBy("media_id").agg(F.count("*").alias("n_src")).join(
         ref.groupBy("media_id").agg(F.count("*").alias("n_ref")), "media_id"
     )
@@ -142,45 +157,28 @@ def similarity_sample(src: DataFrame, ref: DataFrame, k: int = 20, min_score: fl
     )
     center = "cue_idx * (n_ref - 1) div greatest(1L, n_src - 1)"
     window = "greatest(10L, n_ref div 10)"
-    wanted = even_sample(src, k).where(F.length(F.trim("text")) >= 5).join(sizes, "media_id").select(
-        "media_id", F.col("cue_idx").alias("src_idx"), F.col("text").alias("_a"),
-        F.explode(F.expr(f"sequence(greatest(0L, {center} - {window}), least(n_ref, {center} + {window}) - 1)")).cast("int").alias("ref_idx"),
+    sampled = profiled(even_sample(src, k).where(F.length(F.trim("text")) >= 5), "text", "_p")
+    wanted = sampled.join(sizes, "media_id").select(
+        "media_id", F.col("cue_idx").alias("src_idx"), "_p",
+        F.explode(F.expr(f"sequence(greatest(0L, {center} - {window}), least(n_ref, {center} + {window}) - 1)")).alias("ref_idx"),
+    )
+    refs = profiled(ref.where(F.length(F.trim("text")) >= 5), "text", "_q").select(
+        "media_id", F.col("cue_idx").alias("ref_idx"), "_q"
     )
-    refs = ref.where(F.length(F.trim("text")) >= 5).select("media_id", F.col("cue_idx").alias("ref_idx"), F.col("text").alias("_b"))
     scored = prune_and_score(wanted.join(refs, ["media_id", "ref_idx"]), min_score)
     edges = scored.select("media_id", "src_idx", "ref_idx", F.col("similarity").alias("score"), F.lit(0.0).alias("near"))
     picks = match_serial(edges)
     return picks.join(edges.drop("near"), ["media_id", "src_idx", "ref_idx"]).withColumnRenamed("score", "confidence")
 
 
-def prune_and_score(pairs: DataFrame, min_score: float, a: str = "_a", b: str = "_b") -> DataFrame:
-    """Combined similarity of given pairs, keeping those >= ``min_score``.
-
-    The JVM scores come first; only pairs that a full sequence ratio could
-    still lift over the threshold go through the UDF.
-    """
-    norm = pairs.withColumn("_x", norm_text(F.col(a))).withColumn("_y", norm_text(F.col(b)))
-    names = tuple(n for n in sim.WEIGHTS if n != "sequence")
-    cheap = pair_scores(norm, "_x", "_y", names)
-    rest = sim.weighted({n: F.col(f"s_{n}") for n in names}, sim.WEIGHTS)
-    bound = sim.WEIGHTS["sequence"] * sim.ratio_bound(F.col("_x"), F.col("_y"))
-    near = cheap.withColumn("_rest", rest).where(F.col("_rest") + bound >= min_score - 1e-9)
-    total = F.col("_rest") + sim.WEIGHTS["sequence"] * sim.seq_ratio(F.col("_x"), F.col("_y"))
-    blank = (F.trim(F.col(a)) == "") | (F.trim(F.col(b)) == "")
-    return near.withColumn("similarity", F.when(blank, 0.0).otherwise(total)).where(
-        F.col("similarity") >= min_score
-    ).drop("_x", "_y", "_rest", *[f"s_{n}" for n in names])
-
-
 def anchor_similarity(a: DataFrame, b: DataFrame, k: int = 5, min_score: float = 0.05) -> DataFrame:
     """Best pair of the first ``k`` cues by the anchor weights; last resort of the anchor search."""
     def head(cues: DataFrame, side: str) -> DataFrame:
-        return cues.where(F.col("cue_idx") < k).where(F.length(F.trim("text")) >= 5).select(
-            "media_id", F.col("cue_idx").alias(f"{side}_idx"), norm_text(F.col("text")).alias(f"{side}_norm")
-        )
+        first = cues.where(F.col("cue_idx") < k).where(F.length(F.trim("text")) >= 5)
+        return profiled(first, "text", f"_{side}").select("media_id", F.col("cue_idx").alias(f"{side}_idx"), f"_{side}")
 
-    scored = pair_scores(head(a, "a").join(head(b, "b"), "media_id"), "a_norm", "b_norm", tuple(sim.ANCHOR_WEIGHTS))
-    total = sim.weighted({n: F.col(f"s_{n}") for n in sim.ANCHOR_WEIGHTS}, sim.ANCHOR_WEIGHTS)
+    scored = pair_scores(head(a, "a").join(head(b, "b"), "media_id"), "_a", "_b", tuple(sim.ANCHOR_WEIGHTS))
+    total = total_score(sim.ANCHOR_WEIGHTS)
     return top_pair(scored.withColumn("confidence", total).where(F.col("confidence") >= min_score))
 
 
@@ -202,26 +200,29 @@ def anchor_translated(
     counts if its similarity reaches the threshold less its own bonus; pairs
     that cannot are cut before the sequence ratio is computed.
     """
-    early = src.where(F.col("cue_idx") < limit).join(
-        translations.select("text", "translated").dropDuplicates(["text"]), "text"
-    ).where(F.trim("translated") != "").select("media_id", F.col("cue_idx").alias("a_idx"), F.col("translated").alias("_a"))
-    refs = ref.where(F.trim("text") != "").select("media_id", F.col("cue_idx").alias("b_idx"), F.col("text").alias("_b"))
-    pairs = early.join(refs, "media_id")
+    early = _translated(src.where(F.col("cue_idx") < limit), translations)
+    pairs = early.join(_references(ref), "media_id")
     bonus = F.greatest(F.lit(0.0), 0.1 - (F.col("a_idx") + F.col("b_idx")) * 0.005)
     scored = prune_and_score(pairs, threshold - 0.1).withColumn("confidence", F.col("similarity") + bonus)
     return top_pair(scored.where(F.col("confidence") >= threshold))
 
 
+def _translated(cues: DataFrame, translations: DataFrame) -> DataFrame:
+    """``media_id, a_idx, _p`` of cues with a translation; one translation per text."""
+    one = translations.groupBy("text").agg(F.min("translated").alias("translated")).where(F.trim("translated") != "")
+    return profiled(cues.join(one, "text"), "translated", "_p").select("media_id", F.col("cue_idx").alias("a_idx"), "_p")
+
+
+def _references(cues: DataFrame) -> DataFrame:
+    return profiled(cues.where(F.trim("text") != ""), "text", "_q").select("media_id", F.col("cue_idx").alias("b_idx"), "_q")
+
+
 def anchor_sampled(
     src: DataFrame, ref: DataFrame, translations: DataFrame, k: int = 15, threshold: float = 0.5
 ) -> DataFrame:
     """Best pair between evenly sampled translated sources and evenly sampled references."""
-    left = even_sample(src, k).join(translations.select("text", "translated").dropDuplicates(["text"]), "text").where(
-        F.trim("translated") != ""
-    ).select("media_id", F.col("cue_idx").alias("a_idx"), F.col("translated").alias("_a"))
-    right = even_sample(ref, k).where(F.trim("text") != "").select("media_id", F.col("cue_idx").alias("b_idx"), F.col("text").alias("_b"))
-    scored = prune_and_score(left.join(right, "media_id"), threshold).withColumnRenamed("similarity", "confidence")
-    return top_pair(scored)
+    pairs = _translated(even_sample(src, k), translations).join(_references(even_sample(ref, k)), "media_id")
+    return top_pair(prune_and_score(pairs, threshold).withColumnRenamed("similarity", "confidence"))
 
 
 def anchor_quartiles(src: DataFrame, ref: DataFrame, translations: DataFrame, scan: int = 20, threshold: float = 0.7) -> DataFrame:
