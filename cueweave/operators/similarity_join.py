@@ -43,8 +43,11 @@ def scores_above(pairs: DataFrame, p: str, q: str, min_score: float) -> DataFram
     sets = ("jaccard", "cosine", "common")
     sized = pairs.withColumn("s_length", sim.length_ratio(x, y)).withColumn("_bound", sim.ratio_bound(x, y))
     near = sized.where(0.5 + have("length") + ratio + edit_room >= limit)
-    worded = pair_scores(near, p, q, sets).where(have("length", *sets) + ratio + edit_room >= limit)
-    edited = pair_scores(worded, p, q, ("edit",)).where(have("length", "edit", *sets) + ratio >= limit)
+    hopeful = have("length", *sets) + ratio + edit_room >= limit
+    worded = pair_scores(near, p, q, sets).where(hopeful)
+    # The optimizer merges neighbouring filters; the CASE keeps the edit distance behind its guard.
+    guarded = F.when(hopeful, sim.score("edit", F.col(p), F.col(q)))
+    edited = worded.withColumn("s_edit", guarded).where(have("length", "edit", *sets) + ratio >= limit)
     return pair_scores(edited, p, q, ("sequence",)).drop("_bound").where(total_score() >= min_score)
 
 
