@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueweave.functions.timecode import ms_to_time
+from cueweave.plans.arrays import rows_of, spread
+
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 HANZI = "的一是在不了有和人这中大为上个国我以要他时来用们生到"
 
@@ -24,7 +27,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mark in ".?!":
         text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
     pieces = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("media_id"), "lang", "source", pieces.alias("ls")
     )
 
@@ -36,8 +39,7 @@ _END = f"{_START} + 800 + 40 * least(length(txt), 80)"
 def track_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``media_id, lang, source, cue_idx, start_ms, end_ms, txt``."""
     return (
-        lines(spark, sf_dir)
-        .select("media_id", "lang", "source", F.posexplode("ls").alias("cue_idx", "txt"))
+        rows_of(lines(spark, sf_dir), ["media_id", "lang", "source"], F.col("ls"), "cue_idx", "txt")
         .withColumn("start_ms", F.expr(_START))
         .withColumn("end_ms", F.expr(_END))
     )
@@ -54,8 +56,7 @@ def track_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shift = "((media_id * 37) % 21 - 10) * 500 + ((media_id * 13 + cue_idx * 7) % 5 - 2) * 60"
     return (
-        lines(spark, sf_dir)
-        .select("media_id", F.posexplode(kept).alias("b_idx", "c"))
+        rows_of(lines(spark, sf_dir), ["media_id"], kept, "b_idx", "c")
         .select("media_id", "b_idx", "c.cue_idx", "c.txt")
         .withColumn("start_ms", F.expr(f"greatest(0L, {_START} + {shift})"))
         .withColumn("end_ms", F.expr(f"greatest(0L, {_END} + {shift})"))
@@ -171,8 +172,6 @@ def _rendered(spark: SparkSession, sf_dir: str, fmt: str, block, head: str, tail
 
 def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One SRT text per document, with an unnumbered block style, a one-line block and a bad time."""
-    from cueweave.functions.timecode import ms_to_time
-
     def block(c):
         number = F.when(c["cue_idx"] % 3 == 2, F.lit("")).otherwise(F.concat((c["cue_idx"] + 1).cast("string"), F.lit("\n")))
         return F.concat(number, ms_to_time(c["start_ms"]), F.lit(" --> "), ms_to_time(c["end_ms"]), F.lit("\n"), c["txt"])
@@ -184,8 +183,6 @@ def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vtt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cueweave.functions.timecode import ms_to_time
-
     def block(c):
         stamp = F.concat(ms_to_time(c["start_ms"], "vtt"), F.lit(" --> "), ms_to_time(c["end_ms"], "vtt"), F.lit(" align:start"))
         name = F.when(c["cue_idx"] % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("id"), c["cue_idx"].cast("string"), F.lit("\n")))
@@ -196,8 +193,6 @@ def vtt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASS texts with a shortened, reordered Format line, comments and a broken dialogue line."""
-    from cueweave.functions.timecode import ms_to_time
-
     def block(c):
         zh = F.translate(F.lower(c["txt"]), LATIN, HANZI)
         body = F.when(c["cue_idx"] % 4 == 1, F.concat(F.lit("{\\i1}"), c["txt"], F.lit("{\\i0}\\N"), zh)).otherwise(c["txt"])

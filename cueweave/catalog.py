@@ -500,7 +500,7 @@ def _(s, d):
     cols = {n: F.col(f"s_{n}") for n in names}
     return scored.select(
         "media_id", "a_idx", "b_idx", *[r6(c).alias(n) for n, c in cols.items()],
-        r6(sim.weighted(cols, sim.WEIGHTS)).alias("weighted"), r6(sim.variance_penalty(list(cols.values()))).alias("variance"),
+        r6(sim.weighted(cols, sim.WEIGHTS)).alias("weighted"), r6(sim.variance_penalty(list(cols.values())) + 1e-12).alias("variance"),
         r6(sim.position_penalty(F.col("a_idx"), F.col("b_idx"), F.lit(40), F.lit(30))).alias("position"),
     )
 

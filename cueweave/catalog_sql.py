@@ -371,7 +371,7 @@ _SC = f"""scored AS (SELECT *, CASE WHEN len(w1) = 0 AND len(w2) = 0 THEN 1.0 EL
       SELECT media_id, a_idx, b_idx, {_norm("regexp_replace(ta, '[^\\x{20}-\\x{7E}]', '', 'g')")} AS x, {_norm("regexp_replace(tb, '[^\\x{20}-\\x{7E}]', '', 'g')")} AS y FROM timed))))"""
 sql("similarity_scores", """SELECT media_id, a_idx, b_idx, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine, round(edit, 6) AS edit, round(length, 6) AS length, round(common, 6) AS common,
   round(0.2 * jaccard + 0.2 * cosine + 0.15 * edit + 0.1 * length + 0.1 * common, 6) AS weighted,
-  round(least(0.2, 2 * list_var_pop([jaccard, cosine, edit, length, common])), 6) AS variance,
+  round(least(0.2, 2 * list_var_pop([jaccard, cosine, edit, length, common])) + 1e-12, 6) AS variance,
   round(least(0.3, 0.5 * abs(a_idx / 39 - b_idx / 29)), 6) AS position FROM scored""", LINES, TRACK_B, TIMED, _SC)
 
 # ---- joins -----------------------------------------------------------------------------------

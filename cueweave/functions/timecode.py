@@ -27,6 +27,16 @@ def time_to_ms(text: Column, fmt: str = "srt") -> Column:
     ).cast("bigint")
 
 
+def stamp_to_ms(stamp: Column) -> Column:
+    """Milliseconds of a checked ``[H]H:MM:SS?mmm`` stamp (or ``MM:SS?mmm``), cut by position."""
+    def piece(start: int, length: int) -> Column:
+        return F.substring(stamp, start, length).try_cast("bigint")
+
+    hours = F.regexp_extract(stamp, r"^(\d{1,2}):\d{2}:", 1)
+    h = F.when(hours == "", F.lit(0)).otherwise(hours.try_cast("bigint"))
+    return h * 3_600_000 + piece(-9, 2) * 60_000 + piece(-6, 2) * 1_000 + piece(-3, 3)
+
+
 def _div(a: Column, n: int) -> Column:
     return F.call_function("div", a, F.lit(n))
 

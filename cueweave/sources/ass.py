@@ -13,6 +13,7 @@ from cueweave.functions.text import (
     cjk_first, clean_ass, clean_text, has_cjk_font, has_cjk_style, strip_ws,
 )
 from cueweave.functions.timecode import ass_time_to_srt, ms_to_time, time_to_ms
+from cueweave.plans.arrays import rows_of
 from cueweave.plans.ordered import number_rows
 
 # Column order without a Format line, and the default header.
@@ -125,7 +126,7 @@ def parse(files: DataFrame) -> DataFrame:
         F.transform("_dialogue", _cue),
         lambda c: (c["n"] >= 2) & c["start_ms"].isNotNull() & c["end_ms"].isNotNull(),
     )
-    return _dialogue_rows(files).select("media_id", F.posexplode(cues).alias("cue_idx", "c")).select(
+    return rows_of(_dialogue_rows(files), ["media_id"], cues, "cue_idx", "c").select(
         "media_id", "cue_idx", "c.start_ms", "c.end_ms", "c.text", "c.style", "c.raw"
     )
 
@@ -157,7 +158,7 @@ def parse_full(files: DataFrame) -> DataFrame:
         lambda r: r["whole"] & r["layer"].isNotNull() & r["margin_l"].isNotNull()
         & r["margin_r"].isNotNull() & r["margin_v"].isNotNull(),
     )
-    return _dialogue_rows(files).select("media_id", F.posexplode(good).alias("cue_idx", "r")).select(
+    return rows_of(_dialogue_rows(files), ["media_id"], good, "cue_idx", "r").select(
         "media_id", "cue_idx", "r.layer", "r.start", "r.end", "r.style", "r.name", "r.margin_l",
         "r.margin_r", "r.margin_v", "r.effect", "r.text", "r.raw",
     )
@@ -184,7 +185,7 @@ def styles(files: DataFrame, text: str = "text") -> DataFrame:
         pos = F.array_position("s.fields", F.lit(name)) - 1
         return F.when(pos >= 0, F.get("s.values", pos.cast("int")))
 
-    return rows.select("media_id", F.posexplode(listed).alias("style_idx", "s")).select(
+    return rows_of(rows, ["media_id"], listed, "style_idx", "s").select(
         "media_id", "style_idx", F.get("s.values", F.lit(0)).alias("name"),
         value("fontname").alias("fontname"), value("encoding").alias("encoding"), F.col("s.values").alias("values"),
     )

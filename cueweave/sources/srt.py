@@ -10,52 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import clean_srt, strip_ws
-from cueweave.functions.timecode import ms_to_time, time_to_ms
+from cueweave.functions.timecode import ms_to_time, stamp_to_ms
+from cueweave.plans.arrays import rows_of
 from cueweave.plans.ordered import number_rows
 
+_GAP = r"[^\S\n]*"
 _STAMP = r"(\d{1,2}:\d{2}:\d{2}[,.]\d{3})"
-TIME_LINE = rf"^{_STAMP}\s*-->\s*{_STAMP}"
+# A stripped block: optional number line, time line, at least one more line.
+BLOCK = rf"(?s)^(?:\d+{_GAP}\n)?{_GAP}{_STAMP}{_GAP}-->{_GAP}{_STAMP}[^\n]*\n(.*)$"
 
 
 def blocks_of(text: Column) -> Column:
-    return F.split(strip_ws(text), r"\r?\n\s*\r?\n")
+    return F.transform(F.split(strip_ws(text), r"\r?\n\s*\r?\n"), lambda x: strip_ws(x))
 
 
 def _cue(block: Column) -> Column:
-    raw = F.split(strip_ws(block), "\n")
-    numbered = strip_ws(raw[0]).rlike(r"^\d+$")
-    lines = F.when(numbered, F.slice(raw, 2, F.greatest(F.size(raw) - 1, F.lit(0)))).otherwise(raw)
-    time_line = strip_ws(F.get(lines, F.lit(0)))
-    ok = (F.size(raw) >= 2) & (F.size(lines) >= 2) & time_line.rlike(TIME_LINE)
     return F.struct(
-        F.coalesce(ok, F.lit(False)).alias("ok"),
-        time_to_ms(F.regexp_extract(time_line, TIME_LINE, 1)).alias("start_ms"),
-        time_to_ms(F.regexp_extract(time_line, TIME_LINE, 2)).alias("end_ms"),
-        strip_ws(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")).alias("text"),
-        block.alias("block"),
+        stamp_to_ms(F.regexp_extract(block, BLOCK, 1)).alias("start_ms"),
+        stamp_to_ms(F.regexp_extract(block, BLOCK, 2)).alias("end_ms"),
+        strip_ws(F.regexp_extract(block, BLOCK, 3)).alias("text"),
     )
 
 
 def parse(files: DataFrame) -> DataFrame:
     """``media_id, cue_idx, start_ms, end_ms, text`` of rows with ``media_id, text``."""
-    cues = F.filter(F.transform(blocks_of(F.col("text")), _cue), lambda c: c["ok"])
-    return files.select("media_id", F.posexplode(cues).alias("cue_idx", "c")).select(
+    good = F.filter(blocks_of(F.col("text")), lambda x: x.rlike(BLOCK))
+    return rows_of(files, ["media_id"], good, "cue_idx", "b").withColumn("c", _cue(F.col("b"))).select(
         "media_id", "cue_idx", "c.start_ms", "c.end_ms", "c.text"
     )
 
 
 def rejects(files: DataFrame) -> DataFrame:
     """The blocks :func:`parse` skips, for a quarantine table."""
-    cues = F.filter(F.transform(blocks_of(F.col("text")), _cue), lambda c: ~c["ok"])
-    return files.select("media_id", F.explode(cues).alias("c")).select("media_id", "c.block")
+    bad = F.filter(blocks_of(F.col("text")), lambda x: ~x.rlike(BLOCK))
+    return rows_of(files, ["media_id"], bad, "_pos", "block").drop("_pos")
 
 
 def first_starts(files: DataFrame, k: int = 15) -> DataFrame:
     """``media_id, ext_i, ext_ms``: the first ``k`` start times found anywhere in the text."""
     pattern = r"(\d{1,2}:\d{2}:\d{2}[,.]\d{3})\s*-->"
     found = F.slice(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), 1, k)
-    return files.select("media_id", F.posexplode(found).alias("ext_i", "t")).select(
-        "media_id", "ext_i", time_to_ms(F.col("t")).alias("ext_ms")
+    return rows_of(files, ["media_id"], found, "ext_i", "t").select(
+        "media_id", "ext_i", stamp_to_ms(F.col("t")).alias("ext_ms")
     )
 
 

@@ -6,35 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import strip_ws
-from cueweave.functions.timecode import ms_to_time, time_to_ms
+from cueweave.functions.timecode import ms_to_time, stamp_to_ms
+from cueweave.plans.arrays import rows_of
 from cueweave.sources.srt import blocks_of
 
+_GAP = r"[^\S\n]*"
 _STAMP = r"(\d{1,2}:\d{2}:\d{2}\.\d{3}|\d{2}:\d{2}\.\d{3})"
-TIME_LINE = rf"^{_STAMP}\s*-->\s*{_STAMP}"
-
-
-def _cue(block: Column) -> Column:
-    lines = F.split(strip_ws(block), "\n")
-    arrow = F.filter(
-        F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))),
-        lambda s: F.contains(s["line"], F.lit("-->")),
-    )
-    first = F.get(arrow, F.lit(0))
-    after = F.size(lines) - first["i"] - 1
-    return F.struct(
-        F.coalesce(first["line"].rlike(TIME_LINE), F.lit(False)).alias("ok"),
-        time_to_ms(F.regexp_extract(first["line"], TIME_LINE, 1), "vtt").alias("start_ms"),
-        time_to_ms(F.regexp_extract(first["line"], TIME_LINE, 2), "vtt").alias("end_ms"),
-        strip_ws(F.array_join(F.slice(lines, first["i"] + 2, after), "\n")).alias("text"),
-    )
+# Lines without an arrow, then the first line with one, which must be a time line.
+BLOCK = rf"(?s)^(?:(?![^\n]*-->)[^\n]*\n)*{_STAMP}{_GAP}-->{_GAP}{_STAMP}[^\n]*(?:\n(.*))?$"
 
 
 def parse(files: DataFrame) -> DataFrame:
     """``media_id, cue_idx, start_ms, end_ms, text``; blocks without a time line are skipped."""
     body = F.regexp_replace(strip_ws(F.col("text")), r"^WEBVTT[^\n]*(?:\n|$)", "")
-    cues = F.filter(F.transform(blocks_of(body), _cue), lambda c: c["ok"])
-    return files.select("media_id", F.posexplode(cues).alias("cue_idx", "c")).select(
-        "media_id", "cue_idx", "c.start_ms", "c.end_ms", "c.text"
+    good = F.filter(blocks_of(body), lambda x: x.rlike(BLOCK))
+    return rows_of(files, ["media_id"], good, "cue_idx", "b").select(
+        "media_id", "cue_idx", stamp_to_ms(F.regexp_extract("b", BLOCK, 1)).alias("start_ms"),
+        stamp_to_ms(F.regexp_extract("b", BLOCK, 2)).alias("end_ms"),
+        strip_ws(F.coalesce(F.regexp_extract("b", BLOCK, 3), F.lit(""))).alias("text"),
     )
 
 
