@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueweave.functions.keywords import folded_keywords, numbers
 from cueweave.operators.matching import match_by_tokens, signature_pairs
 from cueweave.operators.similarity_join import anchor_similarity, similarity_align, similarity_sample
+from cueweave.plans.lineage import cut_lineage
 
 
 def with_keywords(cues: DataFrame) -> DataFrame:
@@ -28,6 +29,8 @@ def number_pairs(src: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def _token_anchors(src: DataFrame, ref: DataFrame, by_weight: bool, base: float, method: str) -> DataFrame:
+    # Token extraction is the costly step and is read three times.
+    src, ref = cut_lineage(src, "tokens"), cut_lineage(ref, "tokens")
     picks = match_by_tokens(src, ref, by_weight)
     left = src.select("media_id", F.col("cue_idx").alias("src_idx"), F.col("start_ms").alias("_s"), F.col("tokens").alias("_t1"))
     right = ref.select("media_id", F.col("cue_idx").alias("ref_idx"), F.col("start_ms").alias("_r"), F.col("tokens").alias("_t2"))
@@ -127,8 +130,6 @@ def auto_align(src: DataFrame, ref: DataFrame, same_language: DataFrame | None =
 
     ``media_id, src_idx, ref_idx, confidence, method``.
     """
-    from cueweave.plans.lineage import cut_lineage
-
     cols = ["media_id", "src_idx", "ref_idx", "confidence", "method"]
     anchors = cut_lineage(anchors_all(src, ref, same_language).select(*cols), "anchors")
     done = anchors.select("media_id").distinct()
@@ -148,8 +149,6 @@ def semantic_anchor(embedded: DataFrame, external: DataFrame, translated: DataFr
     dialogue rule behind them, first dialogue pair, similarity of the first cues.
     """
     from cueweave.operators.summary import robust_offset, same_language
-    from cueweave.plans.lineage import cut_lineage
-
     same = same_language(embedded, external)
     anchors = cut_lineage(anchors_all(embedded, external, same), "anchors")
     robust = robust_offset(anchors).where("confidence >= 0.5")

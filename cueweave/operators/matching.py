@@ -188,8 +188,8 @@ def match_by_tokens(src: DataFrame, ref: DataFrame, by_weight: bool) -> DataFram
     """
     pairs = signature_pairs(src, ref)
     join = lambda c: F.array_join(c, "\x1f")
-    flat = pairs.select(
-        "media_id", join("src_sig").alias("s"), join("ref_sig").alias("r"), "n_shared"
+    flat = cut_lineage(
+        pairs.select("media_id", join("src_sig").alias("s"), join("ref_sig").alias("r"), "n_shared"), "signatures"
     )
     src_sigs = flat.groupBy("media_id", F.col("s").alias("sig")).agg(F.collect_set("n_shared").alias("ws"))
     ref_sigs = flat.select("media_id", F.col("r").alias("sig")).distinct()

@@ -245,7 +245,7 @@ def merge_mixed(
         two = b.join(first, "media_id").where(~flag).withColumn("_track", F.lit(2))
         return one.unionByName(two).drop("_emb1")
 
-    embedded, external = side(True), side(False)
+    embedded, external = cut_lineage(side(True), "embedded"), cut_lineage(side(False), "external")
     anchor = cut_lineage(
         semantic_anchor(embedded, external, translated).select(
             "media_id", F.col("ref_idx").alias("_from"), F.round("offset_ms").cast("bigint").alias("_off")
@@ -255,7 +255,7 @@ def merge_mixed(
     planned = external.join(anchor, "media_id", "left").where("_from is null or cue_idx >= _from")
     moved = apply_offset(planned, F.coalesce("_off", F.lit(0))).drop("_from", "_off")
     cols = ["media_id", "cue_idx", "start_ms", "end_ms", "text", "style", "raw"]
-    every = embedded.unionByName(moved)
+    every = cut_lineage(embedded.unionByName(moved), "realigned")
     return merge_preserved(
         every.where("_track = 1").select(*cols), every.where("_track = 2").select(*cols), roles, top
     )
@@ -278,7 +278,9 @@ def merge_enhanced(
     cols = ["media_id", "cue_idx", "start_ms", "end_ms", "text"]
     a, b = a.select(*cols), b.select(*cols)
     plan = cut_lineage(global_plan(a, b, roles), "plan")
-    one, two = apply_global_offset(a, plan, 1), apply_global_offset(b, plan, 2)
+    # Both tracks are read many times below; written once, the plans stay small.
+    one = cut_lineage(apply_global_offset(a, plan, 1), "track")
+    two = cut_lineage(apply_global_offset(b, plan, 2), "track")
     timed = cut_lineage(time_align(one, two), "aligned")
     counts = one.groupBy("media_id").agg(F.count("*").alias("_n1")).join(
         two.groupBy("media_id").agg(F.count("*").alias("_n2")), "media_id"
@@ -290,7 +292,7 @@ def merge_enhanced(
         rest = cues.join(poor, "media_id", "left_semi").join(taken, ["media_id", "cue_idx"], "left_anti")
         return number_rows(rest, ["media_id"], "cue_idx", [], "_pos", width=8192)
 
-    left, right = open_cues(one, "a_idx"), open_cues(two, "b_idx")
+    left, right = cut_lineage(open_cues(one, "a_idx"), "open"), cut_lineage(open_cues(two, "b_idx"), "open")
 
     def listed(cues: DataFrame) -> DataFrame:
         return cues.select("media_id", F.col("_pos").alias("cue_idx"), "start_ms", "end_ms", "text")

@@ -9,6 +9,7 @@ from cueweave.functions import similarity as sim
 from cueweave.functions.text import norm_text
 from cueweave.operators.matching import best_per_reference, match_serial
 from cueweave.operators.timing import even_sample
+from cueweave.plans.lineage import cut_lineage
 
 
 def profiled(cues: DataFrame, text: str, out: str) -> DataFrame:
@@ -105,7 +106,7 @@ def text_pairs(src: DataFrame, ref: DataFrame, min_score: float) -> DataFrame:
     if min_score < 0.6:
         raise ValueError("similarity thresholds below 0.6 cannot be found through shared words")
     need = 5.0 * (min_score - 0.5)
-    left, right = _texts(src, "a"), _texts(ref, "b")
+    left, right = cut_lineage(_texts(src, "a"), "texts"), cut_lineage(_texts(ref, "b"), "texts")
     pairs = _prefix_words(left, "a", need).join(_prefix_words(right, "b", need), ["media_id", "word"]).select(
         "media_id", "a_id", "b_id"
     ).distinct()
@@ -136,6 +137,7 @@ def similarity_align(src: DataFrame, ref: DataFrame, min_confidence: float = 0.6
             F.struct("similarity", (-F.col("b_id")).alias("t")),
         ).alias("m")
     ).select("media_id", "a_id", "m.*").join(_texts(src, "a"), ["media_id", "a_id"])
+    best = cut_lineage(best, "best")
     sizes = src.groupBy("media_id").agg(F.count("*").alias("n_src")).join(
         ref.groupBy("media_id").agg(F.count("*").alias("n_ref")), "media_id"
     )
@@ -168,7 +170,7 @@ def similarity_sample(src: DataFrame, ref: DataFrame, k: int = 20, min_score: fl
     refs = profiled(ref.where(F.length(F.trim("text")) >= 5), "text", "_q").select(
         "media_id", F.col("cue_idx").alias("ref_idx"), "_q"
     )
-    scored = prune_and_score(wanted.join(refs, ["media_id", "ref_idx"]), min_score)
+    scored = cut_lineage(prune_and_score(wanted.join(refs, ["media_id", "ref_idx"]), min_score), "sampled")
     edges = scored.select("media_id", "src_idx", "ref_idx", F.col("similarity").alias("score"), F.lit(0.0).alias("near"))
     picks = match_serial(edges)
     return picks.join(edges.drop("near"), ["media_id", "src_idx", "ref_idx"]).withColumnRenamed("score", "confidence")
