@@ -69,13 +69,16 @@ def detect_lang(text: Column) -> Column:
     hits = reduce(
         lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in ENGLISH_WORDS]
     )
+    some = low.rlike("|".join(ENGLISH_WORDS))
     letters = count_in(text, r"[^\p{L}]")
     latin = count_in(text, _LATIN1_LETTERS)
     return (
         F.when(first.rlike(_HAN), "zh")
         .when(first.rlike(r"[\x{3040}-\x{30FF}]"), "ja")
         .when(first != "", "ko")
-        .when((hits >= 2) | ((hits >= 1) & (F.length(text) > 10)), "en")
+        # One hit is enough beyond 10 characters, so only short texts are counted word by word.
+        .when(some & (F.length(text) > 10), "en")
+        .when(some & (hits >= 2), "en")
         .when((letters > 5) & (latin / letters > 0.8), "en")
         .otherwise("unknown")
     )
