@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cueweave.llm import exact_dedup, simhash
+from cueweave.llm import byte_bpe, exact_dedup, packing, simhash, token_count
+
+TOKEN_LIMIT = 4096
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +31,26 @@ def _(s, d):
     return simhash.near_duplicates(documents(s, d)).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query("op3_token_counts")
+def _(s, d):
+    found = token_count.count_tokens(documents(s, d), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op5_byte_bpe")
+def _(s, d):
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return byte_bpe.decode(byte_bpe.encode(documents(s, d), *files), *files).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op7_packing")
+def _(s, d):
+    return packing.pack_documents(documents(s, d), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 @query("op8_exact_dedup")
 def _(s, d):
     return exact_dedup.exact_duplicates(documents(s, d))
