@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import byte_bpe, exact_dedup, packing, simhash, token_count
+from cueweave.llm import byte_bpe, exact_dedup, packing, quality, simhash, token_count, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -54,3 +54,17 @@ def _(s, d):
 @query("op8_exact_dedup")
 def _(s, d):
     return exact_dedup.exact_duplicates(documents(s, d))
+
+
+@query("op9_quality_rules")
+def _(s, d):
+    return quality.judge(documents(s, d), with_text=False).drop("lost")
+
+
+@query("op10_toxicity")
+def _(s, d):
+    docs = documents(s, d)
+    machine = toxicity.fit(docs, s.read.parquet(f"{d}/labels.parquet"))
+    return toxicity.score(docs, machine).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
