@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import byte_bpe, exact_dedup, packing, quality, simhash, token_count, toxicity
+from cueweave.llm import byte_bpe, exact_dedup, licenses, packing, pii, quality, simhash, token_count, toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -31,6 +31,11 @@ def _(s, d):
     return simhash.near_duplicates(documents(s, d)).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query("op2_license_scan")
+def _(s, d):
+    return licenses.scan(documents(s, d))
+
+
 @query("op3_token_counts")
 def _(s, d):
     found = token_count.count_tokens(documents(s, d), public_tokenizers.path("piece_bpe_32k.model"))
@@ -46,6 +51,14 @@ def _(s, d):
     )
 
 
+@query("op6_pii")
+def _(s, d):
+    docs = documents(s, d)
+    return pii.scan(docs, pii.fit(docs)).select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 @query("op7_packing")
 def _(s, d):
     return packing.pack_documents(documents(s, d), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
