@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import byte_bpe, exact_dedup, licenses, packing, pii, quality, simhash, token_count, toxicity
+from cueweave.llm import byte_bpe, exact_dedup, licenses, packing, pii, quality, simhash, token_count, toxicity, warc
 
 TOKEN_LIMIT = 4096
 
@@ -42,6 +42,12 @@ def _(s, d):
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query("op4_warc_revisits")
+def _(s, d):
+    found = warc.resolve(warc.archive(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")))
+    return found.withColumn("headers", warc.header_lines(F.col("headers")))
+
+
 @query("op5_byte_bpe")
 def _(s, d):
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN

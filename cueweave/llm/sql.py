@@ -11,3 +11,43 @@ WITH n AS (
 g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (body)
 """
+
+# Written apart from the operator: all records of a URL in one window, no time spans, headers as plain columns.
+ORACLE["op4_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, page_id * 60 AS t, 'day ' || CAST(page_id * 60 AS VARCHAR) AS modified,
+    regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=x#part' AS other
+  FROM pages),
+v AS (SELECT *, '"' || md5(html) || '"' AS e1, '"' || md5(html || '<!-- changed -->') || '"' AS e2 FROM p),
+r AS (
+  SELECT page_id * 8 AS record_id, url, t - 1 AS ts, false AS full_, e1 AS etag, modified, NULL AS digest, CAST(NULL AS BIGINT) AS size FROM v
+  UNION ALL SELECT page_id * 8 + 1, url, t, true, e1, modified, md5(html), strlen(html) FROM v
+  UNION ALL SELECT page_id * 8 + 2, other, t + 36000, false, e1, modified, NULL, NULL FROM v
+  UNION ALL SELECT page_id * 8 + 3, url, t + 72000, true, e2, modified, md5(html || '<!-- changed -->'), strlen(html || '<!-- changed -->')
+    FROM v WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 8 + 4, other, t + 108000, false,
+    CASE WHEN page_id % 5 = 0 THEN '"other"' WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 3 = 0 THEN e2 ELSE 'W/' || e1 END, modified, NULL, NULL FROM v),
+b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS bare FROM r),
+k AS (
+  SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g')
+    || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    list_aggregate(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref)(=|$)'))), 'string_agg', '&') AS query
+  FROM b),
+u AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM k),
+a AS (
+  SELECT *, last_value(CASE WHEN full_ THEN {'id': record_id, 'etag': etag, 'modified': modified, 'digest': digest, 'size': size, 'date': ts} END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY ts, full_, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM u),
+o AS (
+  SELECT *, CASE WHEN f IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = f.etag THEN 'resolved' ELSE 'validator_mismatch' END
+    WHEN modified = f.modified THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
+  FROM a WHERE NOT full_)
+SELECT record_id, url_key, ts, outcome, CASE WHEN outcome = 'resolved' THEN f.id END AS response_id,
+  CASE WHEN outcome = 'resolved' THEN f.digest END AS body_digest, CASE WHEN outcome = 'resolved' THEN f.size END AS body_length,
+  'cache-control: max-age=60' || chr(10) || 'content-length: ' || CASE WHEN outcome = 'resolved' THEN CAST(f.size AS VARCHAR) ELSE '0' END || chr(10)
+    || CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) ELSE '' END || 'date: ' || CAST(ts AS VARCHAR)
+    || CASE WHEN etag IS NOT NULL THEN chr(10) || 'etag: ' || etag WHEN outcome = 'resolved' THEN chr(10) || 'etag: ' || f.etag ELSE '' END
+    || chr(10) || 'last-modified: ' || modified AS headers
+FROM o
+"""
