@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueweave.functions.timecode import ms_to_time
-from cueweave.plans.arrays import rows_of, spread
+from cueweave.plans.arrays import rows_of
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 HANZI = "的一是在不了有和人这中大为上个国我以要他时来用们生到"
@@ -27,7 +27,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mark in ".?!":
         text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
     pieces = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return spread(table(spark, sf_dir, "documents")).select(
+    # The given table is one file with one row group, which is one split: deal its rows out.
+    docs = table(spark, sf_dir, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select(
         F.col("doc_id").alias("media_id"), "lang", "source", pieces.alias("ls")
     )
 

@@ -1,7 +1,9 @@
-"""Turning arrays into rows."""
+"""Turning arrays into rows, and naming a value inside an expression."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,11 @@ def rows_of(df: DataFrame, keep: list[str], array: Column, pos: str, value: str)
     return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan with fewer splits than cores (one small file).
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
 
-    A corpus of many files has more splits than cores and is left alone.
+    Inside lambdas nothing shares common subexpressions, and an optimizer that
+    merges projections may put a column's expression into a lambda, to be
+    computed for every element.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,7 +13,7 @@ from cueweave.functions.text import (
     cjk_first, clean_ass, clean_text, has_cjk_font, has_cjk_style, strip_ws,
 )
 from cueweave.functions.timecode import ass_time_to_srt, ms_to_time, time_to_ms
-from cueweave.plans.arrays import rows_of
+from cueweave.plans.arrays import let, rows_of
 from cueweave.plans.ordered import number_rows
 
 # Column order without a Format line, and the default header.
@@ -41,92 +41,117 @@ def _section(head: Column) -> Column:
     )
 
 
-def _with_lines(files: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_lines``: array of (pos, line, section); header lines carry their own section."""
-    rows = F.transform(
-        F.split(text, "\n"),
-        lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, r"[\r\n]+$", "").alias("line")),
-    )
-    heads = F.filter("_rows", lambda s: s["line"].rlike(r"^\[.*\]"))
-    tagged = F.transform(
-        "_rows",
-        lambda s: F.struct(
-            s["pos"].alias("pos"), s["line"].alias("line"),
-            _section(F.element_at(F.filter("_heads", lambda h: h["pos"] <= s["pos"]), -1)["line"]).alias("section"),
-            s["line"].rlike(r"^\[.*\]").alias("is_head"),
-        ),
-    )
-    return (
-        files.withColumn("_rows", rows).withColumn("_heads", heads)
-        .withColumn("_lines", F.when(F.size("_heads") > 0, tagged).otherwise(F.array().cast("array<struct<pos:int,line:string,section:string,is_head:boolean>>")))
-        .drop("_rows", "_heads")
+def _numbered(text: Column) -> Column:
+    """``array<struct<pos, line>>``."""
+    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.rtrim(x, F.lit("\r\n")).alias("line")))
+
+
+_HEAD = r"^\[.*\]"
+
+
+def _heads(rows: Column) -> Column:
+    return F.transform(
+        F.filter(rows, lambda s: s["line"].rlike(_HEAD)), lambda s: F.struct(s["pos"].alias("pos"), _section(s["line"]).alias("section"))
     )
 
 
+def _in_section(heads: Column, pos: Column, section: str) -> Column:
+    last = F.element_at(F.filter(heads, lambda h: h["pos"] <= pos), -1)
+    return F.coalesce(last["section"] == section, F.lit(False))
+
+
 def _is(line: Column, word: str) -> Column:
     return F.lower(strip_ws(line)).startswith(word)
 
 
 def _after_colon(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[^:]*:", "")
+    return F.when(F.contains(line, F.lit(":")), F.substring(line, F.instr(line, ":") + 1, F.length(line))).otherwise(line)
 
 
 def _fields(line: Column) -> Column:
     return F.transform(F.split(_after_colon(line), ","), lambda x: F.lower(strip_ws(x)))
 
 
-def _dialogue_rows(files: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_dialogue``: array of (fields, parts) in file order."""
-    with_lines = _with_lines(files, text)
-    events = F.filter("_lines", lambda s: (s["section"] == "events") & ~s["is_head"])
-    with_events = with_lines.withColumn("_events", events).withColumn(
-        "_formats", F.filter("_events", lambda s: _is(s["line"], "format:"))
-    )
-    default = F.array(*[F.lit(f) for f in DEFAULT_FIELDS])
+def _format(fields: Column, pos: Column) -> Column:
+    """A Format line read once: its fields and where the cue columns stand among them."""
+    known = F.array_contains(fields, "start") & F.array_contains(fields, "end") & F.array_contains(fields, "text")
 
-    def row(s: Column) -> Column:
-        fmt = F.element_at(F.filter("_formats", lambda f: f["pos"] < s["pos"]), -1)
-        fields = F.coalesce(_fields(fmt["line"]), default)
-        return F.struct(
-            fields.alias("fields"),
-            F.split(_after_colon(s["line"]), ",", F.size(fields)).alias("parts"),
-        )
+    def at(name: str, fallback: int) -> Column:
+        found = (F.array_position(fields, F.lit(name)) - 1).cast("int")
+        return F.when(known & (found >= 0), found).otherwise(F.lit(fallback)).alias(name)
 
-    return with_events.withColumn(
-        "_dialogue", F.transform(F.filter("_events", lambda s: _is(s["line"], "dialogue:")), row)
+    return F.struct(
+        pos.cast("int").alias("pos"), fields.alias("fields"), F.size(fields).alias("n"), at("start", 1), at("end", 2), at("style", 3), at("text", 9)
     )
 
 
+def _formats(rows: Column, heads: Column, section: str) -> Column:
+    """The section's Format lines behind the default one (position -1)."""
+    lines = F.filter(rows, lambda s: _is(s["line"], "format:") & _in_section(heads, s["pos"], section))
+    default = _format(F.array(*[F.lit(f) for f in DEFAULT_FIELDS]), F.lit(-1))
+    return F.concat(F.array(default), F.transform(lines, lambda s: let(_fields(s["line"]), lambda f: _format(f, s["pos"]))))
+
+
+def _listed(text: Column, section: str, word: str, row) -> Column:
+    """``row(line, format)`` of every line of ``section`` that begins with ``word``, in file order.
+
+    Lines, section heads and formats are each found once per file.
+    """
+    def one(s: Column, formats: Column) -> Column:
+        return let(F.element_at(F.filter(formats, lambda f: f["pos"] < s["pos"]), -1), lambda f: row(s["line"], f))
+
+    def listed(rows: Column, heads: Column, formats: Column) -> Column:
+        chosen = F.filter(rows, lambda s: _is(s["line"], word) & _in_section(heads, s["pos"], section))
+        return F.transform(chosen, lambda s: one(s, formats))
+
+    return let(_numbered(text), lambda rows: let(_heads(rows), lambda heads: let(
+        _formats(rows, heads, section), lambda formats: listed(rows, heads, formats))))
+
+
+def _dialogue(text: Column) -> Column:
+    """``array<struct<format, parts>>`` of the dialogue lines."""
+    return _listed(text, "events", "dialogue:", lambda line, f: F.struct(
+        f.alias("format"), F.split(_after_colon(line), ",", f["n"]).alias("parts")))
+
+
 def _at(parts: Column, pos: Column, default: str) -> Column:
     return F.coalesce(F.get(parts, pos.cast("int")), F.lit(default))
 
 
-def _cue(d: Column) -> Column:
-    fields, parts = d["fields"], d["parts"]
-    known = F.array_contains(fields, "start") & F.array_contains(fields, "end") & F.array_contains(fields, "text")
+def _clock(text: Column) -> Column:
+    """Milliseconds of ``H:MM:SS.cc``: one check, then cut at the marks."""
+    def sized(p: Column) -> Column:
+        return let(F.split(F.get(p, F.lit(2)), r"\."), lambda s: (
+            F.get(p, F.lit(0)).try_cast("bigint") * 3_600_000 + F.get(p, F.lit(1)).try_cast("bigint") * 60_000
+            + F.get(s, F.lit(0)).try_cast("bigint") * 1_000 + F.coalesce(F.get(s, F.lit(1)).try_cast("bigint"), F.lit(0)) * 10
+        ))
 
-    def pos(name: str, fallback: int) -> Column:
-        found = F.array_position(fields, F.lit(name)) - 1
-        return F.when(known & (found >= 0), found).otherwise(F.lit(fallback))
+    return F.when(text.rlike(r"^\d+:\d+:\d+(\.\d+)?$"), let(F.split(text, ":"), sized))
 
-    raw = _at(parts, pos("text", 9), "")
-    return F.struct(
+
+def _cue(d: Column) -> Column:
+    f, parts = d["format"], d["parts"]
+    return let(_at(parts, f["text"], ""), lambda raw: F.struct(
         F.size(parts).alias("n"),
-        time_to_ms(strip_ws(_at(parts, pos("start", 1), "0:00:00.00")), "ass").alias("start_ms"),
-        time_to_ms(strip_ws(_at(parts, pos("end", 2), "0:00:00.00")), "ass").alias("end_ms"),
+        _clock(strip_ws(_at(parts, f["start"], "0:00:00.00"))).alias("start_ms"),
+        _clock(strip_ws(_at(parts, f["end"], "0:00:00.00"))).alias("end_ms"),
         clean_text(raw).alias("text"),
-        strip_ws(_at(parts, pos("style", 3), "Default")).alias("style"),
+        strip_ws(_at(parts, f["style"], "Default")).alias("style"),
         raw.alias("raw"),
+    ))
+
+
+def cue_array(text: Column) -> Column:
+    """``array<struct<n, start_ms, end_ms, text, style, raw>>`` of the dialogue lines with two fields and good times at least."""
+    return F.filter(
+        F.transform(_dialogue(text), lambda d: _cue(d)),
+        lambda c: (c["n"] >= 2) & c["start_ms"].isNotNull() & c["end_ms"].isNotNull(),
     )
 
 
 def parse(files: DataFrame) -> DataFrame:
     """``media_id, cue_idx, start_ms, end_ms, text, style, raw``; short lines are tolerated."""
-    cues = F.filter(
-        F.transform("_dialogue", _cue),
-        lambda c: (c["n"] >= 2) & c["start_ms"].isNotNull() & c["end_ms"].isNotNull(),
-    )
-    return rows_of(_dialogue_rows(files), ["media_id"], cues, "cue_idx", "c").select(
+    return rows_of(files, ["media_id"], cue_array(F.col("text")), "cue_idx", "c").select(
         "media_id", "cue_idx", "c.start_ms", "c.end_ms", "c.text", "c.style", "c.raw"
     )
 
@@ -134,7 +159,7 @@ def parse(files: DataFrame) -> DataFrame:
 def parse_full(files: DataFrame) -> DataFrame:
     """All ten dialogue columns; lines with too few fields or bad integers are dropped."""
     def value(d: Column, name: str, default: str) -> Column:
-        pos = F.array_position(d["fields"], F.lit(name)) - 1
+        pos = F.array_position(d["format"]["fields"], F.lit(name)) - 1
         return F.when(pos >= 0, strip_ws(F.get(d["parts"], pos.cast("int")))).otherwise(F.lit(default))
 
     def number(d: Column, name: str) -> Column:
@@ -144,7 +169,7 @@ def parse_full(files: DataFrame) -> DataFrame:
     def row(d: Column) -> Column:
         raw = value(d, "text", "")
         return F.struct(
-            (F.size(d["parts"]) >= F.size(d["fields"])).alias("whole"),
+            (F.size(d["parts"]) >= d["format"]["n"]).alias("whole"),
             value(d, "layer", "0").try_cast("int").alias("layer"),
             value(d, "start", "0:00:00.00").alias("start"), value(d, "end", "0:00:00.00").alias("end"),
             value(d, "style", "Default").alias("style"), value(d, "name", "").alias("name"),
@@ -154,11 +179,11 @@ def parse_full(files: DataFrame) -> DataFrame:
         )
 
     good = F.filter(
-        F.transform("_dialogue", row),
+        F.transform(_dialogue(F.col("text")), row),
         lambda r: r["whole"] & r["layer"].isNotNull() & r["margin_l"].isNotNull()
         & r["margin_r"].isNotNull() & r["margin_v"].isNotNull(),
     )
-    return rows_of(_dialogue_rows(files), ["media_id"], good, "cue_idx", "r").select(
+    return rows_of(files, ["media_id"], good, "cue_idx", "r").select(
         "media_id", "cue_idx", "r.layer", "r.start", "r.end", "r.style", "r.name", "r.margin_l",
         "r.margin_r", "r.margin_v", "r.effect", "r.text", "r.raw",
     )
@@ -166,26 +191,14 @@ def parse_full(files: DataFrame) -> DataFrame:
 
 def styles(files: DataFrame, text: str = "text") -> DataFrame:
     """``media_id, style_idx, name, fontname, encoding, values``: the style rows of each file."""
-    with_lines = _with_lines(files, text)
-    section = F.filter("_lines", lambda s: (s["section"] == "styles") & ~s["is_head"])
-    rows = with_lines.withColumn("_styles", section).withColumn(
-        "_formats", F.filter("_styles", lambda s: _is(s["line"], "format:"))
-    )
-
-    def row(s: Column) -> Column:
-        fmt = F.element_at(F.filter("_formats", lambda f: f["pos"] < s["pos"]), -1)
-        return F.struct(
-            _fields(fmt["line"]).alias("fields"),
-            F.transform(F.split(_after_colon(s["line"]), ","), strip_ws).alias("values"),
-        )
-
-    listed = F.transform(F.filter("_styles", lambda s: _is(s["line"], "style:")), row)
+    listed = _listed(F.col(text), "styles", "style:", lambda line, f: F.struct(
+        F.when(f["pos"] >= 0, f["fields"]).alias("fields"), F.transform(F.split(_after_colon(line), ","), strip_ws).alias("values")))
 
     def value(name: str) -> Column:
         pos = F.array_position("s.fields", F.lit(name)) - 1
         return F.when(pos >= 0, F.get("s.values", pos.cast("int")))
 
-    return rows_of(rows, ["media_id"], listed, "style_idx", "s").select(
+    return rows_of(files, ["media_id"], listed, "style_idx", "s").select(
         "media_id", "style_idx", F.get("s.values", F.lit(0)).alias("name"),
         value("fontname").alias("fontname"), value("encoding").alias("encoding"), F.col("s.values").alias("values"),
     )
@@ -193,8 +206,11 @@ def styles(files: DataFrame, text: str = "text") -> DataFrame:
 
 def script_info(files: DataFrame) -> DataFrame:
     """``media_id, key, value`` rows of the script header (keys lower case)."""
-    info = F.filter("_lines", lambda s: (s["section"] == "script_info") & ~s["is_head"] & F.contains(s["line"], F.lit(":")))
-    return _with_lines(files).select("media_id", F.explode(info).alias("s")).select(
+    def info(rows: Column) -> Column:
+        return let(_heads(rows), lambda heads: F.filter(rows, lambda s: F.contains(s["line"], F.lit(":")) & ~s["line"].rlike(_HEAD)
+                                                        & _in_section(heads, s["pos"], "script_info")))
+
+    return rows_of(files, ["media_id"], let(_numbered(F.col("text")), info), "_pos", "s").select(
         "media_id",
         F.lower(F.trim(F.regexp_extract("s.line", r"^([^:]*):", 1))).alias("key"),
         strip_ws(_after_colon(F.col("s.line"))).alias("value"),

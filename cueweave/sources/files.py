@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cueweave.functions.text import CJK_CHINESE, eol_norm
+from cueweave.plans.arrays import rows_of
 from cueweave.sources import ass, srt, vtt
 
 # Extensions and, after UTF-8 fails, the decoding order.
@@ -71,22 +72,18 @@ def decode_legacy(content: pd.Series) -> pd.DataFrame:
 def decode(files: DataFrame, column: str = "content") -> DataFrame:
     """Replace ``content`` bytes by ``text``, adding ``encoding`` and ``has_bom``.
 
-    Valid UTF-8 never leaves the JVM; only the remainder enters the Arrow UDF.
+    One pass over the files: the Arrow UDF gets the bytes that aren't valid UTF-8
+    and nulls for the rest. Null bytes (an unreadable file) have no text.
     """
     has_bom = F.coalesce(F.substring(column, 1, 3) == F.lit(b"\xef\xbb\xbf"), F.lit(False))
-    marked = files.withColumn("has_bom", has_bom).withColumn(
-        "_utf8", F.is_valid_utf8(F.col(column).cast("string"))
-    )
-    plain = F.when(F.col("has_bom"), F.substring(column, 4, 2**31 - 1)).otherwise(F.col(column))
-    good = marked.where("_utf8").select(
-        "*", plain.cast("string").alias("text"),
-        F.when(F.col("has_bom"), "utf-8-sig").otherwise("utf-8").alias("encoding"),
-    )
-    bad = marked.where("not _utf8").withColumn("_d", decode_legacy(column)).select(
-        *marked.columns, F.col("_d.text").alias("text"), F.col("_d.encoding").alias("encoding")
+    marked = files.withColumn("has_bom", has_bom).withColumn("_utf8", F.is_valid_utf8(F.col(column).cast("string")))
+    marked = marked.withColumn("_d", decode_legacy(F.when(~F.col("_utf8"), F.col(column))))
+    plain = F.when(F.col("has_bom"), F.substring(column, 4, 2**31 - 1)).otherwise(F.col(column)).cast("string")
+    return (
+        marked.withColumn("text", eol_norm(F.when(F.col("_utf8"), plain).otherwise(F.col("_d.text"))))
+        .withColumn("encoding", F.when(~F.col("_utf8"), F.col("_d.encoding")).when(F.col("has_bom"), "utf-8-sig").when(F.col("_utf8"), "utf-8"))
+        .drop("_utf8", "_d", column)
     )
-    out = good.unionByName(bad).drop("_utf8", column)
-    return out.withColumn("text", eol_norm(F.col("text")))
 
 
 def is_valid_format(ext: Column, text: Column) -> Column:
@@ -102,17 +99,19 @@ def is_valid_format(ext: Column, text: Column) -> Column:
 def parse_cues(files: DataFrame) -> DataFrame:
     """``media_id, format, cue_idx, start_ms, end_ms, text`` of files with ``ext`` and ``text``.
 
-    Each format branch reads only its own files. Unknown formats are reported by
-    :func:`unsupported`.
+    One pass: a file's cues are one array by its format. Unknown formats are
+    reported by :func:`unsupported`.
     """
-    parsers = {"srt": srt.parse, "vtt": vtt.parse, "ass": ass.parse, "ssa": ass.parse}
-    out = None
-    for fmt, parse in parsers.items():
-        branch = parse(files.where(F.col("ext") == fmt)).select(
-            "media_id", F.lit(fmt).alias("format"), "cue_idx", "start_ms", "end_ms", "text"
-        )
-        out = branch if out is None else out.unionByName(branch)
-    return out
+    kind = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
+    common = lambda cues: F.transform(cues, lambda c: F.struct(c["start_ms"], c["end_ms"], c["text"])).cast(kind)
+    ext, text = F.col("ext"), F.col("text")
+    cues = (
+        F.when(ext == "srt", common(srt.cue_array(text))).when(ext == "vtt", common(vtt.cue_array(text)))
+        .when(ext.isin("ass", "ssa"), common(ass.cue_array(text)))
+    )
+    return rows_of(files, ["media_id", "ext"], cues, "cue_idx", "c").select(
+        "media_id", F.col("ext").alias("format"), "cue_idx", "c.start_ms", "c.end_ms", "c.text"
+    )
 
 
 def unsupported(files: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def unsupported(files: DataFrame) -> DataFrame:
 def reencode(files: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
     """The re-encode job: one row per file with the new text and what happened to it.
 
-    ``status`` is ``modified`` or ``unchanged``; ``encoding_changed`` tells why,
+    ``status`` is ``failed`` (no text could be read), ``modified`` or ``unchanged``; ``encoding_changed`` tells why,
     ``format_ok`` is the validation result. With ``fonts`` (table of available
     ``fontname``) missing fonts of ASS/SSA styles are replaced on the way.
     """
@@ -137,7 +136,7 @@ def reencode(files: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
     return fixed.select(
         "media_id", "ext", "encoding", "has_bom", "format_ok", "fonts_fixed",
         changed.alias("encoding_changed"),
-        F.when(modified, "modified").otherwise("unchanged").alias("status"),
+        F.when(F.col("_text").isNull(), "failed").when(modified, "modified").otherwise("unchanged").alias("status"),
         F.col("new_text").alias("text"),
     )
 

@@ -32,6 +32,11 @@ def _cue(block: Column) -> Column:
     )
 
 
+def cue_array(text: Column) -> Column:
+    """``array<struct<start_ms, end_ms, text>>`` of a file's good blocks."""
+    return F.transform(F.filter(blocks_of(text), lambda x: x.rlike(BLOCK)), _cue)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """``media_id, cue_idx, start_ms, end_ms, text`` of rows with ``media_id, text``."""
     good = F.filter(blocks_of(F.col("text")), lambda x: x.rlike(BLOCK))

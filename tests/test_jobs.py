@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cueweave.functions import text as tx
 from cueweave.operators import merge as mg
 from cueweave.operators import summary as sm
 from cueweave.operators import sync as sy
@@ -139,3 +140,37 @@ def test_merge_enhanced_keeps_all(spark):
 @pytest.mark.parametrize("rows, bilingual", [([(0, 1, "你好\nHello there")], True), ([(0, 1, "你好"), (2, 3, "123")], False)])
 def test_is_bilingual(spark, rows, bilingual):
     assert sm.is_bilingual(cues(spark, *rows)).first().bilingual is bilingual
+
+
+@pytest.mark.parametrize("parse, text", [
+    (vtt.parse, "WEBVTT\n\nNOTE\n" + "line\n" * 100_000 + "\n00:01.000 --> 00:02.000\nA\n"),
+    (vtt.parse, "WEBVTT\n\n" + "line\n" * 100_000 + "00:01.000 --> 00:02.000\nA\n"),
+    (srt.parse, "1\n00:00:01,000 --> 00:00:02,000\n" + " " * 1_000_000 + "A" + " " * 1_000_000),
+])
+def test_long_blocks(spark, parse, text):
+    assert spans(parse(text_file(spark, text))) == [(1000, 2000, "A")]
+
+
+def test_long_ass(spark):
+    text = "[Events]\nFormat: Start, End, Text\n" + "Dialogue: 0:00:01.00,0:00:02.00,A\n" * 100_000
+    assert ass.parse(text_file(spark, text, "ass")).agg(F.count("*"), F.max("end_ms"), F.max("cue_idx")).first()[:] == (100_000, 2000, 99_999)
+
+
+def test_one_scan(spark):
+    """Decoding and format dispatch read their files once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    data = docs.select(F.col("doc_id").alias("media_id"), F.lit("srt").alias("ext"), F.encode("text", "UTF-8").alias("content"))
+    plan = files.parse_cues(files.decode(data))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_unreadable_file(spark):
+    rows = spark.createDataFrame([(1, "srt", None), (2, "srt", bytearray(b"x"))], "media_id long, ext string, content binary")
+    assert {r.media_id: r.status for r in files.reencode(rows).collect()} == {1: "failed", 2: "modified"}
+
+
+def test_white_space_ends(spark):
+    """The class and the list of its characters agree."""
+    chars = [chr(c) for c in range(0x3010) if c != 0xFEFF]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", tx.strip_ws(F.concat("c", F.lit("a"), "c")).alias("s"), F.col("c").rlike(f"^{tx.WS}$").alias("w"))
+    assert all((r.s == "a") == r.w for r in rows.collect())
