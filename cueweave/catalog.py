@@ -1109,26 +1109,26 @@ def _(s, d):
 def _(s, d):
     # Every row arrives twice.
     twice = _feed(s, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    out = feeds.run_available(feeds.dedup(twice.drop("copy", "value")))
+    out = feeds.run_available(feeds.dedup, twice.drop("copy", "value"))
     return out.select("media_id", "start_ms", "end_ms", "text")
 
 
 @query("stream_time_join")
 def _(s, d):
-    left = _feed(s, d).where("text in ('click', 'view')")
-    right = _feed(s, d).where("text = 'purchase' or text = 'error'")
-    out = feeds.run_available(feeds.time_join(left, right, 600_000))
-    return out.where("ts_b is not null").select("media_id", F.unix_millis("ts_a").alias("ms_a"), "text_a", F.unix_millis("ts_b").alias("ms_b"), "text_b")
+    """Every event that isn't a purchase or an error, with those near it or alone."""
+    late = "text in ('purchase', 'error')"
+    out = feeds.run_available(lambda a, b: feeds.time_join(a, b, 600_000), _feed(s, d).where(f"not {late}"), _feed(s, d).where(late))
+    return out.select("media_id", F.unix_millis("ts_a").alias("ms_a"), "text_a", F.unix_millis("ts_b").alias("ms_b"), "text_b")
 
 
 @query("stream_drift")
 def _(s, d):
     diffs = _feed(s, d).select("media_id", "ts", (F.col("value") * 10).cast("bigint").alias("diff_ms"))
-    out = feeds.run_available(feeds.drift(diffs, "1 hour", "0 seconds"))
-    return out.select("media_id", F.unix_millis("window_start").alias("window_ms"), "n", "max_ms")
+    out = feeds.run_available(lambda x: feeds.drift(x, "1 hour"), diffs)
+    return out.select("media_id", F.unix_millis("window_start").alias("window_ms"), "n", "max_ms", "median_ms")
 
 
 @query("stream_sessions")
 def _(s, d):
-    out = feeds.run_available(feeds.bursts(_feed(s, d), "2 hours", "0 seconds"))
+    out = feeds.run_available(lambda x: feeds.bursts(x, "2 hours"), _feed(s, d))
     return out.select("media_id", F.unix_millis("first_ts").alias("first_ms"), F.unix_millis("last_ts").alias("last_ms"), "n_cues")

@@ -694,11 +694,10 @@ sql("ass_to_srt", f"""SELECT media_id, seq, seq || {_NL} || s || ' --> ' || e ||
 # ---- streaming ------------------------------------------------------------------------------------
 FEED = "feed AS (SELECT user_id AS media_id, ts, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(trunc(value * 10) AS BIGINT) AS end_ms, event_type AS text, value FROM events)"
 sql("stream_dedup", "SELECT DISTINCT media_id, start_ms, end_ms, text FROM feed QUALIFY row_number() OVER (PARTITION BY media_id, (start_ms + 5) // 10, (end_ms + 5) // 10, text ORDER BY start_ms) = 1", FEED)
-sql("stream_time_join", """SELECT a.media_id, a.start_ms AS ms_a, a.text AS text_a, b.start_ms AS ms_b, b.text AS text_b FROM feed a JOIN feed b ON a.media_id = b.media_id
-  AND a.text IN ('click', 'view') AND b.text IN ('purchase', 'error') AND b.ts BETWEEN a.ts - INTERVAL 600000 MILLISECONDS AND a.ts + INTERVAL 600000 MILLISECONDS""", FEED)
-# Append mode emits the windows and sessions that ended before the newest event.
-sql("stream_drift", """SELECT media_id, epoch_us(h) // 1000 AS window_ms, count(*) AS n, max(CAST(trunc(value * 10) AS BIGINT)) AS max_ms FROM (SELECT *, date_trunc('hour', ts) AS h FROM feed)
-  WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM feed) GROUP BY media_id, h""", FEED)
+sql("stream_time_join", """SELECT a.media_id, a.start_ms AS ms_a, a.text AS text_a, b.start_ms AS ms_b, b.text AS text_b FROM (SELECT * FROM feed WHERE text NOT IN ('purchase', 'error')) a
+  LEFT JOIN feed b ON a.media_id = b.media_id AND b.text IN ('purchase', 'error') AND b.ts BETWEEN a.ts - INTERVAL 600000 MILLISECONDS AND a.ts + INTERVAL 600000 MILLISECONDS""", FEED)
+sql("stream_drift", """SELECT media_id, epoch_us(h) // 1000 AS window_ms, count(*) AS n, max(v) AS max_ms, quantile_disc(v, 0.5) AS median_ms
+  FROM (SELECT *, date_trunc('hour', ts) AS h, CAST(trunc(value * 10) AS BIGINT) AS v FROM feed) GROUP BY media_id, h""", FEED)
 sql("stream_sessions", """SELECT media_id, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS n_cues FROM (
   SELECT *, sum(f) OVER (PARTITION BY media_id ORDER BY ts) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY media_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM feed))
-  GROUP BY media_id, g HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM feed)""", FEED)
+  GROUP BY media_id, g""", FEED)

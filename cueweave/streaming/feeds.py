@@ -6,6 +6,8 @@ bounded by a watermark; sinks write files below the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +15,43 @@ from cueweave.plans.lineage import scratch_path
 from cueweave.sources.files import EXTENSIONS, extension, format_of
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available, then return the written result as a batch table."""
-    spark = stream.sparkSession
+#: Event time and media of the row that ends a bounded feed (a null media would be filtered out before the watermark sees it).
+END, END_MEDIA = "9000-01-01 00:00:00", -(2**62)
+
+
+def _run(stream: DataFrame, base: str) -> None:
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_available(build: Callable[..., DataFrame], *feeds: DataFrame) -> DataFrame:
+    """The whole answer of ``build(*feeds)`` over everything available, as a batch table.
+
+    Append mode holds back what the watermark hasn't closed. So every feed is
+    read together with a folder of its own that stays empty at first; when all
+    there is has been processed, a row far in the future (``END``) of no real
+    media goes into each folder and the query runs on from its checkpoint: the
+    watermark passes the last event, and open windows, sessions and unmatched
+    rows are written like all others. A live feed runs without the second step.
+    """
+    spark = feeds[0].sparkSession
     base = scratch_path(spark, "stream")
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet")
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    folders = [f"{base}/end-{k}" for k in range(len(feeds))]
+    for feed, folder in zip(feeds, folders, strict=True):
+        spark.createDataFrame([], feed.schema).write.parquet(folder)
+
+    def query() -> DataFrame:
+        ends = [spark.readStream.schema(f.schema).parquet(folder) for f, folder in zip(feeds, folders, strict=True)]
+        return build(*[f.unionByName(e) for f, e in zip(feeds, ends, strict=True)])
+
+    _run(query(), base)
+    for feed, folder in zip(feeds, folders, strict=True):
+        last = {"ts": F.to_timestamp(F.lit(END)), "media_id": F.lit(END_MEDIA)}
+        columns = [last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in feed.schema]
+        spark.range(1).select(*columns).write.mode("append").parquet(folder)
+    _run(query(), base)
+    out = spark.read.schema(query().schema).parquet(f"{base}/out")
+    return out.where(F.col("media_id") != END_MEDIA)
 
 
 def ingest(spark: SparkSession, path: str, checkpoint: str, sink: str, glob: str = "*.{" + ",".join(EXTENSIONS) + "}") -> None:
