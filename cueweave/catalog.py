@@ -493,8 +493,7 @@ def _near_texts(s: SparkSession, d: str) -> DataFrame:
 
 @query("similarity_scores")
 def _(s, d):
-    ascii_only = [F.regexp_replace(c, r"[^\x{20}-\x{7E}]", "").alias(c) for c in ("_a", "_b")]
-    pairs = _near_texts(s, d).select("media_id", "a_idx", "b_idx", *ascii_only)
+    pairs = _near_texts(s, d)
     names = ("jaccard", "cosine", "edit", "length", "common")
     scored = sj.pair_scores(sj.profiled(sj.profiled(pairs, "_a", "_p"), "_b", "_q"), "_p", "_q", names)
     cols = {n: F.col(f"s_{n}") for n in names}
@@ -735,7 +734,7 @@ def _(s, d):
     names = ad.file_names(s, d)
     refs = names.select(F.concat("video_stem", F.lit(".en")).alias("stem")).withColumn("path", F.concat("stem", F.lit(".srt")))
     srcs = names.select("stem", F.concat_ws(".", "stem", "ext").alias("path"))
-    return tk.pair_files(srcs, refs)
+    return tk.pair_files(srcs, refs).drop("directory")
 
 
 @query("pair_by_extension")
@@ -754,19 +753,19 @@ def _videos(s: SparkSession, d: str) -> DataFrame:
 @query("pair_prefix")
 def _(s, d):
     subs = ad.file_names(s, d).select(F.concat_ws(".", "stem", "ext").alias("name"), "stem")
-    return tk.pair_prefix(_videos(s, d), subs)
+    return tk.pair_prefix(_videos(s, d), subs).drop("directory")
 
 
 @query("pick_external")
 def _(s, d):
     names = ad.file_names(s, d)
     subs = names.select("stem", "ext", "text").unionByName(names.select(F.col("video_stem").alias("stem"), F.lit("srt").alias("ext"), "text"))
-    return tk.pick_external(_videos(s, d), subs, "english")
+    return tk.pick_external(_videos(s, d), subs, "english").drop("directory")
 
 
 @query("external_subtitles")
 def _(s, d):
-    return tk.external_subtitles(_videos(s, d), ad.file_names(s, d).select("stem", "ext"))
+    return tk.external_subtitles(_videos(s, d), ad.file_names(s, d).select("stem", "ext")).drop("directory")
 
 
 def _fonts(s: SparkSession, d: str) -> DataFrame:
@@ -788,7 +787,7 @@ def _(s, d):
 @query("merge_from_alignments")
 def _(s, d):
     a, b = cues_a(s, d), cues_zh(s, d)
-    return jn.merge_from_alignments(a, b, jn.overlap_best(a, b), sy.reference_track(a, b, ad.media_roles(s, d)))
+    return jn.merge_from_alignments(a, b, jn.overlap_best(a, b), sy.reference_track(a, b, ad.media_roles(s, d))).drop("style", "raw")
 
 
 # ---- aggregates -------------------------------------------------------------------
@@ -831,7 +830,9 @@ def _(s, d):
 
 @query("forced_track")
 def _(s, d):
-    few = cues_a(s, d).where(F.length("text") > 120)
+    # Track a with every 15 cues joined: far fewer cues, all of the text.
+    key = ["media_id", F.call_function("div", F.col("cue_idx"), F.lit(15)).alias("cue_idx")]
+    few = cues_a(s, d).groupBy(*key).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum(F.length("text")).alias("n_chars"))
     return sm.forced_track(few, cues_same(s, d))
 
 
@@ -1001,11 +1002,17 @@ def _(s, d):
 
 @query("merge_mixed")
 def _(s, d):
-    roles = ad.media_roles(s, d).where("source1 <> source2")
-    keep = roles.select("media_id")
-    return mg.merge_mixed(
-        named_a(s, d).join(keep, "media_id", "left_semi"), named_b(s, d).join(keep, "media_id", "left_semi"), roles
-    ).drop("style", "raw")
+    """Mixed sources are realigned; the other media keep their timing."""
+    roles, cols = ad.media_roles(s, d), ["media_id", "idx1", "idx2", "start_ms", "end_ms", "text", "kind"]
+    mixed, rest = (roles.where(f"{test}(source1 <> source2)") for test in ("", "not "))
+
+    def of(cues, some):
+        return cues.join(some.select("media_id"), "media_id", "left_semi")
+
+    a, b = named_a(s, d), named_b(s, d)
+    return mg.merge_mixed(of(a, mixed), of(b, mixed), mixed).select(*cols).unionByName(
+        mg.merge_preserved(of(a, rest), of(b, rest), rest).select(*cols)
+    )
 
 
 @query("merge_enhanced")

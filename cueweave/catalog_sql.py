@@ -288,7 +288,7 @@ sql("lang_semi", f"SELECT media_id, rel_index, language FROM tracks WHERE list_c
 
 def _counts(x: str) -> str:
     def n(cls: str) -> str:
-        return f"length(regexp_replace({x}[:2000], '[^{cls}]', '', 'g'))"
+        return f"length(regexp_replace({x}, '[^{cls}]', '', 'g'))"
     kana, hangul = n("\\x{3040}-\\x{30FF}"), n("\\x{AC00}-\\x{D7AF}")
     cjk = n("\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{AC00}-\\x{D7AF}")
     return f"CASE WHEN {cjk} > 10 THEN CASE WHEN {hangul} > {kana} AND {hangul} > {cjk} * 0.3 THEN 'ko' WHEN {kana} > {cjk} * 0.1 THEN 'ja' ELSE 'zh' END END"
@@ -316,7 +316,7 @@ def _is_en(lang: str, x: str) -> str:
 sql("track_is_lang", f"""SELECT media_id, {_is_zh('language', 'sample')} AS is_chinese, {_is_en('language', 'sample')} AS is_english
   FROM head3 JOIN tracks USING (media_id) WHERE rel_index = 0""", LINES, TRACK_B, HEAD3.format("a"), TRACKS)
 _NAME = "stem || '.' || ext"
-_RESOLVED = f"coalesce(nullif({_from_name('(' + _NAME + ')')}, 'unknown'), {_lang('(text[:4096])')})"
+_RESOLVED = f"coalesce(nullif({_from_name('(' + _NAME + ')')}, 'unknown'), {_lang('text')})"
 sql("resolve_lang", f"SELECT media_id, {_RESOLVED} AS lang FROM files", FILES)
 
 
@@ -360,15 +360,23 @@ sql("numbers", "SELECT media_id, cue_idx, array_to_string(tokens, '|') AS number
 # ---- similarity ---------------------------------------------------------------------------
 TIMED = """timed AS (SELECT a.media_id, a.cue_idx AS a_idx, b.cue_idx AS b_idx, abs(a.start_ms - b.start_ms) AS delta_ms, a.text AS ta, b.text AS tb
   FROM a JOIN same b ON a.media_id = b.media_id AND abs(a.start_ms - b.start_ms) <= 500)"""
+# levenshtein counts bytes here: the accented letters become capitals (the normal form has none), one byte each.
+_ACCENTS = "àâäæçèéêëíîïñóôöœßúûüÿáìòù"
+
+
+def _single(x: str) -> str:
+    return f"translate({x}, '{_ACCENTS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
 _SC = f"""scored AS (SELECT *, CASE WHEN len(w1) = 0 AND len(w2) = 0 THEN 1.0 ELSE len(list_intersect(w1, w2)) / len(list_distinct(list_concat(w1, w2))) END AS jaccard,
   CASE WHEN len(w1) = 0 OR len(w2) = 0 THEN 0.0 ELSE coalesce(list_sum(list_transform(list_intersect(w1, w2), lambda w: len(list_filter(w1, lambda x: x = w)) * len(list_filter(w2, lambda x: x = w)))), 0)
     / (sqrt(list_sum(list_transform(list_distinct(w1), lambda w: len(list_filter(w1, lambda x: x = w)) ** 2))) * sqrt(list_sum(list_transform(list_distinct(w2), lambda w: len(list_filter(w2, lambda x: x = w)) ** 2)))) END AS cosine,
-  CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(x, y) / greatest(length(x), length(y)) END AS edit,
+  CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1.0 - levenshtein({_single("x")}, {_single("y")}) / greatest(length(x), length(y)) END AS edit,
   CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE least(length(x), length(y)) / greatest(length(x), length(y)) END AS length,
   CASE WHEN len(s1) = 0 AND len(s2) = 0 THEN 1.0 WHEN len(s1) = 0 OR len(s2) = 0 THEN 0.0 ELSE len(list_intersect(s1, s2)) / len(list_distinct(list_concat(s1, s2))) END AS common
   FROM (SELECT *, list_filter(w1, lambda w: NOT list_contains({_list(sim.STOP_WORDS)}, w)) AS s1, list_filter(w2, lambda w: NOT list_contains({_list(sim.STOP_WORDS)}, w)) AS s2 FROM (
     SELECT *, list_filter(string_split(x, ' '), lambda w: w <> '') AS w1, list_filter(string_split(y, ' '), lambda w: w <> '') AS w2 FROM (
-      SELECT media_id, a_idx, b_idx, {_norm("regexp_replace(ta, '[^\\x{20}-\\x{7E}]', '', 'g')")} AS x, {_norm("regexp_replace(tb, '[^\\x{20}-\\x{7E}]', '', 'g')")} AS y FROM timed))))"""
+      SELECT media_id, a_idx, b_idx, {_norm("ta")} AS x, {_norm("tb")} AS y FROM timed))))"""
 sql("similarity_scores", """SELECT media_id, a_idx, b_idx, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine, round(edit, 6) AS edit, round(length, 6) AS length, round(common, 6) AS common,
   round(0.2 * jaccard + 0.2 * cosine + 0.15 * edit + 0.1 * length + 0.1 * common, 6) AS weighted,
   round(least(0.2, 2 * list_var_pop([jaccard, cosine, edit, length, common])) + 1e-12, 6) AS variance,
@@ -535,7 +543,7 @@ sql("pair_prefix", "SELECT v.media_id, v.video_stem AS stem, min(f.stem || '.' |
 _FRAG = f"len(list_filter({_list(lg.EXTERNAL_PATTERNS['english'])}, lambda p: contains(lower(name), p))) > 0"
 sql("pick_external", f"""SELECT media_id, stem, subtitle, lvl > 0 AS by_content FROM (
   SELECT v.media_id, v.video_stem AS stem, n.name AS subtitle, CASE WHEN {_FRAG} THEN 0 ELSE 1 END AS lvl
-  FROM files v JOIN subs n ON starts_with(n.name, v.video_stem) AND (({_FRAG}) OR (n.stem = v.video_stem AND {_lang('(n.text[:4096])')} = 'en'))
+  FROM files v JOIN subs n ON starts_with(n.name, v.video_stem) AND (({_FRAG}) OR (n.stem = v.video_stem AND {_lang('n.text')} = 'en'))
   QUALIFY row_number() OVER (PARTITION BY v.media_id ORDER BY CASE WHEN {_FRAG} THEN 0 ELSE 1 END, length(n.name), n.name) = 1)""",
     FILES, "subs AS (SELECT stem, stem || '.' || ext AS name, text FROM files UNION ALL SELECT video_stem, video_stem || '.srt', text FROM files)")
 sql("external_subtitles", """SELECT DISTINCT v.media_id, n.name FROM files v JOIN (SELECT stem || '.' || ext AS name FROM files) n ON starts_with(n.name, v.video_stem || '.')
@@ -577,7 +585,7 @@ sql("track_summary", """SELECT media_id, count(*) AS n_cues, min(start_ms) AS fi
   arg_max(end_ms, cue_idx) AS final_end_ms, CAST(sum(end_ms - start_ms) AS BIGINT) AS shown_ms FROM track_a GROUP BY 1""", LINES)
 sql("conv_summary", "SELECT conv_id AS media_id, role AS track, count(*) AS n_cues, min(turn) * 3000 AS first_ms, max(turn) * 3000 + 2500 AS last_ms FROM conversations GROUP BY 1, 2")
 sql("forced_track", """SELECT media_id, n1, n2, CASE WHEN n1 / n2 < 0.1 THEN 'first' WHEN n2 / n1 < 0.1 THEN 'second' END AS forced
-  FROM (SELECT media_id, count(*) AS n1 FROM a WHERE length(text) > 120 GROUP BY 1) JOIN (SELECT media_id, count(*) AS n2 FROM same GROUP BY 1) USING (media_id)""", LINES, TRACK_B)
+  FROM (SELECT media_id, count(DISTINCT cue_idx // 15) AS n1 FROM a GROUP BY 1) JOIN (SELECT media_id, count(*) AS n2 FROM same GROUP BY 1) USING (media_id)""", LINES, TRACK_B)
 
 
 def _hit(words) -> str:

@@ -115,9 +115,12 @@ def language_name(code: Column) -> Column:
     return F.when(low.isin(*LANG_CODES["zh"]), "chinese").when(low.isin(*LANG_CODES["en"]), "english")
 
 
-def detect_lang_counts(text: Column) -> Column:
-    """Count rule on the first 2000 characters: more than 10 CJK characters, then Hangul and kana shares."""
-    head = F.substring(text, 1, 2000)
+def detect_lang_counts(text: Column, head: int | None = None) -> Column:
+    """Count rule: more than 10 CJK characters, then Hangul and kana shares.
+
+    Reads the whole text, or its first ``head`` characters (the single-machine rule: 2000).
+    """
+    head = text if head is None else F.substring(text, 1, head)
     cjk = count_in(head, r"[^\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]")
     kana = count_in(head, r"[^\x{3040}-\x{30FF}]")
     hangul = count_in(head, r"[^\x{AC00}-\x{D7AF}]")
@@ -154,11 +157,10 @@ def is_english_track(language: Column, sample: Column) -> Column:
     return tag | F.coalesce((total > 0) & (count_in(sample, "[^A-Za-z]") / total > 0.7), F.lit(False))
 
 
-def resolve_lang(name: Column, content: Column) -> Column:
-    """File name first, then the first 4096 characters of the content."""
-    return F.coalesce(
-        F.nullif(lang_from_name(name), F.lit("unknown")), detect_lang(F.substring(content, 1, 4096))
-    )
+def resolve_lang(name: Column, content: Column, head: int | None = None) -> Column:
+    """File name first, then the content: all of it, or its first ``head`` characters (the single-machine rule: 4096)."""
+    part = content if head is None else F.substring(content, 1, head)
+    return F.coalesce(F.nullif(lang_from_name(name), F.lit("unknown")), detect_lang(part))
 
 
 def strip_suffix(stem: Column, suffixes: list[str], ignore_case: bool = True) -> Column:

@@ -101,24 +101,24 @@ def _question(text: Column, words: tuple[str, ...], marks: tuple[str, ...], long
     return (F.length(t) > longer_than) & hit
 
 
-def first_dialogue(embedded: DataFrame, external: DataFrame, strict: bool = False) -> DataFrame:
+def first_dialogue(embedded: DataFrame, external: DataFrame, strict: bool = False, first: int | None = None) -> DataFrame:
     """First question-like cue of both tracks as an anchor.
 
-    Within the first five cues at confidence 0.8; ``strict`` looks at three
-    cues, wants a question word and a question mark, and gives 0.95.
+    Within the ``first`` cues (five) at confidence 0.8; ``strict`` looks at
+    three, wants a question word and a question mark, and gives 0.95.
     """
-    k = 3 if strict else 5
+    k = first if first is not None else 3 if strict else 5
     # Question words and marks.
     en = ("who", "what") if strict else ("who", "what", "how", "why")
     zh = ("你", "什么") if strict else ("你", "什么", "怎么", "为什么")
 
-    def first(cues: DataFrame, test: Column, side: str) -> DataFrame:
+    def earliest(cues: DataFrame, test: Column, side: str) -> DataFrame:
         return cues.where((F.col("cue_idx") < k) & test).groupBy("media_id").agg(
             F.min(F.struct(F.col("cue_idx"), F.col("start_ms"))).alias("f")
         ).select("media_id", F.col("f.cue_idx").alias(f"{side}_idx"), F.col("f.start_ms").alias(f"{side}_ms"))
 
-    left = first(embedded, _question(F.col("text"), en, ("?",), 20, strict), "src")
-    right = first(external, _question(F.col("text"), zh, ("?", "？"), 5, strict), "ref")
+    left = earliest(embedded, _question(F.col("text"), en, ("?",), 20, strict), "src")
+    right = earliest(external, _question(F.col("text"), zh, ("?", "？"), 5, strict), "ref")
     return left.join(right, "media_id").select(
         "media_id", "src_idx", "ref_idx", (F.col("src_ms") - F.col("ref_ms")).alias("offset_ms"),
         F.lit(0.95 if strict else 0.8).alias("confidence"),

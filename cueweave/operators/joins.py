@@ -127,29 +127,33 @@ def merge_from_alignments(a: DataFrame, b: DataFrame, pairs: DataFrame, referenc
     """Aligned pairs with the reference side's timing, plus the leftovers of both tracks.
 
     ``pairs`` is ``media_id, a_idx, b_idx`` (an index may occur in several
-    pairs), ``reference`` is ``media_id, reference`` (1 or 2).
+    pairs), ``reference`` is ``media_id, reference`` (1 or 2). A pair has the
+    style of its first side, or else of its second, and no raw text; leftovers
+    keep both.
     """
-    left = a.withColumnRenamed("cue_idx", "a_idx")
-    right = b.select(
-        "media_id", F.col("cue_idx").alias("b_idx"), F.col("start_ms").alias("_bs"),
-        F.col("end_ms").alias("_be"), F.col("text").alias("_bt"),
-    )
-    joined = pairs.select("media_id", "a_idx", "b_idx").join(left.select("media_id", "a_idx", "start_ms", "end_ms", "text"), ["media_id", "a_idx"]).join(
-        right, ["media_id", "b_idx"]
-    ).join(reference, "media_id")
+    def side(cues: DataFrame, idx: str, mark: str) -> DataFrame:
+        for name in ("style", "raw"):
+            if name not in cues.columns:
+                cues = cues.withColumn(name, F.lit(None).cast("string"))
+        return cues.select("media_id", F.col("cue_idx").alias(idx), *[F.col(c).alias(mark + c) for c in ("start_ms", "end_ms", "text", "style", "raw")])
+
+    left, right = side(a, "a_idx", "a_"), side(b, "b_idx", "b_")
+    joined = pairs.select("media_id", "a_idx", "b_idx").join(left, ["media_id", "a_idx"]).join(right, ["media_id", "b_idx"]).join(reference, "media_id")
     first = F.col("reference") == 1
+    none, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    style = F.coalesce(F.nullif("a_style", F.lit("")), F.nullif("b_style", F.lit("")))
     both = joined.select(
         "media_id", F.col("a_idx").alias("idx1"), F.col("b_idx").alias("idx2"),
-        F.when(first, F.col("start_ms")).otherwise(F.col("_bs")).alias("start_ms"),
-        F.when(first, F.col("end_ms")).otherwise(F.col("_be")).alias("end_ms"),
-        combine_texts(F.col("text"), F.col("_bt"), top).alias("text"), F.lit("both").alias("kind"),
-    )
-    none = F.lit(None).cast("int")
-    only_a = left.join(pairs.select("media_id", "a_idx").distinct(), ["media_id", "a_idx"], "left_anti").select(
-        "media_id", F.col("a_idx").alias("idx1"), none.alias("idx2"), "start_ms", "end_ms", "text", F.lit("first").alias("kind")
-    )
-    only_b = right.join(pairs.select("media_id", "b_idx").distinct(), ["media_id", "b_idx"], "left_anti").select(
-        "media_id", none.alias("idx1"), F.col("b_idx").alias("idx2"), F.col("_bs").alias("start_ms"),
-        F.col("_be").alias("end_ms"), F.col("_bt").alias("text"), F.lit("second").alias("kind"),
+        F.when(first, F.col("a_start_ms")).otherwise(F.col("b_start_ms")).alias("start_ms"),
+        F.when(first, F.col("a_end_ms")).otherwise(F.col("b_end_ms")).alias("end_ms"),
+        combine_texts(F.col("a_text"), F.col("b_text"), top).alias("text"), style.alias("style"), no_text.alias("raw"), F.lit("both").alias("kind"),
     )
-    return both.unionByName(only_a).unionByName(only_b)
+
+    def alone(cues: DataFrame, idx: str, mark: str, kind: str) -> DataFrame:
+        rest = cues.join(pairs.select("media_id", idx).distinct(), ["media_id", idx], "left_anti")
+        return rest.select(
+            "media_id", (F.col(idx) if kind == "first" else none).alias("idx1"), (none if kind == "first" else F.col(idx)).alias("idx2"),
+            *[F.col(mark + c).alias(c) for c in ("start_ms", "end_ms", "text", "style", "raw")], F.lit(kind).alias("kind"),
+        )
+
+    return both.unionByName(alone(left, "a_idx", "a_", "first")).unionByName(alone(right, "b_idx", "b_", "second"))

@@ -20,6 +20,7 @@ from cueweave.operators.timing import anti_jitter, apply_offset
 from cueweave.plans.lineage import cut_lineage
 from cueweave.plans.ordered import number_rows
 from cueweave.plans.ranges import near_pairs
+from cueweave.sources import ass
 
 MERGED = ["media_id", "idx1", "idx2", "start_ms", "end_ms", "text", "style", "raw", "kind"]
 _HAN = r"[\x{4E00}-\x{9FFF}]"
@@ -263,10 +264,13 @@ def merge_mixed(
 
 def merge_enhanced(
     a: DataFrame, b: DataFrame, roles: DataFrame, top: str = "first", threshold: float = 0.8,
-    gap_ms: int = 100, translated: DataFrame | None = None,
+    gap_ms: int = 100, translated: DataFrame | None = None, sync: str = "first-line", preference: str = "auto",
 ) -> DataFrame:
     """Global sync, nearest starts, text similarity for poorly aligned media, leftovers, anti-jitter.
 
+    ``sync`` is the strategy of the global synchronisation (see
+    :func:`cueweave.operators.sync.global_plan`), ``preference`` the language
+    whose track is the reference, ``threshold`` that of the text similarity.
     ``translated`` (``media_id, a_idx, b_idx, confidence``) gives anchors for
     the cross-language case; media with one are completed by
     :func:`cueweave.operators.joins.align_from_anchor` instead of similarity.
@@ -275,9 +279,8 @@ def merge_enhanced(
     from cueweave.operators.similarity_join import similarity_align
     from cueweave.operators.sync import apply_global_offset, global_plan, reference_track
 
-    cols = ["media_id", "cue_idx", "start_ms", "end_ms", "text"]
-    a, b = a.select(*cols), b.select(*cols)
-    plan = cut_lineage(global_plan(a, b, roles), "plan")
+    a, b = with_style(a), with_style(b)
+    plan = cut_lineage(global_plan(a, b, roles, sync, translated, preference), "plan")
     # Both tracks are read many times below; written once, the plans stay small.
     one = cut_lineage(apply_global_offset(a, plan, 1), "track")
     two = cut_lineage(apply_global_offset(b, plan, 2), "track")
@@ -311,18 +314,21 @@ def merge_enhanced(
             anchor.select("media_id", "a_idx", "b_idx")
         ).unionByName(chained.select("media_id", "a_idx", "b_idx"))
     pairs = timed.select("media_id", "a_idx", "b_idx").unionByName(by_text)
-    merged = merge_from_alignments(one, two, pairs, reference_track(one, two, roles), top)
+    merged = merge_from_alignments(one, two, pairs, reference_track(one, two, roles, preference), top)
     ordered = merged_order(merged).withColumnRenamed("seq", "cue_idx")
-    none = F.lit(None).cast("string")
-    return anti_jitter(ordered, gap_ms).select(
-        "media_id", "idx1", "idx2", "start_ms", "end_ms", "text", none.alias("style"), none.alias("raw"), "kind"
-    )
+    return anti_jitter(ordered, gap_ms).select(*MERGED)
 
 
 def merge(
-    a: DataFrame, b: DataFrame, roles: DataFrame, align: bool = True, top: str = "first", threshold: float = 0.8
+    a: DataFrame, b: DataFrame, roles: DataFrame, align: bool = True, top: str = "first", threshold: float = 0.8,
+    gap_ms: int = 100, sync: str = "auto", preference: str = "auto", translated: DataFrame | None = None,
 ) -> DataFrame:
-    """Merge every media by its own strategy; adds ``strategy``."""
+    """Merge every media by its own strategy; adds ``strategy``.
+
+    ``translated`` (``media_id, a_idx, b_idx, confidence``) are anchors between
+    the tracks found through a translation; they serve the realignment of mixed
+    sources and the enhanced merge. The other options go to the enhanced merge.
+    """
     a, b = with_style(a), with_style(b)
     chosen = cut_lineage(merge_strategy(a, b, roles, align), "strategy")
 
@@ -341,12 +347,23 @@ def merge(
     out = out.unionByName(tag(_alone(part("copy_second")[1], "second"), "copy_second"))
     if align:
         ma, mb, mr = part("mixed")
-        out = out.unionByName(tag(merge_mixed(ma, mb, mr, top), "mixed"))
+        out = out.unionByName(tag(merge_mixed(ma, mb, mr, top, _by_source(translated, mr)), "mixed"))
         ea, eb, er = part("enhanced")
-        out = out.unionByName(tag(merge_enhanced(ea, eb, er, top, threshold), "enhanced"))
+        out = out.unionByName(tag(merge_enhanced(ea, eb, er, top, threshold, gap_ms, translated, sync, preference), "enhanced"))
     return out
 
 
+def _by_source(translated: DataFrame | None, roles: DataFrame) -> DataFrame | None:
+    """Anchors by track as anchors from the external track (``src_idx``) to the embedded one (``ref_idx``)."""
+    if translated is None:
+        return None
+    first = F.col("source1") == "embedded"
+    return translated.join(roles.select("media_id", "source1"), "media_id").select(
+        "media_id", F.when(first, F.col("b_idx")).otherwise(F.col("a_idx")).alias("src_idx"),
+        F.when(first, F.col("a_idx")).otherwise(F.col("b_idx")).alias("ref_idx"), "confidence",
+    )
+
+
 def merge_ass(a: DataFrame, b: DataFrame, roles: DataFrame, align: bool = False, top: str = "first") -> DataFrame:
     """ASS with ASS: only dialogue styles merge, side 2's other events are kept unchanged.
 
@@ -357,11 +374,12 @@ def merge_ass(a: DataFrame, b: DataFrame, roles: DataFrame, align: bool = False,
     dialogue_b = b.where(is_dialogue_style(F.col("style")))
     other_b = b.where(~is_dialogue_style(F.col("style")))
     merged = merge(dialogue_a, dialogue_b, roles, align, top).drop("strategy")
+    # A pair has lost its raw text, whether or not it kept a style of its own.
     zh_styles = dialogue_a.select("media_id", F.coalesce("style", F.lit("Default")).alias("style")).distinct().withColumn(
         "_zh", F.lit(True)
     )
     styled = merged.join(zh_styles, ["media_id", "style"], "left")
-    combined: Column = F.col("style").isNull()
+    combined: Column = F.col("style").isNull() | ((F.col("kind") == "both") & F.col("raw").isNull())
     bilingual = combined | F.coalesce("_zh", F.lit(False))
     out = styled.select(
         "media_id", "idx1", "idx2", "start_ms", "end_ms", "text",
@@ -371,13 +389,42 @@ def merge_ass(a: DataFrame, b: DataFrame, roles: DataFrame, align: bool = False,
     return out.unionByName(_alone(other_b, "second"))
 
 
+def ass_file(merged: DataFrame, english: DataFrame) -> DataFrame:
+    """``media_id, seq, block`` of whole ASS files: the English file's header and styles, the Bilingual style, events by start and end.
+
+    ``merged`` is the result of :func:`merge_ass`, ``english`` the English files (``media_id, text``).
+    """
+    parts = ass.header_parts(english)
+    style = bilingual_style(ass.script_info(english)).select("media_id", "style_line")
+    lines = parts.join(style, "media_id", "left").withColumn(
+        "style_line", F.coalesce("style_line", bilingual_line(F.lit(1080)))
+    )
+    with_format = F.when(
+        F.exists("styles", lambda x: F.lower(F.trim(x)).startswith("format:")), F.col("styles")
+    ).otherwise(F.concat(F.array(F.lit(ass.STYLE_FORMAT)), F.col("styles")))
+    header = lines.select("media_id", F.concat(
+        F.lit("[Script Info]\n"), F.array_join("info", "\n"), F.lit("\n\n[V4+ Styles]\n"), F.array_join(with_format, "\n"), F.lit("\n"),
+        "style_line", F.lit(f"\n\n[Events]\n{ass.EVENT_FORMAT}"),
+    ).alias("block"))
+    rank = F.when(F.col("kind") == "both", 0).when(F.col("kind") == "first", 1).otherwise(2)
+    ranked = merged.withColumn("_rank", rank).withColumn("_i", F.coalesce("idx1", "idx2")).withColumn("_j", F.coalesce("idx2", "idx1"))
+    placed = number_rows(ranked, ["media_id"], "start_ms", ["end_ms", "_rank", "_i", "_j"], "cue_idx")
+    return ass.render(placed.select("media_id", "cue_idx", "start_ms", "end_ms", "text", "style", "raw"), header)
+
+
+def bilingual_line(play_res_y: Column) -> Column:
+    """Fixed wording: the style line, its font size from the height."""
+    font = F.greatest(F.lit(40), F.call_function("div", play_res_y * 48, F.lit(1000)).cast("int"))
+    return F.concat(
+        F.lit("Style: Bilingual,Microsoft YaHei,"), font.cast("string"),
+        F.lit(",&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0,0,100,100,0,0,1,3,1,2,15,15,50,1"),
+    )
+
+
 def bilingual_style(script_info: DataFrame) -> DataFrame:
     """``media_id, font_size, style_line``: font size from PlayResY (``key, value`` header rows)."""
     res = F.max(F.when(F.col("key") == "playresy", F.col("value").try_cast("int")))
     size = script_info.groupBy("media_id").agg(F.coalesce(res, F.lit(1080)).alias("_y"))
     font = F.greatest(F.lit(40), F.expr("_y * 48 div 1000").cast("int"))
-    line = F.concat(
-        F.lit("Style: Bilingual,Microsoft YaHei,"), font.cast("string"),
-        F.lit(",&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0,0,100,100,0,0,1,3,1,2,15,15,50,1"),
-    )
+    line = bilingual_line(F.col("_y"))
     return size.select("media_id", font.alias("font_size"), line.alias("style_line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,23 +95,50 @@ def _prefix_words(texts: DataFrame, side: str, need: float) -> DataFrame:
     return words.withColumn("_bound", bound).where(F.col("_bound") >= need - 1e-9).select(*key, "word")
 
 
+def _similar_lengths(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
+    """Pairs of texts whose lengths let them reach ``min_score`` without a common word.
+
+    With r the shorter length over the longer, such a pair scores at most
+    0.25 * 2r / (1 + r) by sequence, (0.15 + 0.1) r by edit distance and length
+    and 0.1 by common words (if neither text has any but stop words). Texts meet
+    in classes of that ratio; the lower the threshold, the fewer the classes,
+    and at 0.1 or below every pair of a media qualifies and is returned.
+    """
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        r = (low + high) / 2
+        low, high = (r, high) if 0.5 * r / (1 + r) + 0.25 * r + 0.1 < min_score else (low, r)
+    if min_score <= 0.1:
+        return left.join(right, "media_id").select("media_id", "a_id", "b_id")
+    size = lambda side: F.greatest(F.length(f"{side}_norm"), F.lit(1))
+    group = lambda side: F.floor(F.log(size(side)) / math.log(1 / min(low, 1 - 1e-6)) + 1e-9)
+    a = left.where("a_norm <> ''").select("media_id", "a_id", size("a").alias("_la"), group("a").alias("_class"))
+    b = right.where("b_norm <> ''").select("media_id", "b_id", size("b").alias("_lb"), F.explode(F.array(*[group("b") + k for k in (-1, 0, 1)])).alias("_class"))
+    near = F.least("_la", "_lb") >= low * F.greatest("_la", "_lb") - 1e-9
+    return a.join(b, ["media_id", "_class"]).where(near).select("media_id", "a_id", "b_id")
+
+
 def text_pairs(src: DataFrame, ref: DataFrame, min_score: float) -> DataFrame:
     """All distinct text pairs of a media with combined similarity >= ``min_score``, exactly.
 
     Prefix filter: with every character score at its maximum of 1 a pair still
     needs jaccard + cosine + common / 2 >= 5 (min_score - 0.5), so its rarest
     shared word is a prefix word on both sides. The word join carries text ids
-    only; texts are attached to the distinct id pairs. Thresholds below 0.6
-    are refused: pairs without a common word could reach them.
+    only; texts are attached to the distinct id pairs. Below 0.6 pairs without a
+    common word can qualify too, if their lengths are near enough: those come
+    from a join on length classes (see :func:`_similar_lengths`).
     ``media_id, a_id, b_id, similarity, _var`` with the texts' first indexes as ids.
     """
-    if min_score < 0.6:
-        raise ValueError("similarity thresholds below 0.6 cannot be found through shared words")
+    if not 0.0 <= min_score <= 1.0:
+        raise ValueError("a similarity threshold lies between 0 and 1")
     need = 5.0 * (min_score - 0.5)
     left, right = cut_lineage(_texts(src, "a"), "texts"), cut_lineage(_texts(ref, "b"), "texts")
     pairs = _prefix_words(left, "a", need).join(_prefix_words(right, "b", need), ["media_id", "word"]).select(
         "media_id", "a_id", "b_id"
-    ).distinct()
+    )
+    if min_score < 0.6:
+        pairs = pairs.unionByName(_similar_lengths(left, right, min_score))
+    pairs = pairs.distinct()
     profiles_a = sim.with_profile(left, "a_norm", "_p").drop("a_norm")
     profiles_b = sim.with_profile(right, "b_norm", "_q").drop("b_norm")
     attached = pairs.join(profiles_a, ["media_id", "a_id"]).join(profiles_b, ["media_id", "b_id"])
@@ -231,11 +260,18 @@ def anchor_sampled(
 
 
 def anchor_quartiles(src: DataFrame, ref: DataFrame, translations: DataFrame, scan: int = 20, threshold: float = 0.7) -> DataFrame:
-    """Five positions of the first ``scan`` cues on each side, two-way text similarity."""
-    spots = sorted({0, scan // 4, scan // 2, 3 * scan // 4, scan - 1})
-    left = src.where(F.col("cue_idx").isin(*spots)).join(
+    """Five positions of the first ``scan`` cues on each side, two-way text similarity.
+
+    The scan is as long as the shorter track allows, so a media has its own
+    positions: the first, a quarter, half and three quarters in, and the last.
+    """
+    sizes = src.groupBy("media_id").agg(F.count("*").alias("_n1")).join(ref.groupBy("media_id").agg(F.count("*").alias("_n2")), "media_id")
+    long = F.least(F.lit(scan), "_n1", "_n2").cast("int")
+    spots = F.array_distinct(F.array(F.lit(0), F.floor(long / 4), F.floor(long / 2), F.floor(3 * long / 4), long - 1).cast("array<int>"))
+    wanted = sizes.select("media_id", F.explode(spots).alias("cue_idx"))
+    left = src.join(wanted, ["media_id", "cue_idx"]).join(
         translations.select("text", "translated").dropDuplicates(["text"]), "text"
     ).select("media_id", F.col("cue_idx").alias("a_idx"), F.lower(F.trim("translated")).alias("_a"))
-    right = ref.where(F.col("cue_idx").isin(*spots)).select("media_id", F.col("cue_idx").alias("b_idx"), F.lower(F.trim("text")).alias("_b"))
+    right = ref.join(wanted, ["media_id", "cue_idx"]).select("media_id", F.col("cue_idx").alias("b_idx"), F.lower(F.trim("text")).alias("_b"))
     scored = left.join(right, "media_id").withColumn("confidence", sim.text_sim2(F.col("_a"), F.col("_b")))
     return top_pair(scored.where(F.col("confidence") >= threshold))

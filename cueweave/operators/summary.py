@@ -214,9 +214,9 @@ def same_language(a: DataFrame, b: DataFrame, sampled: bool = True, k: int = 10)
     )
 
 
-def track_is_lang(cues: DataFrame, languages: DataFrame) -> DataFrame:
-    """Chinese / English flags from the tag or the first three cues (``languages``: media_id, language)."""
-    sample = sample_text(cues.where("cue_idx < 3"), 3)
+def track_is_lang(cues: DataFrame, languages: DataFrame, first: int = 3) -> DataFrame:
+    """Chinese / English flags from the tag or the ``first`` cues (``languages``: media_id, language)."""
+    sample = sample_text(cues.where(F.col("cue_idx") < first), first)
     return languages.join(sample, "media_id", "left").select(
         "media_id", is_chinese_track(F.col("language"), F.col("sample")).alias("is_chinese"),
         is_english_track(F.col("language"), F.col("sample")).alias("is_english"),

@@ -115,8 +115,15 @@ def global_sync(a: DataFrame, b: DataFrame, roles: DataFrame, strategy: str = "f
     return one.unionByName(two)
 
 
-def global_plan(a: DataFrame, b: DataFrame, roles: DataFrame, strategy: str = "first-line", translated: DataFrame | None = None) -> DataFrame:
-    reference = reference_track(a, b, roles)
+def global_plan(
+    a: DataFrame, b: DataFrame, roles: DataFrame, strategy: str = "first-line", translated: DataFrame | None = None, preference: str = "auto"
+) -> DataFrame:
+    """Reference track and offset per media; ``auto`` is ``translation`` where such anchors are given, else ``first-line``."""
+    reference = reference_track(a, b, roles, preference)
+    if strategy == "auto":
+        strategy = "first-line" if translated is None else "translation"
+    if strategy not in ("first-line", "scan", "scan60", "translation"):
+        raise ValueError(f"unknown sync strategy {strategy}")
     if strategy == "first-line":
         found = anchor_first(a, b)
     elif strategy == "scan":

@@ -196,14 +196,21 @@ def mixed_scenario(tracks: DataFrame, external: DataFrame) -> DataFrame:
     return embedded.join(external, "media_id").select("media_id", "emb_zh", "emb_en", kind.alias("scenario"))
 
 
+def in_directory(files: DataFrame) -> DataFrame:
+    """Files pair inside their ``directory``; a table without that column is one directory."""
+    return files if "directory" in files.columns else files.withColumn("directory", F.lit(""))
+
+
 def pair_files(sources: DataFrame, references: DataFrame) -> DataFrame:
-    """``base, source, reference`` on the suffix-stripped stem; the last reference of a base wins.
+    """``directory, base, source, reference`` on the suffix-stripped stem; the last reference of a base wins.
 
-    Both inputs have ``stem, path``. References are reduced to one per base
-    before the join, so no base multiplies rows.
+    Both inputs have ``stem, path`` and ``directory`` where files lie in
+    several. References are reduced to one per base before the join, so no base
+    multiplies rows.
     """
-    refs = references.groupBy(base_name(F.col("stem")).alias("base")).agg(F.max("path").alias("reference"))
-    return sources.select(base_name(F.col("stem")).alias("base"), F.col("path").alias("source")).join(refs, "base")
+    key = ["directory", "base"]
+    refs = in_directory(references).groupBy("directory", base_name(F.col("stem")).alias("base")).agg(F.max("path").alias("reference"))
+    return in_directory(sources).select("directory", base_name(F.col("stem")).alias("base"), F.col("path").alias("source")).join(refs, key)
 
 
 def pair_by_extension(files: DataFrame, source_ext: str, reference_ext: str) -> DataFrame:
@@ -216,60 +223,72 @@ def pair_by_extension(files: DataFrame, source_ext: str, reference_ext: str) ->
 
 
 def pair_prefix(videos: DataFrame, subtitles: DataFrame) -> DataFrame:
-    """First subtitle (by name) whose stem is the video stem or starts with it and a dot.
+    """First subtitle (by name) of the directory whose stem is the video stem or starts with it and a dot.
 
-    ``videos`` has ``media_id, stem``; ``subtitles`` has ``name, stem``. A
-    subtitle stem is expanded to its own dot-separated prefixes, which makes
-    the prefix test an equi-join.
+    ``videos`` has ``media_id, stem``, ``subtitles`` ``name, stem``, both
+    ``directory`` where files lie in several. A subtitle stem is expanded to its
+    own dot-separated prefixes, which makes the prefix test an equi-join.
     """
     parts = F.split(F.lower("stem"), r"\.")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ".")
     )
-    expanded = subtitles.select("name", F.explode(prefixes).alias("_stem"))
-    first = expanded.groupBy("_stem").agg(F.min("name").alias("subtitle"))
-    return videos.withColumn("_stem", F.lower("stem")).join(first, "_stem").select("media_id", "stem", "subtitle")
+    expanded = in_directory(subtitles).select("directory", "name", F.explode(prefixes).alias("_stem"))
+    first = expanded.groupBy("directory", "_stem").agg(F.min("name").alias("subtitle"))
+    return in_directory(videos).withColumn("_stem", F.lower("stem")).join(first, ["directory", "_stem"]).select(
+        "media_id", "directory", "stem", "subtitle"
+    )
 
 
-def pick_external(videos: DataFrame, subtitles: DataFrame, language: str) -> DataFrame:
-    """Shortest subtitle name that starts with the video stem and carries a language fragment.
+def pick_external(videos: DataFrame, subtitles: DataFrame, language: str, head: int | None = None) -> DataFrame:
+    """Shortest subtitle name of the directory that starts with the video stem and carries a language fragment.
 
     Without one, the plain ``stem.ext`` file if its content is in the
-    language. ``videos``: ``media_id, stem``; ``subtitles``: ``stem, ext, text``.
-    A file name is expanded to its prefixes (a name is at most 255 characters),
-    which makes the prefix test an equi-join that no popular prefix can skew:
-    each prefix is reduced to its best file before the join.
+    language. ``videos``: ``media_id, stem``; ``subtitles``: ``stem, ext, text``;
+    both ``directory`` where files lie in several. ``head`` limits the
+    characters that the language is read from (the single-machine rule: 4096).
+
+    A file name is cut to the lengths that video stems of its directory have
+    (at most 255), which makes the prefix test an equi-join that no popular
+    prefix can skew: each prefix is reduced to its best file before the join.
     """
     code = {"chinese": "zh", "english": "en"}[language]
     name = F.concat_ws(".", "stem", "ext")
     fragment = _hits(F.lower(F.col("name")), EXTERNAL_PATTERNS[language]) > 0
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left(F.col("name"), n))
+    videos = in_directory(videos)
+    lengths = videos.groupBy("directory").agg(F.collect_set(F.length("stem")).alias("_lengths"))
     by_ext = F.array_position(F.array(*[F.lit(e) for e in ("srt", "ass", "ssa", "vtt")]), F.col("ext"))
-    listed = subtitles.where(F.col("ext").isin("srt", "ass", "ssa", "vtt")).withColumn("name", name)
-    tagged = listed.where(fragment).select("name", "ext", F.explode(prefixes).alias("_stem"), F.lit(0).cast("bigint").alias("_level"))
+    listed = in_directory(subtitles).where(F.col("ext").isin("srt", "ass", "ssa", "vtt")).withColumn("name", name)
+    fits = F.filter("_lengths", lambda n: n <= F.length("name"))
+    tagged = listed.where(fragment).select("directory", "name", "ext").join(lengths, "directory").select(
+        "directory", "name", "ext", F.explode(F.transform(fits, lambda n: F.left(F.col("name"), n))).alias("_stem"), F.lit(0).cast("bigint").alias("_level")
+    )
     # The text is only read for files that are candidates by name.
-    plain = listed.join(videos.select(F.col("stem").alias("_v")).distinct(), F.col("stem") == F.col("_v"), "left_semi").where(
-        detect_lang(F.substring("text", 1, 4096)) == code
-    ).select("name", "ext", F.col("stem").alias("_stem"), by_ext.alias("_level"))
+    stems = videos.select("directory", "stem").distinct()
+    text = F.col("text") if head is None else F.substring("text", 1, head)
+    plain = listed.join(stems, ["directory", "stem"], "left_semi").where(detect_lang(text) == code).select(
+        "directory", "name", "ext", F.col("stem").alias("_stem"), by_ext.alias("_level")
+    )
     order = F.struct("_level", F.length("name").alias("n"), "name")
-    best = tagged.unionByName(plain).groupBy("_stem").agg(F.min_by(F.struct("name", "_level"), order).alias("p"))
-    return videos.join(best, videos.stem == best["_stem"]).select(
-        "media_id", "stem", F.col("p.name").alias("subtitle"), (F.col("p._level") > 0).alias("by_content")
+    best = tagged.unionByName(plain).groupBy("directory", "_stem").agg(F.min_by(F.struct("name", "_level"), order).alias("p"))
+    return videos.withColumn("_stem", F.col("stem")).join(best, ["directory", "_stem"]).select(
+        "media_id", "directory", "stem", F.col("p.name").alias("subtitle"), (F.col("p._level") > 0).alias("by_content")
     )
 
 
 def external_subtitles(videos: DataFrame, subtitles: DataFrame) -> DataFrame:
-    """Files named video stem plus one of the known endings: ``media_id, name``."""
+    """Files of the video's directory named its stem plus one of the known endings: ``media_id, directory, name``."""
     # Endings looked for next to a video.
     plain = ["srt", "ass", "ssa", "vtt"]
     tagged = [f"{t}.{e}" for t in ("zh", "chi", "en", "eng", "ja", "jpn", "ko", "kor") for e in ("srt", "ass")]
-    wanted = videos.select("media_id", "stem", F.explode(F.array(*[F.lit(x) for x in plain + tagged])).alias("_e")).select(
-        "media_id", F.concat_ws(".", "stem", "_e").alias("name")
+    wanted = in_directory(videos).select("media_id", "directory", "stem", F.explode(F.array(*[F.lit(x) for x in plain + tagged])).alias("_e")).select(
+        "media_id", "directory", F.concat_ws(".", "stem", "_e").alias("name")
     )
-    have = subtitles.select(F.concat_ws(".", "stem", "ext").alias("name")).distinct()
-    return wanted.join(have, "name", "left_semi")
+    have = in_directory(subtitles).select("directory", F.concat_ws(".", "stem", "ext").alias("name")).distinct()
+    return wanted.join(have, ["directory", "name"], "left_semi")
 
 
-def file_language(name: Column, text: Column) -> Column:
-    """Name first, then content; used for input roles."""
-    return F.coalesce(F.nullif(lang_from_name(name), F.lit("unknown")), detect_lang(F.substring(text, 1, 4096)))
+def file_language(name: Column, text: Column, head: int | None = None) -> Column:
+    """Name first, then content (its first ``head`` characters, or all); used for input roles."""
+    part = text if head is None else F.substring(text, 1, head)
+    return F.coalesce(F.nullif(lang_from_name(name), F.lit("unknown")), detect_lang(part))

@@ -217,6 +217,17 @@ def script_info(files: DataFrame) -> DataFrame:
     )
 
 
+def header_parts(files: DataFrame) -> DataFrame:
+    """``media_id, info, styles``: the lines of the script header and of the style section as they stand."""
+    def of(section: str):
+        def lines(rows: Column) -> Column:
+            return let(_heads(rows), lambda heads: F.transform(
+                F.filter(rows, lambda s: (s["line"] != "") & ~s["line"].rlike(_HEAD) & _in_section(heads, s["pos"], section)), lambda s: s["line"]))
+        return lines
+
+    return files.select("media_id", let(_numbered(F.col("text")), of("script_info")).alias("info"), let(_numbered(F.col("text")), of("styles")).alias("styles"))
+
+
 def fix_fonts(style_rows: DataFrame, cjk_media: DataFrame, fonts: DataFrame) -> DataFrame:
     """Replacement per style: missing fonts by a CJK or Latin default, encoding 134 by 1.
 
