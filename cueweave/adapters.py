@@ -7,7 +7,7 @@ position inside the row's own array.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueweave.functions.timecode import ms_to_time
@@ -160,41 +160,63 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rendered(spark: SparkSession, sf_dir: str, fmt: str, block, head: str, tail: str, sep: str) -> DataFrame:
-    """File texts printed inside the document row from its own cue array."""
+def _timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with their cues as an array, from which file texts are printed inside the row."""
     timed = F.expr(
         f"transform(ls, (txt, cue_idx) -> named_struct('txt', txt, 'cue_idx', cue_idx, "
         f"'start_ms', {_START}, 'end_ms', {_END}))"
     )
-    body = F.array_join(F.transform("_timed", block), sep)
-    return lines(spark, sf_dir).withColumn("_timed", timed).select(
-        "media_id", "lang", "source", F.lit(fmt).alias("ext"), F.concat(F.lit(head), body, F.lit(tail)).alias("text")
-    )
+    return lines(spark, sf_dir).withColumn("_timed", timed)
+
+
+def _printed(block, head: str, tail: str, sep: str) -> Column:
+    return F.concat(F.lit(head), F.array_join(F.transform("_timed", block), sep), F.lit(tail))
+
+
+def _rendered(spark: SparkSession, sf_dir: str, fmt: Column, text: Column) -> DataFrame:
+    return _timed_lines(spark, sf_dir).select("media_id", "lang", "source", fmt.alias("ext"), text.alias("text"))
+
+
+def any_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a file of one of the four formats, by id; one pass."""
+    kind = F.col("media_id") % 4
+    ext = F.element_at(F.array(*[F.lit(e) for e in ("srt", "vtt", "ass", "ssa")]), kind.cast("int") + 1)
+    text = F.when(kind == 0, _srt_text()).when(kind == 1, _vtt_text()).otherwise(_ass_text())
+    return _rendered(spark, sf_dir, ext, text)
 
 
 def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One SRT text per document, with an unnumbered block style, a one-line block and a bad time."""
+    return _rendered(spark, sf_dir, F.lit("srt"), _srt_text())
+
+
+def _srt_text() -> Column:
     def block(c):
         number = F.when(c["cue_idx"] % 3 == 2, F.lit("")).otherwise(F.concat((c["cue_idx"] + 1).cast("string"), F.lit("\n")))
         return F.concat(number, ms_to_time(c["start_ms"]), F.lit(" --> "), ms_to_time(c["end_ms"]), F.lit("\n"), c["txt"])
 
-    return _rendered(
-        spark, sf_dir, "srt", block, "just one line\n\n",
-        "\n\n77\n00:99 --> nothing\nbad time\n\n", "\n \n",
-    )
+    return _printed(block, "just one line\n\n", "\n\n77\n00:99 --> nothing\nbad time\n\n", "\n \n")
 
 
 def vtt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir, F.lit("vtt"), _vtt_text())
+
+
+def _vtt_text() -> Column:
     def block(c):
         stamp = F.concat(ms_to_time(c["start_ms"], "vtt"), F.lit(" --> "), ms_to_time(c["end_ms"], "vtt"), F.lit(" align:start"))
         name = F.when(c["cue_idx"] % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("id"), c["cue_idx"].cast("string"), F.lit("\n")))
         return F.concat(name, stamp, F.lit("\n"), c["txt"])
 
-    return _rendered(spark, sf_dir, "vtt", block, "WEBVTT - demo\n\nNOTE made from documents\n\n", "\n\nSTYLE\n::cue{}\n", "\n\n")
+    return _printed(block, "WEBVTT - demo\n\nNOTE made from documents\n\n", "\n\nSTYLE\n::cue{}\n", "\n\n")
 
 
 def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASS texts with a shortened, reordered Format line, comments and a broken dialogue line."""
+    return _rendered(spark, sf_dir, F.lit("ass"), _ass_text())
+
+
+def _ass_text() -> Column:
     def block(c):
         zh = F.translate(F.lower(c["txt"]), LATIN, HANZI)
         body = F.when(c["cue_idx"] % 4 == 1, F.concat(F.lit("{\\i1}"), c["txt"], F.lit("{\\i0}\\N"), zh)).otherwise(c["txt"])
@@ -210,4 +232,4 @@ def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "[Fonts]\nDialogue: 0,not,an,event\n\n[Events]\n"
         "Format: Layer, Style, Start, End, Name, MarginL, MarginR, MarginV, Effect, Text\n"
     )
-    return _rendered(spark, sf_dir, "ass", block, head, "\nComment: 0,x\nDialogue: 0,Default,bad,0:00:01.00,,0,0,0,,bad time\n", "\n")
+    return _printed(block, head, "\nComment: 0,x\nDialogue: 0,Default,bad,0:00:01.00,,0,0,0,,bad time\n", "\n")

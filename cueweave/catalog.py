@@ -29,7 +29,7 @@ from cueweave.operators import timing as tm
 from cueweave.operators import tracks as tk
 from cueweave.plans.lineage import scratch_path
 from cueweave.sources import ass, files, manifest, srt, vtt
-from cueweave.sources.sink import write_blocks
+from cueweave.sources.sink import write_bundles
 from cueweave.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,32 +71,34 @@ def named_b(s: SparkSession, d: str) -> DataFrame:
 # ---- scans, parsers, sinks ------------------------------------------------
 
 def _written_corpus(s: SparkSession, d: str) -> str:
-    """The documents as rendered files below the shared folder: one folder per media."""
+    """The documents as rendered VTT files, bundled below the shared folder."""
     path = scratch_path(s, "corpus")
-    write_blocks(srt.render(cues_a(s, d)), path)
+    write_bundles(vtt.render(cues_a(s, d)), path, "vtt")
     return path
 
 
 @query("scan_corpus")
 def _(s, d):
-    # Text part files of one media folder form one subtitle file.
-    parts = files.scan_corpus(s, _written_corpus(s, d), extensions=("txt",))
-    media = F.regexp_extract("path", r"media_id=(\d+)", 1).cast("bigint")
-    return parts.groupBy(media.alias("media_id")).agg(F.sum("length").alias("n_bytes"))
+    """Written, scanned, decoded and parsed again."""
+    return files.parse_cues(files.decode(files.scan_bundles(s, _written_corpus(s, d))))
 
 
 def _encoded(s: SparkSession, d: str) -> DataFrame:
-    """Document texts as bytes: UTF-8 with and without byte order mark, Latin-1, UTF-16."""
+    """Document texts as bytes: UTF-8 with and without byte order mark, Latin-1, UTF-16; each eleventh unreadable.
+
+    The last letter of the Latin-1 texts fits none of the encodings tried before.
+    """
     kind = F.col("doc_id") % 4
     text = F.col("text")
-    latin = F.regexp_replace(text, r"[^\x{00}-\x{FF}]", "?")
+    latin = F.concat(F.regexp_replace(text, r"[^\x{00}-\x{FF}]", "?"), F.lit("ÿ"))
     content = (
-        F.when(kind == 0, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8")))
+        F.when(F.col("doc_id") % 11 == 10, F.lit(None).cast("binary"))
+        .when(kind == 0, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8")))
         .when(kind == 1, F.encode(latin, "ISO-8859-1"))
         .when(kind == 2, F.encode(text, "UTF-16")).otherwise(F.encode(text, "UTF-8"))
     )
     return ad.table(s, d, "documents").select(
-        F.col("doc_id").alias("media_id"), F.lit("srt").alias("ext"), content.alias("content")
+        F.col("doc_id").alias("media_id"), F.when(F.col("doc_id") % 3 == 0, "vtt").otherwise("srt").alias("ext"), content.alias("content")
     )
 
 
@@ -155,19 +157,9 @@ def _(s, d):
     return ass.render(ad.styled(s, d).withColumn("raw", F.lit(None).cast("string")))
 
 
-def _any_format(s: SparkSession, d: str) -> DataFrame:
-    """Each document in one of the four formats, by id."""
-    def part(df: DataFrame, k: int, ext: str) -> DataFrame:
-        return df.where(F.col("media_id") % 4 == k).withColumn("ext", F.lit(ext))
-    return (
-        part(ad.srt_files(s, d), 0, "srt").unionByName(part(ad.vtt_files(s, d), 1, "vtt"))
-        .unionByName(part(ad.ass_files(s, d), 2, "ass")).unionByName(part(ad.ass_files(s, d), 3, "ssa"))
-    )
-
-
 @query("format_dispatch")
 def _(s, d):
-    return files.parse_cues(_any_format(s, d)).groupBy("media_id", "format").agg(
+    return files.parse_cues(ad.any_files(s, d)).groupBy("media_id", "format").agg(
         F.count("*").alias("n_cues"), F.sum("start_ms").alias("start_sum"), F.sum("end_ms").alias("end_sum"),
         F.sum(F.length("text")).alias("n_chars"),
     )
@@ -175,7 +167,7 @@ def _(s, d):
 
 @query("validate_format")
 def _(s, d):
-    mixed = _any_format(s, d)
+    mixed = ad.any_files(s, d)
     raw = ad.file_names(s, d).select("media_id", "ext", "text")
     return mixed.select("media_id", "ext", "text", F.lit("rendered").alias("origin")).unionByName(
         raw.withColumn("origin", F.lit("prose"))
@@ -1104,12 +1096,11 @@ def _feed(s: SparkSession, d: str, stream: bool = True) -> DataFrame:
 
 @query("stream_ingest")
 def _(s, d):
-    base = scratch_path(s, "ingest")
+    base, path = scratch_path(s, "ingest"), _written_corpus(s, d)
     for _ in range(2):  # the second run finds nothing new
-        feeds.ingest(s, d, f"{base}/checkpoint", f"{base}/files", "*.parquet")
-    return s.read.parquet(f"{base}/files").select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "ext", "format", "length"
-    )
+        feeds.ingest(s, path, f"{base}/checkpoint", f"{base}/cues", bundled=True)
+    schema = "path string, format string, cue_idx int, start_ms bigint, end_ms bigint, text string"
+    return s.read.schema(schema).parquet(f"{base}/cues")
 
 
 @query("stream_dedup")

@@ -100,6 +100,17 @@ def on_styled(name: str, cols: str) -> None:
     sql(name, f"SELECT media_id, cue_idx, {cols} FROM styled", LINES, STYLED)
 
 
+# ---- files ----------------------------------------------------------------------
+on_a("scan_corpus", "'vtt' AS format, start_ms, end_ms, text")
+sql("stream_ingest", "SELECT media_id || '.vtt' AS path, 'vtt' AS format, cue_idx, start_ms, end_ms, text FROM track_a", LINES)
+_ENCODED = """enc AS (SELECT doc_id AS media_id, doc_id % 11 = 10 AS failed, doc_id % 3 = 0 AS vtt,
+  CASE WHEN doc_id % 11 = 10 THEN NULL ELSE ['utf-8-sig', 'latin-1', 'utf-16', 'utf-8'][doc_id % 4 + 1] END AS encoding,
+  CASE WHEN doc_id % 11 = 10 THEN NULL ELSE length(regexp_replace(text, '\r\n|\r', chr(10), 'g')) + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END END AS n_chars FROM documents)"""
+sql("decode_corpus", "SELECT media_id, coalesce(encoding = 'utf-8-sig', false) AS has_bom, encoding, n_chars FROM enc", _ENCODED)
+# No text has the time line that a valid SRT file needs; VTT files always pass.
+sql("reencode_report", """SELECT encoding, status, count(*) AS n_files FROM (SELECT encoding,
+  CASE WHEN failed THEN 'failed' WHEN encoding = 'utf-8' AND vtt THEN 'unchanged' ELSE 'modified' END AS status FROM enc) GROUP BY 1, 2""", _ENCODED)
+
 # ---- parsers and sinks ---------------------------------------------------------
 for _name in ("parse_srt", "parse_vtt"):
     on_a(_name, "start_ms, end_ms, text")
@@ -454,6 +465,33 @@ ROLES_EN = ROLES.replace("CASE WHEN doc_id % 4 < 2 THEN 'embedded' ELSE 'externa
     "CASE WHEN doc_id % 3 = 0 THEN 'english' ELSE 'chinese' END", "'english'").replace("CASE WHEN doc_id % 3 = 0 THEN 'chinese' ELSE 'english' END", "'chinese'")
 sql("merge_keep_foreign", "SELECT * FROM merged", LINES, TRACK_B, ROLES_EN, PLAN, WALK, MPRES, recursive=True)
 
+# merge without alignment: media of two external tracks by overlap, the others with preserved timing.
+_EMBEDDED = "media_id IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 3)"
+_MERGED = "media_id, idx1, idx2, start_ms, end_ms, text, kind"
+
+
+def _either(*base: str) -> str:
+    """Both merges of the tracks ``a`` and ``zh``, each where its strategy holds."""
+    pres = f"(WITH RECURSIVE {', '.join((*base, ROLES, PLAN, WALK, MPRES))} SELECT * FROM merged)"
+    comp = f"(WITH RECURSIVE {', '.join((*base, _OVZ, COMP, WALK, MCOMP))} SELECT * FROM merged)"
+    return f"""SELECT {_MERGED}, 'preserved' AS strategy FROM {pres} WHERE {_EMBEDDED}
+  UNION ALL SELECT {_MERGED}, 'comprehensive' FROM {comp} WHERE NOT {_EMBEDDED}"""
+
+
+_ONE_SIDED = f"""one_sided AS (SELECT {_MERGED}, 'copy_first' AS strategy FROM (SELECT media_id, cue_idx AS idx1, NULL AS idx2, start_ms, end_ms, text, 'first' AS kind FROM xa WHERE media_id NOT IN (SELECT media_id FROM xb))
+  UNION ALL SELECT {_MERGED}, 'copy_second' FROM (SELECT media_id, NULL AS idx1, cue_idx AS idx2, start_ms, end_ms, text, 'second' AS kind FROM xb WHERE media_id NOT IN (SELECT media_id FROM xa)))"""
+_TWO = "media_id IN (SELECT media_id FROM xa) AND media_id IN (SELECT media_id FROM xb)"
+_XAB = ("a AS (SELECT * FROM xa)", "zh AS (SELECT * FROM xb)")
+sql("merge_plain", f"SELECT * FROM ({_either(*_XAB)}) WHERE {_TWO} UNION ALL SELECT * FROM one_sided", LINES, TRACK_B,
+    "xa AS (SELECT * FROM a)", "xb AS (SELECT * FROM zh)", _ONE_SIDED)
+sql("merge_ass", f"""SELECT m.media_id, idx1, idx2, m.start_ms, m.end_ms, m.text, CASE WHEN english THEN 'Default' ELSE 'Bilingual' END AS style, CASE WHEN chinese THEN x.text END AS raw, kind FROM (
+  SELECT *, kind = 'second' OR kind = 'both' AND strategy = 'preserved' AND second AS english, kind = 'first' OR kind = 'both' AND strategy = 'preserved' AND NOT second AS chinese FROM (
+    SELECT * FROM ({_either(*_XAB)}) WHERE {_TWO} UNION ALL SELECT * FROM one_sided)
+  JOIN (SELECT doc_id AS media_id, doc_id % 4 = 2 AS second FROM documents) USING (media_id)) m
+  LEFT JOIN xa x ON x.media_id = m.media_id AND x.cue_idx = m.idx1
+  UNION ALL SELECT media_id, NULL, cue_idx, start_ms, end_ms, text, style, NULL, 'second' FROM styled WHERE style <> 'Default'""", LINES, TRACK_B, STYLED,
+    "xa AS (SELECT * FROM zh WHERE cue_idx % 9 <> 0)", "xb AS (SELECT media_id, cue_idx, start_ms, end_ms, text FROM styled WHERE style = 'Default')", _ONE_SIDED)
+
 SIGS = """sg AS (SELECT x.media_id, array_to_string(x.tokens, '|') AS src_sig, array_to_string(y.tokens, '|') AS ref_sig, n_src, n_ref,
   CAST(len(list_intersect(x.tokens, y.tokens)) AS INTEGER) AS n_shared
   FROM (SELECT media_id, tokens, count(*) AS n_src FROM ka GROUP BY ALL) x JOIN (SELECT media_id, tokens, count(*) AS n_ref FROM kb GROUP BY ALL) y

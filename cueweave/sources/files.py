@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from cueweave.functions.text import CJK_CHINESE, eol_norm
 from cueweave.plans.arrays import rows_of
 from cueweave.sources import ass, srt, vtt
+from cueweave.sources.sink import BUNDLE
 
 # Extensions and, after UTF-8 fails, the decoding order.
 EXTENSIONS = ("srt", "ass", "ssa", "vtt")
@@ -39,6 +40,12 @@ def scan_corpus(spark: SparkSession, path: str, recursive: bool = True, extensio
     )
 
 
+def scan_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of :func:`scan_corpus`, and ``media_id``, of files written by :func:`cueweave.sources.sink.write_bundles`."""
+    rows = spark.read.schema(BUNDLE).parquet(path)
+    return rows.select("media_id", "path", F.regexp_replace("path", r"\.[^.]*$", "").alias("stem"), "ext", format_of(F.col("path")).alias("format"), "length", "content")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
 

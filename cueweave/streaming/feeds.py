@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueweave.plans.lineage import scratch_path
-from cueweave.sources.files import EXTENSIONS, extension, format_of
+from cueweave.sources.files import EXTENSIONS, decode, extension, parse_cues
+from cueweave.sources.sink import BUNDLE
 
 
 #: Event time and media of the row that ends a bounded feed (a null media would be filtered out before the watermark sees it).
@@ -54,15 +55,24 @@ def run_available(build: Callable[..., DataFrame], *feeds: DataFrame) -> DataFra
     return out.where(F.col("media_id") != END_MEDIA)
 
 
-def ingest(spark: SparkSession, path: str, checkpoint: str, sink: str, glob: str = "*.{" + ",".join(EXTENSIONS) + "}") -> None:
-    """Append files that are new since the last run to ``sink``; safe to rerun."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = (
-        spark.readStream.format("binaryFile").schema(schema)
-        .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    )
-    rows = files.select("path", extension(F.col("path")).alias("ext"), format_of(F.col("path")).alias("format"), "length", "content")
-    rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(
+def ingest(spark: SparkSession, path: str, checkpoint: str, sink: str, bundled: bool = False) -> None:
+    """Append the cues of files that are new since the last run to ``sink``; safe to rerun.
+
+    ``path`` holds subtitle files (or, ``bundled``, those of
+    :func:`cueweave.sources.sink.write_bundles`). Rows: ``path, format, cue_idx,
+    start_ms, end_ms, text``.
+    """
+    if bundled:
+        found = spark.readStream.schema(BUNDLE).parquet(path).select("path", "ext", "content")
+    else:
+        schema = "path string, modificationTime timestamp, length bigint, content binary"
+        files = (
+            spark.readStream.format("binaryFile").schema(schema)
+            .option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").option("recursiveFileLookup", "true").load(path)
+        )
+        found = files.select("path", extension(F.col("path")).alias("ext"), "content")
+    cues = parse_cues(decode(found.withColumnRenamed("path", "media_id"))).withColumnRenamed("media_id", "path")
+    cues.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
     ).start().awaitTermination()
 

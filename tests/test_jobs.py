@@ -4,11 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueweave.functions import text as tx
+from cueweave.operators import joins as jn
 from cueweave.operators import merge as mg
+from cueweave.operators import similarity_join as sj
 from cueweave.operators import summary as sm
 from cueweave.operators import sync as sy
 from cueweave.operators import timing as tm
-from cueweave.sources import ass, files, srt, vtt
+from cueweave.operators import tracks as tk
+from cueweave.sources import ass, files, sink, srt, vtt
+from cueweave.streaming import feeds
 
 CUES = "media_id long, cue_idx int, start_ms long, end_ms long, text string"
 
@@ -174,3 +178,76 @@ def test_white_space_ends(spark):
     chars = [chr(c) for c in range(0x3010) if c != 0xFEFF]
     rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", tx.strip_ws(F.concat("c", F.lit("a"), "c")).alias("s"), F.col("c").rlike(f"^{tx.WS}$").alias("w"))
     assert all((r.s == "a") == r.w for r in rows.collect())
+
+
+def test_files_out_and_in(spark, tmp_path):
+    """Chosen media as single files, found again with the scan's defaults."""
+    rows = [(m, i, 1000 * i, 1000 * i + 500, f"cue {i} of {m}") for m in (1, 2) for i in range(3)]
+    wanted = sorted((str(m), i, s, e, t) for m, i, s, e, t in rows)
+    frame = spark.createDataFrame(rows, CUES)
+    for fmt, render in (("srt", srt.render), ("vtt", vtt.render), ("ass", ass.render)):
+        path = str(tmp_path / fmt)
+        sink.write_bundles(render(frame), f"{path}/bundles", fmt)
+        assert sink.export_files(spark, files.scan_bundles(spark, f"{path}/bundles"), f"{path}/files") == 2
+        found = files.scan_corpus(spark, f"{path}/files")
+        assert found.count() == 2
+        cues_back = files.parse_cues(files.decode(found.withColumn("media_id", F.col("stem"))))
+        assert sorted((r.media_id, r.cue_idx, r.start_ms, r.end_ms, r.text) for r in cues_back.collect()) == wanted
+        feeds.ingest(spark, f"{path}/files", f"{path}/check", f"{path}/cues")
+        assert spark.read.parquet(f"{path}/cues").count() == 6
+
+
+def test_pairs_stay_in_their_directory(spark):
+    videos = spark.createDataFrame([(1, "x", "movie"), (2, "y", "movie")], "media_id long, directory string, stem string")
+    subs = spark.createDataFrame(
+        [("x", "movie.zh", "srt", "你好"), ("y", "movie.en", "srt", "hello"), ("z", "movie.zh", "srt", "你好")],
+        "directory string, stem string, ext string, text string",
+    )
+    assert [tuple(r)[:4] for r in tk.pick_external(videos, subs, "chinese").collect()] == [(1, "x", "movie", "movie.zh.srt")]
+    named = subs.withColumn("name", F.concat_ws(".", "stem", "ext"))
+    assert sorted((r.media_id, r.subtitle) for r in tk.pair_prefix(videos, named).collect()) == [(1, "movie.zh.srt"), (2, "movie.en.srt")]
+    assert sorted((r.media_id, r.name) for r in tk.external_subtitles(videos, subs).collect()) == [(1, "movie.zh.srt"), (2, "movie.en.srt")]
+    both = subs.withColumn("path", F.concat("directory", F.lit("/"), "stem"))
+    pairs = tk.pair_files(both, both.where("directory <> 'z'")).collect()
+    assert sorted((r.source, r.reference) for r in pairs) == [("x/movie.zh", "x/movie.zh"), ("y/movie.en", "y/movie.en")]
+
+
+def test_whole_ass_file(spark):
+    english = text_file(spark, "[Script Info]\nTitle: T\nPlayResY: 1080\n\n[V4+ Styles]\nFormat: Name, Fontname\nStyle: Main,Arial\n\n[Events]\n", "ass")
+    merged = spark.createDataFrame(
+        [(1, 0, 0, 2000, 3000, "a\nb", "Bilingual", None, "both"), (1, None, 1, 1000, 1500, "sign", "Sign", "{\\an8}sign", "second")],
+        "media_id long, idx1 int, idx2 int, start_ms long, end_ms long, text string, style string, raw string, kind string",
+    )
+    text = "\n".join(r.block for r in mg.ass_file(merged, english).orderBy("seq").collect())
+    assert text == (
+        "[Script Info]\nTitle: T\nPlayResY: 1080\n\n[V4+ Styles]\nFormat: Name, Fontname\nStyle: Main,Arial\n"
+        "Style: Bilingual,Microsoft YaHei,51,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0,0,100,100,0,0,1,3,1,2,15,15,50,1\n\n"
+        f"[Events]\n{ass.EVENT_FORMAT}\nDialogue: 0,0:00:01.00,0:00:01.50,Sign,,0,0,0,,{{\\an8}}sign\n"
+        "Dialogue: 0,0:00:02.00,0:00:03.00,Bilingual,,0,0,0,,a\\Nb"
+    )
+
+
+def test_aligned_pairs_keep_styles(spark):
+    a = cues(spark, (0, 10, "x"), (20, 30, "y")).withColumn("style", F.lit("A")).withColumn("raw", F.concat(F.lit("r"), "text"))
+    b = cues(spark, (1, 11, "u"), (50, 60, "v")).withColumn("style", F.lit("B")).withColumn("raw", F.concat(F.lit("r"), "text"))
+    pairs = spark.createDataFrame([(1, 0, 0)], "media_id long, a_idx int, b_idx int")
+    reference = spark.createDataFrame([(1, 2)], "media_id long, reference int")
+    rows = jn.merge_from_alignments(a, b, pairs, reference).collect()
+    assert {(r.kind, r.style, r.raw, r.start_ms) for r in rows} == {("both", "A", None, 1), ("first", "A", "ry", 20), ("second", "B", "rv", 50)}
+    out = mg.merge_enhanced(a, b, roles(spark, "external", "external")).collect()
+    assert {(r.style, r.raw) for r in out if r.kind != "both"} <= {("A", "ry"), ("B", "rv")}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 19, 20, 25])
+def test_quartile_spots(spark, n):
+    """Only the spots of a media's own scan are compared."""
+    spots = {k for k in (0, min(20, n) // 4, min(20, n) // 2, 3 * min(20, n) // 4, min(20, n) - 1)}
+    words = [chr(97 + i) * 9 for i in range(26)]
+    src = cues(spark, *[(i, i + 1, words[i]) for i in range(n)])
+    ref = cues(spark, *[(i, i + 1, words[i]) for i in range(n + 1)])
+    for only in range(n):
+        table = spark.createDataFrame([(words[only], words[only])], "text string, translated string")
+        got = sj.anchor_quartiles(src, ref, table).collect()
+        assert [(r.a_idx, r.b_idx) for r in got] == ([(only, only)] if only in spots else [])
+        if only >= 3 and n > 4:
+            break
