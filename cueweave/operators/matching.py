@@ -70,12 +70,12 @@ def match_serial(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``edges`` has ``media_id, src_idx, ref_idx, score, near``: ``score`` > 0
     for overlapping candidates, ``near`` > 0 for merely close ones, 0 otherwise.
 
-    A media is cut into chunks of ``chunk`` sources. Chunks are swept in
-    parallel, then re-swept without the references that earlier chunks took,
-    until nothing changes. Chunk 0 is final after one pass and chunk *k* once
-    all before it are, so the loop ends, at the sequential result. A conflict
-    at a chunk border rarely travels through a whole chunk, so two or three
-    passes are usual; media of one chunk take part in the first pass only.
+    A media is cut into chunks of ``chunk`` sources, which are swept in
+    parallel. Where references of a chunk are taken by an earlier one, the chunk
+    is swept again without them, and so on with the chunks that this disturbs.
+    Chunk *k* is final once all before it are, so as many passes as there are
+    chunks reach the sequential result; conflicts seldom travel through a whole
+    chunk, so two or three are usual.
     """
     edges = cut_lineage(
         edges.select(
@@ -85,26 +85,23 @@ def match_serial(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
         ),
         "edges",
     )
-    first = _sweep(edges)
-    spread = edges.where("_chunk > 0").select("media_id").distinct()
-    if spread.limit(1).count() == 0:
-        return first.drop("_chunk")
-
-    many = cut_lineage(edges.join(spread, "media_id", "left_semi"), "edges")
-    single = _sweep(edges.join(spread, "media_id", "left_anti"))
-    picks = cut_lineage(_sweep(many), "picks")
-    while True:
+    last = edges.agg(F.max("_chunk")).first()[0] or 0
+    picks = cut_lineage(_sweep(edges), "picks")
+    key = ["media_id", "_chunk", "ref_idx"]
+    later = edges.where("_chunk > 0").select(*key).distinct()
+    gone = None
+    for _ in range(last + 1):
         taken = picks.groupBy("media_id", "ref_idx").agg(F.min("_chunk").alias("_by"))
-        free = (
-            many.join(taken, ["media_id", "ref_idx"], "left")
-            .where("_by is null or _by >= _chunk").drop("_by")
-        )
-        again = cut_lineage(_sweep(free), "picks")
-        pair = ["media_id", "src_idx", "ref_idx"]
-        changed = again.join(picks, pair, "left_anti").unionByName(picks.join(again, pair, "left_anti"))
-        if changed.limit(1).count() == 0:
-            return single.unionByName(again).drop("_chunk")
-        picks = again
+        now = cut_lineage(later.join(taken, ["media_id", "ref_idx"]).where("_by < _chunk").select(*key), "taken")
+        moved = now if gone is None else now.join(gone, key, "left_anti").unionByName(gone.join(now, key, "left_anti"))
+        disturbed = cut_lineage(moved.select("media_id", "_chunk").distinct(), "disturbed")
+        if disturbed.isEmpty():
+            break
+        mine = ["media_id", "_chunk"]
+        again = _sweep(edges.join(disturbed, mine, "left_semi").join(now, key, "left_anti"))
+        picks = cut_lineage(picks.join(disturbed, mine, "left_anti").unionByName(again), "picks")
+        gone = now
+    return picks.drop("_chunk")
 
 
 def _grouped_sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,30 +226,73 @@ def best_per_reference(edges: DataFrame, weight: str) -> DataFrame:
     ).select("media_id", "ref_idx", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
 
-def match_greedy(edges: DataFrame) -> DataFrame:
+_EDGES = "media_id bigint, src_idx int, ref_idx int, weight double, accepted boolean"
+
+
+def _greedy_sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges sorted by (media_id, _chunk, weight desc, src_idx, ref_idx); state restarts with each chunk.
+
+    A chunk has all edges of its sources. An edge is accepted if nothing better
+    is open at its ends here, and no better edge reaches its reference from
+    elsewhere (``_w, _s, _r``: the best of those, or null); it stays open if
+    something better is; it goes if one of its ends is taken.
+    """
+    group = None
+    taken: tuple[set[int], set[int]] = (set(), set())
+    open_: tuple[set[int], set[int]] = (set(), set())
+    for pdf in batches:
+        out = []
+        columns = [pdf[c].tolist() for c in ("media_id", "_chunk", "weight", "src_idx", "ref_idx", "_w", "_s", "_r")]
+        for media, chunk, weight, src, ref, w, s, r in zip(*columns, strict=True):
+            if (media, chunk) != group:
+                group, taken, open_ = (media, chunk), (set(), set()), (set(), set())
+            if src in taken[0] or ref in taken[1]:
+                continue
+            beaten = w == w and w is not None and (-w, s, r) < (-weight, src, ref)
+            ends = open_ if beaten or src in open_[0] or ref in open_[1] else taken
+            ends[0].add(src)
+            ends[1].add(ref)
+            out.append((media, src, ref, weight, ends is taken))
+        yield pd.DataFrame(out, columns=["media_id", "src_idx", "ref_idx", "weight", "accepted"])
+
+
+def match_greedy(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Weight-greedy matching of arbitrary edges by (weight desc, source, reference).
 
-    Each round accepts every edge that is the best one left at both of its
-    ends and removes the edges touching it. That is the sequential result, in
-    as many rounds as the longest chain of blocking edges; the edge table is
-    written between rounds, so a lost executor costs one round.
+    Chunks of ``chunk`` sources are swept in the rule's order. What an edge of
+    another chunk could still overrule stays open for the next pass, whose
+    chunks begin half a chunk later; a chain of edges that block each other is
+    settled a chunk at a time. The best edge left is accepted in every pass, so
+    the passes end. Open edges are written between passes, so a lost executor
+    costs one.
     """
-    edges = cut_lineage(edges.select("media_id", "src_idx", "ref_idx", "weight"), "greedy")
-    accepted = None
-    while True:
-        order = F.struct((-F.col("weight")).alias("w"), "src_idx", "ref_idx")
-        best_src = edges.groupBy("media_id", "src_idx").agg(F.min(order).alias("_bs"))
-        best_ref = edges.groupBy("media_id", "ref_idx").agg(F.min(order).alias("_br"))
-        both = best_src.join(best_ref, F.expr("_bs = _br") & (best_src.media_id == best_ref.media_id))
-        won = cut_lineage(
-            both.select(best_src.media_id, F.col("_bs.src_idx"), F.col("_bs.ref_idx"), (-F.col("_bs.w")).alias("weight")),
-            "greedy",
+    kind = dict(edges.dtypes)["weight"]
+    left = cut_lineage(edges.select("media_id", F.col("src_idx").cast("int"), F.col("ref_idx").cast("int"), F.col("weight").cast("double")), "greedy")
+    accepted, end = [], ["media_id", "ref_idx"]
+    passes = 2 * ((left.agg(F.max("src_idx")).first()[0] or 0) + 1)
+    for k in range(passes):
+        dealt = left.withColumn("_chunk", F.call_function("div", F.col("src_idx") + k % 2 * (chunk // 2), F.lit(chunk)))
+        # The best edge at each reference, and the best that comes from another chunk than that one's.
+        order = F.struct((-F.col("weight")).alias("w"), F.col("src_idx").alias("s"), F.col("ref_idx").alias("r"))
+        per_chunk = dealt.groupBy(*end, "_chunk").agg(F.min(order).alias("_o"))
+        first = per_chunk.groupBy(*end).agg(F.min(F.struct("_o", "_chunk")).alias("_f"))
+        second = per_chunk.join(first, end).where(F.col("_chunk") != F.col("_f._chunk")).groupBy(*end).agg(F.min("_o").alias("_o2"))
+        ends = first.join(second, end, "left").select(*end, F.col("_f._o").alias("_o1"), F.col("_f._chunk").alias("_c1"), "_o2")
+        other = F.when(F.col("_c1") == F.col("_chunk"), F.col("_o2")).otherwise(F.col("_o1"))
+        rows = dealt.join(ends, end).withColumn("_x", other).select(
+            "media_id", "_chunk", "weight", "src_idx", "ref_idx", (-F.col("_x.w")).alias("_w"), F.col("_x.s").alias("_s"), F.col("_x.r").alias("_r")
         )
-        if won.limit(1).count() == 0:
-            return accepted if accepted is not None else won
-        accepted = won if accepted is None else accepted.unionByName(won)
-        edges = cut_lineage(
-            edges.join(won.select("media_id", "src_idx"), ["media_id", "src_idx"], "left_anti")
-            .join(won.select("media_id", "ref_idx"), ["media_id", "ref_idx"], "left_anti"),
-            "greedy",
+        swept = cut_lineage(
+            rows.repartition("media_id", "_chunk").sortWithinPartitions("media_id", "_chunk", F.desc("weight"), "src_idx", "ref_idx")
+            .mapInPandas(_greedy_sweep, _EDGES), "greedy",
         )
+        won = swept.where("accepted").drop("accepted")
+        accepted.append(won)
+        left = cut_lineage(swept.where("not accepted").drop("accepted").join(won.select(*end), end, "left_anti"), "greedy")
+        if left.isEmpty():
+            break
+    out = accepted[0]
+    for more in accepted[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("weight", F.col("weight").cast(kind))
+

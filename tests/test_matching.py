@@ -1,10 +1,13 @@
 """Matching operators against plain sequential loops on small random inputs."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from cueweave import catalog as cat
+from cueweave.functions import similarity as sim
 from cueweave.operators import matching as mt
 from cueweave.operators import similarity_join as sj
 
@@ -54,11 +57,14 @@ def test_match_serial(spark, chunk):
         assert sorted(got.get(m, [])) == serial(set(edges)), m
 
 
-def test_match_greedy(spark):
+@pytest.mark.parametrize("chunk", [2, 3, 4096])
+def test_match_greedy(spark, chunk):
     rng = random.Random(3)
     rows = [(m, s, r, rng.randint(1, 3)) for m in range(15) for s in range(8) for r in range(8) if rng.random() < 0.4]
+    # A chain in which every edge blocks the next.
+    rows += [(99, s, r, 100 - s - r) for s in range(12) for r in (s, s + 1)]
     df = spark.createDataFrame(rows, "media_id long, src_idx int, ref_idx int, weight int")
-    got = sorted((r.media_id, r.src_idx, r.ref_idx) for r in mt.match_greedy(df).collect())
+    got = sorted((r.media_id, r.src_idx, r.ref_idx) for r in mt.match_greedy(df, chunk).collect())
     want, used_s, used_r = [], set(), set()
     for m, s, r, w in sorted(rows, key=lambda e: (e[0], -e[3], e[1], e[2])):
         if (m, s) not in used_s and (m, r) not in used_r:
@@ -114,3 +120,52 @@ def test_text_pairs_equals_all_pairs(spark):
         want = {(r.media_id, r.a_id, r.b_id) for r in scored.where(F.col("t") >= threshold).collect()}
         got = {(r.media_id, r.a_id, r.b_id) for r in sj.text_pairs(a, b, threshold).collect()}
         assert got == want
+
+
+def test_text_pairs_below_common_words(spark):
+    """Low thresholds reach pairs without a common word."""
+    rng = random.Random(8)
+
+    def track():
+        return [(m, i, 0, 1, " ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 3)))) for m in range(4) for i in range(10)]
+
+    schema = "media_id long, cue_idx int, start_ms long, end_ms long, text string"
+    a, b = spark.createDataFrame(track(), schema), spark.createDataFrame(track(), schema)
+    left, right = sj._texts(a, "a"), sj._texts(b, "b")
+    every = sj.profiled(left, "a_norm", "_p").join(sj.profiled(right, "b_norm", "_q"), "media_id")
+    scored = sj.pair_scores(every, "_p", "_q").withColumn("t", sj.total_score()).cache()
+    for threshold in (0.0, 0.3, 0.45):
+        want = {(r.media_id, r.a_id, r.b_id) for r in scored.where(F.col("t") >= threshold).collect()}
+        assert {(r.media_id, r.a_id, r.b_id) for r in sj.text_pairs(a, b, threshold).collect()} == want
+
+
+def ratio(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def test_scores_with_the_sequence_ratio(spark):
+    """The queries with the sequence ratio against a loop over the standard library, on whole texts."""
+    sf = "/root/testdata/sf0.001"
+    names = ("jaccard", "cosine", "edit", "length", "common")
+    pairs = cat._near_texts(spark, sf)
+    scored = sj.pair_scores(sj.profiled(sj.profiled(pairs, "_a", "_p"), "_b", "_q"), "_p", "_q", names)
+    rows = scored.select("media_id", "a_idx", "b_idx", F.col("_p.text").alias("x"), F.col("_q.text").alias("y"), *[f"s_{n}" for n in names]).collect()
+    want = {
+        (r.media_id, r.a_idx, r.b_idx): sum(sim.WEIGHTS[n] * r[f"s_{n}"] for n in names) + sim.WEIGHTS["sequence"] * ratio(r.x, r.y) for r in rows
+    }
+    got = {(r.media_id, r.a_idx, r.b_idx): r.similarity for r in cat.QUERIES["similarity_combined"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(got) > 1000
+
+
+def test_two_way_similarity(spark):
+    texts = [("Hello, World!", "hello world"), ("", "x"), ("a b c", "c b a"), ("Größe 12", "groesse 12"), ("你好 世界", "你好"), ("one two three", "two three four")]
+    rows = spark.createDataFrame(texts, "a string, b string").select("a", "b", sim.text_sim2(F.col("a"), F.col("b")).alias("s")).collect()
+
+    def loop(a, b):
+        x, y = ("".join(c for c in t if c.isalnum() or c.isspace()).lower().strip() for t in (a, b))
+        if not x or not y:
+            return 0.0
+        p, q = set(x.split()), set(y.split())
+        return max(ratio(x, y), 0.8 * len(p & q) / len(p | q))
+
+    assert [r.s for r in rows] == pytest.approx([loop(a, b) for a, b in texts])
