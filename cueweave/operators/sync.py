@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.operators.joins import anchor_first, anchor_scan
 from cueweave.operators.summary import track_is_lang
 from cueweave.operators.timing import apply_offset, realign, shift
-from cueweave.plans.ranges import near_pairs
 
 
 def offset_vote(ext: DataFrame, emb: DataFrame, tolerance_ms: int = 200) -> DataFrame:
     """Offset between external and embedded starts that most external starts agree on.
 
     ``ext``: ``media_id, ext_i, ext_ms`` (the few first starts of a file),
-    ``emb``: ``media_id, emb_ms`` distinct. Every difference is a candidate;
-    equal differences are voted on once. A vote is an external start with an
-    embedded start within the tolerance; ties go to the smallest (i, j).
+    ``emb``: ``media_id, emb_ms`` distinct. Every difference is a candidate. An
+    external start votes for it if one of its own differences is within the
+    tolerance, so the votes are the starts found in a range around the
+    difference: one ordered pass over the differences, cut into classes with
+    their borders copied, so that no media is a task's alone. Ties go to the
+    smallest (i, j).
     """
-    numbered = emb.select("media_id", F.col("emb_ms"))
-    cand = ext.join(numbered, "media_id").groupBy(
-        "media_id", (F.col("ext_ms") - F.col("emb_ms")).alias("offset_ms")
-    ).agg(F.min(F.struct("ext_i", "emb_ms")).alias("_first"))
-    total = ext.groupBy("media_id").agg(F.count("*").alias("n_ext"))
-    expected = cand.join(ext, "media_id").select(
-        "media_id", "offset_ms", "_first", "ext_i", (F.col("ext_ms") - F.col("offset_ms")).alias("_want")
-    )
-    hits = near_pairs(expected, numbered, "_want", "emb_ms", tolerance_ms)
-    votes = hits.select("media_id", "offset_ms", "_first", "ext_i").distinct().groupBy("media_id", "offset_ms", "_first").agg(
-        F.count("*").alias("votes")
+    width = max(60_000, 2 * tolerance_ms)
+    offset = F.col("ext_ms") - F.col("emb_ms")
+    near = [F.floor((offset + t) / width).cast("bigint") for t in (-tolerance_ms, tolerance_ms)]
+    spread = ext.join(emb.select("media_id", "emb_ms"), "media_id").select(
+        "media_id", "ext_i", "emb_ms", offset.alias("offset_ms"), F.explode(F.array_distinct(F.array(*near))).alias("_class")
     )
-    best = votes.groupBy("media_id").agg(
-        F.min(F.struct((-F.col("votes")).alias("v"), "_first", "offset_ms")).alias("m")
-    )
-    return best.join(total, "media_id").select(
-        "media_id", F.col("m.offset_ms"), (-F.col("m.v")).alias("votes"), "n_ext"
+    around = Window.partitionBy("media_id", "_class").orderBy("offset_ms").rangeBetween(-tolerance_ms, tolerance_ms)
+    voted = spread.withColumn("votes", F.size(F.collect_set("ext_i").over(around)).cast("bigint")).where(
+        F.col("_class") == F.floor(F.col("offset_ms") / width)
     )
+    best = voted.groupBy("media_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "ext_i", "emb_ms", "offset_ms")).alias("m"))
+    total = ext.groupBy("media_id").agg(F.count("*").alias("n_ext"))
+    return best.join(total, "media_id").select("media_id", F.col("m.offset_ms"), (-F.col("m.v")).alias("votes"), "n_ext")
 
 
 def sync_report(ext: DataFrame, emb: DataFrame, chosen: DataFrame) -> DataFrame:
