@@ -39,7 +39,7 @@ from cueweave.plans.lineage import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 #: Fewest rows of a length that are ranked together (else the square root of their number).
-BLOCK = 1024
+BLOCK = 128
 
 
 # ---- tokens ----------------------------------------------------------------------
