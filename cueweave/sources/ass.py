@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import (
-    cjk_first, clean_ass, clean_text, has_cjk_font, has_cjk_style, strip_ws,
+    WS_CHARS, cjk_first, clean_ass, clean_text, has_cjk_font, has_cjk_style, strip_ws,
 )
 from cueweave.functions.timecode import ass_time_to_srt, ms_to_time, time_to_ms
 from cueweave.plans.arrays import let, rows_of
@@ -42,8 +42,12 @@ def _section(head: Column) -> Column:
 
 
 def _numbered(text: Column) -> Column:
-    """``array<struct<pos, line>>``."""
-    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.rtrim(x, F.lit("\r\n")).alias("line")))
+    """``array<struct<pos, line, key>>``; the key is what a line has before its first colon, in lower case."""
+    def row(x: Column, i: Column) -> Column:
+        key = F.when(F.contains(x, F.lit(":")), F.lower(F.ltrim(F.substring_index(x, ":", 1), F.lit(WS_CHARS))))
+        return F.struct(i.alias("pos"), F.rtrim(x, F.lit("\r\n")).alias("line"), key.alias("key"))
+
+    return F.transform(F.split(text, "\n"), row)
 
 
 _HEAD = r"^\[.*\]"
@@ -87,13 +91,13 @@ def _format(fields: Column, pos: Column) -> Column:
 
 def _formats(rows: Column, heads: Column, section: str) -> Column:
     """The section's Format lines behind the default one (position -1)."""
-    lines = F.filter(rows, lambda s: _is(s["line"], "format:") & _in_section(heads, s["pos"], section))
+    lines = F.filter(rows, lambda s: (s["key"] == "format") & _in_section(heads, s["pos"], section))
     default = _format(F.array(*[F.lit(f) for f in DEFAULT_FIELDS]), F.lit(-1))
     return F.concat(F.array(default), F.transform(lines, lambda s: let(_fields(s["line"]), lambda f: _format(f, s["pos"]))))
 
 
 def _listed(text: Column, section: str, word: str, row) -> Column:
-    """``row(line, format)`` of every line of ``section`` that begins with ``word``, in file order.
+    """``row(line, format)`` of every line of ``section`` with ``word`` before its colon, in file order.
 
     Lines, section heads and formats are each found once per file.
     """
@@ -101,7 +105,7 @@ def _listed(text: Column, section: str, word: str, row) -> Column:
         return let(F.element_at(F.filter(formats, lambda f: f["pos"] < s["pos"]), -1), lambda f: row(s["line"], f))
 
     def listed(rows: Column, heads: Column, formats: Column) -> Column:
-        chosen = F.filter(rows, lambda s: _is(s["line"], word) & _in_section(heads, s["pos"], section))
+        chosen = F.filter(rows, lambda s: (s["key"] == word) & _in_section(heads, s["pos"], section))
         return F.transform(chosen, lambda s: one(s, formats))
 
     return let(_numbered(text), lambda rows: let(_heads(rows), lambda heads: let(
@@ -110,7 +114,7 @@ def _listed(text: Column, section: str, word: str, row) -> Column:
 
 def _dialogue(text: Column) -> Column:
     """``array<struct<format, parts>>`` of the dialogue lines."""
-    return _listed(text, "events", "dialogue:", lambda line, f: F.struct(
+    return _listed(text, "events", "dialogue", lambda line, f: F.struct(
         f.alias("format"), F.split(_after_colon(line), ",", f["n"]).alias("parts")))
 
 
@@ -131,18 +135,19 @@ def _clock(text: Column) -> Column:
 
 def _cue(d: Column) -> Column:
     f, parts = d["format"], d["parts"]
-    return let(_at(parts, f["text"], ""), lambda raw: F.struct(
+    return F.struct(
         F.size(parts).alias("n"),
         _clock(strip_ws(_at(parts, f["start"], "0:00:00.00"))).alias("start_ms"),
         _clock(strip_ws(_at(parts, f["end"], "0:00:00.00"))).alias("end_ms"),
-        clean_text(raw).alias("text"),
-        strip_ws(_at(parts, f["style"], "Default")).alias("style"),
-        raw.alias("raw"),
-    ))
+        _at(parts, f["style"], "Default").alias("style"), _at(parts, f["text"], "").alias("raw"),
+    )
 
 
 def cue_array(text: Column) -> Column:
-    """``array<struct<n, start_ms, end_ms, text, style, raw>>`` of the dialogue lines with two fields and good times at least."""
+    """``array<struct<n, start_ms, end_ms, style, raw>>`` of the dialogue lines with two fields and good times at least.
+
+    Style and text are as they stand: cleaning them is cheaper in rows than in arrays.
+    """
     return F.filter(
         F.transform(_dialogue(text), lambda d: _cue(d)),
         lambda c: (c["n"] >= 2) & c["start_ms"].isNotNull() & c["end_ms"].isNotNull(),
@@ -152,7 +157,7 @@ def cue_array(text: Column) -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """``media_id, cue_idx, start_ms, end_ms, text, style, raw``; short lines are tolerated."""
     return rows_of(files, ["media_id"], cue_array(F.col("text")), "cue_idx", "c").select(
-        "media_id", "cue_idx", "c.start_ms", "c.end_ms", "c.text", "c.style", "c.raw"
+        "media_id", "cue_idx", "c.start_ms", "c.end_ms", clean_text(F.col("c.raw")).alias("text"), strip_ws(F.col("c.style")).alias("style"), "c.raw"
     )
 
 
@@ -191,7 +196,7 @@ def parse_full(files: DataFrame) -> DataFrame:
 
 def styles(files: DataFrame, text: str = "text") -> DataFrame:
     """``media_id, style_idx, name, fontname, encoding, values``: the style rows of each file."""
-    listed = _listed(F.col(text), "styles", "style:", lambda line, f: F.struct(
+    listed = _listed(F.col(text), "styles", "style", lambda line, f: F.struct(
         F.when(f["pos"] >= 0, f["fields"]).alias("fields"), F.transform(F.split(_after_colon(line), ","), strip_ws).alias("values")))
 
     def value(name: str) -> Column:

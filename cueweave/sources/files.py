@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from cueweave.functions.text import CJK_CHINESE, eol_norm
+from cueweave.functions.text import CJK_CHINESE, clean_text, eol_norm
 from cueweave.plans.arrays import rows_of
 from cueweave.sources import ass, srt, vtt
 from cueweave.sources.sink import BUNDLE
@@ -110,14 +110,16 @@ def parse_cues(files: DataFrame) -> DataFrame:
     reported by :func:`unsupported`.
     """
     kind = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
-    common = lambda cues: F.transform(cues, lambda c: F.struct(c["start_ms"], c["end_ms"], c["text"])).cast(kind)
+    common = lambda cues, name="text": F.transform(cues, lambda c: F.struct(c["start_ms"], c["end_ms"], c[name])).cast(kind)
     ext, text = F.col("ext"), F.col("text")
+    is_ass = ext.isin("ass", "ssa")
     cues = (
         F.when(ext == "srt", common(srt.cue_array(text))).when(ext == "vtt", common(vtt.cue_array(text)))
-        .when(ext.isin("ass", "ssa"), common(ass.cue_array(text)))
+        .when(is_ass, common(ass.cue_array(text), "raw"))
     )
+    out = F.when(is_ass, clean_text(F.col("c.text"))).otherwise(F.col("c.text"))
     return rows_of(files, ["media_id", "ext"], cues, "cue_idx", "c").select(
-        "media_id", F.col("ext").alias("format"), "cue_idx", "c.start_ms", "c.end_ms", "c.text"
+        "media_id", F.col("ext").alias("format"), "cue_idx", "c.start_ms", "c.end_ms", out.alias("text")
     )
 
 
