@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from cueweave.plans.lineage import clear_scratch  # noqa: E402
 from cueweave.session import local_session  # noqa: E402
 
 
@@ -12,4 +13,5 @@ from cueweave.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, shuffle_partitions=4)
     yield session
+    clear_scratch(session)
     session.stop()
