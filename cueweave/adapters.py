@@ -169,8 +169,8 @@ def _timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumn("_timed", timed)
 
 
-def _printed(block, head: str, tail: str, sep: str) -> Column:
-    return F.concat(F.lit(head), F.array_join(F.transform("_timed", block), sep), F.lit(tail))
+def _printed(block, head: str | Column, tail: str, sep: str) -> Column:
+    return F.concat(F.lit(head) if isinstance(head, str) else head, F.array_join(F.transform("_timed", block), sep), F.lit(tail))
 
 
 def _rendered(spark: SparkSession, sf_dir: str, fmt: Column, text: Column) -> DataFrame:
@@ -216,6 +216,9 @@ def ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(spark, sf_dir, F.lit("ass"), _ass_text())
 
 
+ASS_FONTS = ("AFRICA", "Arial", "AMERICA", "ASIA", "EUROPE")
+
+
 def _ass_text() -> Column:
     def block(c):
         zh = F.translate(F.lower(c["txt"]), LATIN, HANZI)
@@ -226,10 +229,13 @@ def _ass_text() -> Column:
             ms_to_time(c["end_ms"], "ass"), F.lit(",,0,0,0,,"), body,
         )
 
-    head = (
-        "[Script Info]\nTitle: demo\nPlayResY: 720\n\n[V4+ Styles]\n"
-        "Format: Name, Fontname, Fontsize, Encoding\nStyle: Default,Arial,48,1\nStyle: Sign,Gone Sans,40,134\n\n"
-        "[Fonts]\nDialogue: 0,not,an,event\n\n[Events]\n"
-        "Format: Layer, Style, Start, End, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+    # Height and font go by the document: three heights, fonts that the region table names and one that it doesn't.
+    height = (720 + 360 * (F.col("media_id") % 3)).cast("string")
+    font = F.element_at(F.array(*[F.lit(f) for f in ASS_FONTS]), (F.col("media_id") % len(ASS_FONTS)).cast("int") + 1)
+    head = F.concat(
+        F.lit("[Script Info]\nTitle: demo\nPlayResY: "), height,
+        F.lit("\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, Encoding\nStyle: Default,"), font,
+        F.lit(",48,1\nStyle: Sign,Gone Sans,40,134\n\n[Fonts]\nDialogue: 0,not,an,event\n\n[Events]\n"
+              "Format: Layer, Style, Start, End, Name, MarginL, MarginR, MarginV, Effect, Text\n"),
     )
     return _printed(block, head, "\nComment: 0,x\nDialogue: 0,Default,bad,0:00:01.00,,0,0,0,,bad time\n", "\n")

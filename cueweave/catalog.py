@@ -154,7 +154,10 @@ def _(s, d):
 
 @query("render_ass")
 def _(s, d):
-    return ass.render(ad.styled(s, d).withColumn("raw", F.lit(None).cast("string")))
+    """Every third cue has a raw text, every fourth media a header of its own."""
+    cues = ad.styled(s, d).withColumn("raw", F.when(F.col("cue_idx") % 3 == 0, F.concat(F.lit("{\\an2}"), "text")))
+    header = cues.where(F.col("media_id") % 4 == 0).select("media_id", F.concat(F.lit("[Script Info] "), F.col("media_id").cast("string")).alias("block")).distinct()
+    return ass.render(cues, header)
 
 
 @query("format_dispatch")
@@ -761,7 +764,8 @@ def _(s, d):
 
 
 def _fonts(s: SparkSession, d: str) -> DataFrame:
-    return ad.table(s, d, "region").select(F.lit("Arial").alias("fontname")).distinct()
+    """The region names serve as the fonts that are there."""
+    return ad.table(s, d, "region").select(F.col("r_name").alias("fontname")).distinct()
 
 
 @query("fix_fonts")

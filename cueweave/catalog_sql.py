@@ -129,9 +129,10 @@ sql(
     LINES, ASS, ASSFULL,
 )
 sql("srt_rejects", f"SELECT doc_id AS media_id, unnest(['just one line', '77' || {_NL} || '00:99 --> nothing' || {_NL} || 'bad time']) AS block FROM documents")
-sql("ass_styles", """SELECT doc_id AS media_id, unnest([0, 1]) AS style_idx, unnest(['Default', 'Sign']) AS name,
-  unnest(['Arial', 'Gone Sans']) AS fontname, unnest(['1', '134']) AS encoding FROM documents""")
-sql("script_info", "SELECT doc_id AS media_id, unnest(['title', 'playresy']) AS key, unnest(['demo', '720']) AS value FROM documents")
+_FONT = f"{_list(ad.ASS_FONTS)}[doc_id % {len(ad.ASS_FONTS)} + 1]"
+sql("ass_styles", f"""SELECT doc_id AS media_id, unnest([0, 1]) AS style_idx, unnest(['Default', 'Sign']) AS name,
+  unnest([{_FONT}, 'Gone Sans']) AS fontname, unnest(['1', '134']) AS encoding FROM documents""")
+sql("script_info", "SELECT doc_id AS media_id, unnest(['title', 'playresy']) AS key, unnest(['demo', CAST(720 + 360 * (doc_id % 3) AS VARCHAR)]) AS value FROM documents")
 
 _CLEAN = f"""CASE WHEN regexp_matches(text, '\\{{[^}}]*\\\\p[1-9][^}}]*\\}}') THEN '' ELSE
   array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\{{[^}}]*\\}}', '', 'g'), '\\\\[Nn]', {_NL}, 'g'), {_NL}), lambda x: {_strip('x')}), lambda x: x <> ''), {_NL}) END"""
@@ -164,9 +165,9 @@ _HEAD = (
 )
 sql(
     "render_ass",
-    f"""SELECT media_id, 0 AS seq, CASE WHEN bool_or(cue_idx < 50 AND regexp_matches(text, '{tx.CJK_FONT}'))
+    f"""SELECT media_id, 0 AS seq, CASE WHEN media_id % 4 = 0 THEN '[Script Info] ' || media_id WHEN bool_or(cue_idx < 50 AND regexp_matches(text, '{tx.CJK_FONT}'))
     THEN '{_HEAD % 'Microsoft YaHei,56'}' ELSE '{_HEAD % 'Arial,48'}' END AS block FROM styled GROUP BY media_id UNION ALL
-  SELECT media_id, cue_idx + 1, 'Dialogue: 0,' || {_time('start_ms', 'ass')} || ',' || {_time('end_ms', 'ass')} || ',' || style || ',,0,0,0,,' || replace(text, {_NL}, '\\N') FROM styled""",
+  SELECT media_id, cue_idx + 1, 'Dialogue: 0,' || {_time('start_ms', 'ass')} || ',' || {_time('end_ms', 'ass')} || ',' || style || ',,0,0,0,,' || CASE WHEN cue_idx % 3 = 0 THEN '{{\\an2}}' || text ELSE replace(text, {_NL}, '\\N') END FROM styled""",
     LINES, STYLED,
 )
 sql("any_cjk", f"SELECT media_id, bool_or(cue_idx < 50 AND regexp_matches(text, '{tx.CJK_FONT}')) AS has_cjk FROM styled GROUP BY 1", LINES, STYLED)
@@ -586,9 +587,10 @@ sql("pick_external", f"""SELECT media_id, stem, subtitle, lvl > 0 AS by_content
     FILES, "subs AS (SELECT stem, stem || '.' || ext AS name, text FROM files UNION ALL SELECT video_stem, video_stem || '.srt', text FROM files)")
 sql("external_subtitles", """SELECT DISTINCT v.media_id, n.name FROM files v JOIN (SELECT stem || '.' || ext AS name FROM files) n ON starts_with(n.name, v.video_stem || '.')
   AND (substr(n.name, length(v.video_stem) + 2) IN ('srt', 'ass', 'ssa', 'vtt') OR regexp_full_match(substr(n.name, length(v.video_stem) + 2), '(zh|chi|en|eng|ja|jpn|ko|kor)\\.(srt|ass)'))""", FILES)
-sql("fix_fonts", f"""SELECT doc_id AS media_id, unnest([0, 1]) AS style_idx, unnest(['Default', 'Sign']) AS name, unnest(['Arial', 'Gone Sans']) AS old_font,
-  unnest(['Arial', CASE WHEN z THEN 'Microsoft YaHei' ELSE 'Arial' END]) AS new_font, unnest(['1', '1']) AS encoding, unnest([false, true]) AS replaced
-  FROM documents JOIN (SELECT media_id AS doc_id, bool_or(regexp_matches(raw, '{tx.CJK_STYLE}')) AS z FROM ass GROUP BY 1) USING (doc_id)""", LINES, ASS)
+sql("fix_fonts", f"""SELECT media_id, style_idx, name, old_font, CASE WHEN NOT replaced THEN old_font WHEN z THEN 'Microsoft YaHei' ELSE 'Arial' END AS new_font, '1' AS encoding, replaced FROM (
+  SELECT *, old_font NOT IN (SELECT r_name FROM region) AS replaced FROM (
+    SELECT doc_id AS media_id, z, unnest([0, 1]) AS style_idx, unnest(['Default', 'Sign']) AS name, unnest([{_FONT}, 'Gone Sans']) AS old_font
+    FROM documents JOIN (SELECT media_id AS doc_id, bool_or(regexp_matches(raw, '{tx.CJK_STYLE}')) AS z FROM ass GROUP BY 1) USING (doc_id)))""", LINES, ASS)
 sql("timeline_segments", f"""SELECT media_id, start_ms, end_ms, concat_ws({_NL}, t1, t2) AS text FROM (
   SELECT s.media_id, s.t AS start_ms, s.e AS end_ms, (SELECT arg_min(text, cue_idx) FROM a WHERE a.media_id = s.media_id AND a.start_ms <= s.t AND s.t < a.end_ms) AS t1,
     (SELECT arg_min(text, cue_idx) FROM zh z WHERE z.media_id = s.media_id AND z.start_ms <= s.t AND s.t < z.end_ms) AS t2
@@ -697,7 +699,8 @@ def _sampled(src: str, out: str, even: bool) -> str:
 sql("same_language", f"""SELECT media_id, {_lang('x.smp')} AS lang_a, {_lang('y.smp')} AS lang_b, ({_lang('x.smp')}) = ({_lang('y.smp')}) AND ({_lang('x.smp')}) <> 'unknown' AS same, 'even' AS rule FROM e1 x JOIN e2 y USING (media_id)
   UNION ALL SELECT media_id, {_lang('x.smp')}, {_lang('y.smp')}, ({_lang('x.smp')}) = ({_lang('y.smp')}) AND ({_lang('x.smp')}) <> 'unknown', 'first' FROM f1 x JOIN f2 y USING (media_id)""",
     LINES, TRACK_B, _sampled("a", "e1", True), _sampled("zh", "e2", True), _sampled("a", "f1", False), _sampled("same", "f2", False))
-sql("font_size", "SELECT doc_id AS media_id, 40 AS font_size, 'Style: Bilingual,Microsoft YaHei,40,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0,0,100,100,0,0,1,3,1,2,15,15,50,1' AS style_line FROM documents")
+sql("font_size", """SELECT media_id, font_size, 'Style: Bilingual,Microsoft YaHei,' || font_size || ',&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0,0,100,100,0,0,1,3,1,2,15,15,50,1' AS style_line
+  FROM (SELECT doc_id AS media_id, CAST(greatest(40, (720 + 360 * (doc_id % 3)) * 48 // 1000) AS INTEGER) AS font_size FROM documents)""")
 
 # ---- windows and order ---------------------------------------------------------------------------
 sql("renumber", """SELECT media_id, cue_idx, s AS start_ms, CAST(row_number() OVER (PARTITION BY media_id ORDER BY s, cue_idx) AS INTEGER) AS seq
