@@ -81,3 +81,20 @@ def test_similarity_scores(spark):
             "s_length": .647059, "s_common": .666667, "total": .721493, "var": .009533}
     for name, value in want.items():
         assert row[name] == pytest.approx(value, abs=1e-6)
+
+
+# The script ranges, stated apart from the library: each test at its borders and one beyond.
+HAN = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF)]
+KANA, HANGUL, PUNCTUATION, WIDE = [(0x3040, 0x309F), (0x30A0, 0x30FF)], [(0xAC00, 0xD7AF)], [(0x3000, 0x303F)], [(0xFF00, 0xFFEF)]
+RARE = [(0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF)]
+SCRIPTS = {
+    "has_cjk_font": HAN + KANA + HANGUL, "has_cjk_chinese": HAN + RARE + PUNCTUATION + WIDE, "has_cjk_style": HAN + PUNCTUATION + KANA + HANGUL,
+    "has_cjk_line": HAN + RARE[:3] + [(0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0x1100, 0x11FF)] + KANA + HANGUL,
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_script_borders(spark, name):
+    points = {c for ranges in SCRIPTS.values() for a, b in ranges for c in (a - 1, a, a + 1, b - 1, b, b + 1)} - set(range(0xD800, 0xE000))
+    rows = spark.createDataFrame([(c, chr(c)) for c in sorted(points)], "c int, v string").select("c", getattr(tx, name)(F.col("v")).alias("o")).collect()
+    assert {r.c for r in rows if r.o} == {c for c in points if any(a <= c <= b for a, b in SCRIPTS[name])}
