@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once (a single longer text is handled alone).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
