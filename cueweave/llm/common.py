@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.plans.lineage import cut_lineage
+
 #: Bytes of text that a task handles at once (a single longer text is handled alone).
 SLICE_BYTES = 4_000_000
 
@@ -35,6 +37,31 @@ def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -
     return a.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def text_key(text: Column | str) -> Column:
+    """128 bits that stand for a text (null: empty) in joins."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def one_per_group(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """The row of each group with the smallest id, then ``sha``, without an id last; the columns of ``docs``.
+
+    ``rows``: ``doc_id, sha`` (``text_key``) and the group of every row of
+    ``docs``. Of rows that repeat both id and text in a group one stays.
+    """
+    first = rows.groupBy(group).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    grouped = rows.join(first, group).groupBy("doc_id", "sha").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    sha = column_name(docs, "_sha")
+    keyed = docs.withColumn(sha, text_key("text"))
+    grouped = cut_lineage(grouped.where("not stays or n > 1").withColumnRenamed("sha", sha), "repeated")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    alone = null_safe(keyed, grouped.select("doc_id", sha), ["doc_id", sha], "left_anti").select(*names)
+    again = null_safe(keyed, grouped.where("stays").select("doc_id", sha), ["doc_id", sha], "left_semi").dropDuplicates(["doc_id", sha])
+    return alone.unionByName(again.select(*names))
+
+
 def give_back() -> None:
     """Return freed memory to the system: idle workers stay beside those of later stages."""
     pa.default_memory_pool().release_unused()
