@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import byte_bpe, exact_dedup, licenses, packing, pii, quality, simhash, token_count, toxicity, warc
+from cueweave.llm import (
+    byte_bpe, conversations, decontaminate, exact_dedup, licenses, packing, pii, quality, simhash, token_count, toxicity, warc, whitening,
+)
 
 TOKEN_LIMIT = 4096
 
@@ -87,3 +89,24 @@ def _(s, d):
     return toxicity.score(docs, machine).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query("op11_decontamination")
+def _(s, d):
+    found = decontaminate.contamination(documents(s, d), s.read.parquet(f"{d}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query("op12_conversation_repair")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/conversations.parquet")
+    return conversations.repair(conversations.damaged(rows)).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
+@query("op13_whitening")
+def _(s, d):
+    return whitening.whiten(s.read.parquet(f"{d}/embeddings.parquet"))
