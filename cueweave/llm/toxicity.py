@@ -2,22 +2,27 @@
 
 Terms are words and word beginnings (``PREFIXES`` characters), each at the
 levels "once or more", "twice or more", ... (``LEVELS``), and the text's length
-as a power of two. A term is known by its hash alone. The machine adds a weight
-per term and the product of two terms' vectors for every pair of terms, so it
-learns that an insult beside another, or a doubtful word often in a short text,
-weighs more than each on its own; that takes time linear in the terms.
+as a power of two. Every term is hashed into one of ``BUCKETS``; none is left out.
+The machine adds a weight per term and the product of two terms' vectors for
+every pair of terms, so it learns that an insult beside a group mention weighs
+more than each on its own; that takes time linear in the terms.
 
-Fitting reads at most ``TRAIN_ROWS`` labelled texts (the smallest hashes of
-their ids, so the choice is stable), counts their hashed terms in Spark, keeps
-the ``TERMS`` that speak most clearly for the label and fits the machine on the
-driver, whose input is bound by the two numbers. Scoring is one pass over all
-whole texts; words are looked up once per slice.
+Most of a text's terms say nothing of its label, and there are more of them than
+labelled texts. So a bucket's input is scaled by the evidence that it matters,
+alone or beside another frequent term (``evidence``): doubtful ones start small, and
+the fit can still raise them.
+
+Fitting reads at most ``TRAIN_ROWS`` labelled texts (the smallest hashes of their
+ids, so the choice is stable) with ``TRAIN_TERMS`` terms in all and fits the machine
+on the driver, whose input is bound by the two numbers. Scoring is one pass over
+all whole texts; a word's terms are looked up once per slice.
 
 Defined results: a null or empty text is scored by its length alone; a null id
 is held out (never learnt from) and scored; several labels of one id count as
-the largest, null labels as none; without a row of both classes every score is
-the share of toxic rows (0 without any); rows that repeat come out as often as
-they stand; other columns of the table are not touched.
+the largest, null labels as none; texts that repeat an id are rows of their own;
+without a row of both classes every score is the share of toxic rows (0 without
+any); rows that repeat come out as often as they stand; other columns of the
+table are not touched.
 """
 
 from __future__ import annotations
@@ -32,16 +37,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.llm.common import buffers, slices, starts, string_array, strings, texts
+from cueweave.llm.common import buffers, gather, slices, starts, string_array, strings, texts
 from cueweave.plans.lineage import cut_lineage
 
-#: Most labelled rows that fitting reads, and most hashed terms that it keeps.
-TRAIN_ROWS, TERMS = 16_000, 2_048
+#: Most labelled rows that fitting reads, most terms in them, and what terms are hashed to.
+TRAIN_ROWS, TRAIN_TERMS, BUCKETS = 16_000, 20_000_000, 2**18
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
-FACTORS, ROUNDS, RATE = 6, 300, 0.05
-#: Fewest toxic rows with a term, and how many standard deviations they must be above their share.
-LEAST_ROWS, CLEAR = 3, 3.5
+#: Size of the vectors, rows of a step, fewest steps and rounds over the rows, step size.
+FACTORS, BATCH, STEPS, ROUNDS, RATE = 6, 256, 200, 3, 0.02
+#: Standard deviations from its share of toxic rows that make a bucket clear, alone or in a pair; toxic rows that it needs; buckets looked at in pairs.
+CLEAR, CLEAR_PAIR, LEAST_ROWS, PAIRED = 3.5, 7.0, 3, 1_024
+#: Least input, and the power by which less than clear evidence shrinks it.
+FLOOR, POWER = 0.005, 4
 #: Shrinkage: the weight of the prior against one row.
 SHRINK = 0.06
 LENGTHS = 24
@@ -73,42 +81,47 @@ def _words(array: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def word_terms(word: str) -> list[int]:
     """Hashes of the word and of its beginnings."""
     parts = [f"{word}$", *(word[:n] for n in PREFIXES if n <= len(word))]
-    return [xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass"), 7) & 0x3FFFFFFF for p in parts]
+    return [xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass"), 7) for p in parts]
 
 
-def terms(array: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice of texts: (text, hashed term with its level) pairs, different ones, and each text's words.
+def buckets(hashes: np.ndarray, level: int) -> np.ndarray:
+    """The buckets of hashed terms at a level."""
+    mixed = (hashes + np.uint64(level * 0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
 
-    ``wanted`` (sorted) keeps the terms in it alone, so that most words cost one look-up a slice.
-    """
+
+@dataclass
+class Words:
+    """Of a slice of texts: (text, word, times) triples, each different word's hashed terms and their offsets, words per text."""
+
+    text: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+    hashes: np.ndarray
+    at: np.ndarray
+    n_words: np.ndarray
+
+
+def read_words(array: pa.Array) -> Words:
     words, codes, offsets = _words(array)
     of_word = [word_terms(w) for w in words.to_numpy(zero_copy_only=False)]
-    flat = np.array([t for ts in of_word for t in ts], np.int64)
-    at = starts(np.array([len(ts) for ts in of_word], np.int64))
-    if wanted is not None:
-        keep = np.isin(flat, np.unique(wanted // len(LEVELS)))
-        at = np.concatenate([[0], np.cumsum(keep)])[at]
-        flat = flat[keep]
-    has = np.diff(at) > 0
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    hit = has[codes] if len(codes) else np.zeros(0, bool)
-    text, codes = text[hit], codes[hit]
-    times = np.diff(at)[codes] if len(codes) else np.zeros(0, np.int64)
-    out = starts(times)
-    term = flat[np.repeat(at[:-1][codes] - out[:-1], times) + np.arange(out[-1])] if len(codes) else np.zeros(0, np.int64)
-    key, count = np.unique(np.repeat(text, times) << np.int64(30) | term, return_counts=True)
-    text, term = key >> 30, key & 0x3FFFFFFF
-    rows, levelled = [], []
+    key, times = np.unique(text << np.int64(32) | codes, return_counts=True) if len(codes) else (np.zeros(0, np.int64),) * 2
+    hashes = np.array([t for ts in of_word for t in ts], np.uint64)
+    return Words(key >> 32, key & 0xFFFFFFFF, times, hashes, starts(np.array([len(ts) for ts in of_word], np.int64)), np.diff(offsets))
+
+
+def occurrences(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every term of every different word of a text, at every level that it reaches; texts ascending."""
+    rows, found = [], []
     for level, least in enumerate(LEVELS):
-        enough = count >= least
-        rows.append(text[enough])
-        levelled.append(term[enough] * len(LEVELS) + level)
-    rows, levelled = np.concatenate(rows), np.concatenate(levelled)
-    if wanted is not None and len(wanted):
-        keep = wanted[np.minimum(np.searchsorted(wanted, levelled), len(wanted) - 1)] == levelled
-        rows, levelled = rows[keep], levelled[keep]
-    order = np.lexsort((levelled, rows))
-    return rows[order], levelled[order], np.diff(offsets)
+        enough = words.times >= least
+        flat, ends = gather(buckets(words.hashes, level), words.at, words.word[enough])
+        rows.append(np.repeat(words.text[enough], np.diff(ends)))
+        found.append(flat)
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], found[order]
 
 
 def length_class(n_words: np.ndarray) -> np.ndarray:
@@ -119,109 +132,150 @@ def length_class(n_words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """Sorted hashed terms, then the length classes; bias, weights and vectors of all of them."""
+    """Bias; weights and vectors of the buckets, then of the length classes."""
 
-    wanted: np.ndarray
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
 
-    def score(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
-        """Probability for each of n texts with ones at (row, column)."""
-        return 1 / (1 + np.exp(-_raw(self.bias, self.weights, self.vectors, rows, columns, n)[0]))
-
-    def matrix(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        rows, found, n_words = terms(array, self.wanted)
-        columns = np.searchsorted(self.wanted, found)
-        return (
-            np.concatenate([rows, np.arange(len(array))]),
-            np.concatenate([columns, len(self.wanted) + length_class(n_words)]),
-        )
-
-
-def _raw(bias, weights, vectors, rows, columns, n):
-    linear = np.bincount(rows, weights[columns], n)
-    sums = np.stack([np.bincount(rows, v[columns], n) for v in vectors.T], axis=1)
-    squares = np.bincount(rows, (vectors**2).sum(axis=1)[columns], n)
-    return bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
-
-
-def fit_machine(wanted: np.ndarray, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Machine:
-    """Logistic loss with shrinkage, full batches, Adam; starts from a fixed seed."""
-    size, n = len(wanted) + LENGTHS, len(labels)
+    def score(self, array: pa.Array) -> np.ndarray:
+        """Probability for each text: sums per word first, then per text."""
+        words = read_words(array)
+        n, size = len(words.n_words), len(words.at) - 1
+        last = BUCKETS + length_class(words.n_words)
+        table = np.concatenate([self.weights[:, None], self.vectors, (self.vectors**2).sum(axis=1)[:, None]], axis=1)
+        total = table[last].astype(np.float64)
+        of = np.repeat(np.arange(size), np.diff(words.at))
+        for level, least in enumerate(LEVELS):
+            enough = words.times >= least
+            if not enough.any():
+                break
+            found = table[buckets(words.hashes, level)]
+            for c in range(table.shape[1]):
+                per_word = np.bincount(of, found[:, c], size)
+                total[:, c] += np.bincount(words.text[enough], per_word[words.word[enough]], n)
+        raw = self.bias + total[:, 0] + 0.5 * ((total[:, 1:-1] ** 2).sum(axis=1) - total[:, -1])
+        return 1 / (1 + np.exp(-np.clip(raw, -700, 700)))
+
+
+def _once(at: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) pairs, each once, some rows at a time."""
+    for start in range(0, len(at) - 1, 1_000):
+        stop = min(start + 1_000, len(at) - 1)
+        rows = np.repeat(np.arange(start, stop), np.diff(at[start : stop + 1]))
+        key = np.unique(rows * BUCKETS + columns[at[start] : at[stop]])
+        yield key // BUCKETS, key % BUCKETS
+
+
+def evidence(at: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Input scale of every bucket, from ``FLOOR`` (relative to the clearest) to 1.
+
+    A bucket is clear if its rows are toxic more or less often than all rows are,
+    by ``CLEAR`` standard deviations. Of the ``PAIRED`` buckets that most rows have, two
+    are clear together if rows with both are toxic more or less often than their
+    separate odds would have it, by ``CLEAR_PAIR``: so terms that say nothing alone
+    are found too.
+    """
+    n, share = len(labels), labels.mean()
+    count, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for rows, found in _once(at, columns):
+        count += np.bincount(found, minlength=BUCKETS)
+        toxic += np.bincount(found, labels[rows], BUCKETS)
+    clear = np.abs(toxic - count * share) / np.sqrt(np.maximum(count, 1) * share * (1 - share))
+    clear = np.where((toxic > count * share) & (toxic < LEAST_ROWS), np.minimum(clear, 1.0), clear) / CLEAR
+    some = np.argsort(-count, kind="stable")[:PAIRED]
+    some = some[(count[some] > 1) & (count[some] < n)]
+    place = np.full(BUCKETS, -1)
+    place[some] = np.arange(len(some))
+    has = np.zeros((n, len(some)), np.float32)
+    for rows, found in _once(at, columns):
+        picked = place[found] >= 0
+        has[rows[picked], place[found[picked]]] = 1
+    both, bad = has.T @ has, (has * labels[:, None].astype(np.float32)).T @ has
+    odds = lambda good, ill: np.log((ill + share) / (good + 1 - share))
+    each = odds((count - toxic)[some], toxic[some])
+    expected = 1 / (1 + np.exp(-(each[:, None] + each[None, :] - odds(n - labels.sum(), labels.sum()))))
+    apart = np.abs(bad - both * expected) / np.sqrt(both * expected * (1 - expected) + 1)
+    np.fill_diagonal(apart, 0)
+    if len(some):
+        clear[some] = np.maximum(clear[some], apart.max(axis=1) / CLEAR_PAIR)
+    scale = np.maximum(np.minimum(clear, 1.0) ** POWER, FLOOR)
+    return scale / scale.max()
+
+
+def fit_machine(at: np.ndarray, columns: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> Machine:
+    """Logistic loss with shrinkage, small batches, Adam; starts from a fixed seed.
+
+    ``columns``: the buckets of all rows, from offset ``at`` on; ``lengths``: the rows' length classes.
+    """
+    n, size = len(labels), BUCKETS + LENGTHS
     share = labels.mean() if n else 0.0
     if share in (0.0, 1.0):
-        return Machine(wanted[:0], 40.0 if share else -40.0, np.zeros(LENGTHS), np.zeros((LENGTHS, FACTORS)))
-    theta = np.concatenate([[np.log(share / (1 - share))], np.zeros(size), np.random.default_rng(5).normal(0, 0.05, size * FACTORS)])
-    mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    count = np.bincount(columns, minlength=size)
-    for t in range(1, ROUNDS + 1):
-        weights, vectors = theta[1 : size + 1], theta[size + 1 :].reshape(size, FACTORS)
-        raw, sums = _raw(theta[0], weights, vectors, rows, columns, n)
-        error = (1 / (1 + np.exp(-raw)) - labels) / n
-        each = error[rows]
-        g_w = np.bincount(columns, each, size) + SHRINK / n * weights
-        pull = np.bincount(columns, each, size)
-        g_v = np.stack([np.bincount(columns, each * sums[rows, f], size) for f in range(FACTORS)], axis=1) - pull[:, None] * vectors
-        g_v += 5 * SHRINK / n * vectors
-        grad = np.concatenate([[error.sum()], g_w, g_v.ravel()])
-        mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
-        theta -= RATE * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
-    return Machine(wanted, float(theta[0]), theta[1 : size + 1].copy(), theta[size + 1 :].reshape(size, FACTORS).copy())
-
-
-def clear_terms(counts: DataFrame, n_rows: int, n_toxic: int) -> np.ndarray:
-    """The terms that toxic rows hold more often than chance would have it; ``counts``: ``term, n, toxic``."""
-    share = n_toxic / max(n_rows, 1)
-    n, toxic = F.col("n"), F.col("toxic")
-    above = (toxic - n * share) / F.sqrt(n * share * (1 - share) + F.lit(1e-9))
-    best = (
-        counts.where((toxic >= LEAST_ROWS) & (n < n_rows)).select("term", above.alias("above")).where(F.col("above") >= CLEAR)
-        .orderBy(F.desc("above"), "term").limit(TERMS)
-    )
-    return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
+        return Machine(40.0 if share else -40.0, np.zeros(size), np.zeros((size, FACTORS)))
+    scale = np.concatenate([evidence(at, columns, labels), np.ones(LENGTHS)]).astype(np.float32)
+    random = np.random.default_rng(5)
+    # Column 0 holds the weights, the others the vectors; only buckets that rows have are fitted.
+    marks = np.zeros(size, bool)
+    marks[columns] = marks[BUCKETS + lengths] = True
+    used, number = np.flatnonzero(marks), (np.cumsum(marks) - 1).astype(np.int32)
+    columns, at = np.insert(number[columns], at[1:], number[BUCKETS + lengths]), at + np.arange(n + 1)
+    theta = np.concatenate([np.zeros((len(used), 1)), random.normal(0, 0.05, (len(used), FACTORS))], axis=1).astype(np.float32)
+    own, shrink = scale[used][:, None], SHRINK / n * np.array([1] + [5] * FACTORS, np.float32)
+    bias, step = np.log(share / (1 - share)), 0
+    mean, var, bias_mean, bias_var = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
+    for _ in range(max(ROUNDS, -(-STEPS * BATCH // n))):
+        shuffled = random.permutation(n)
+        for start in range(0, n, BATCH):
+            batch = shuffled[start : start + BATCH]
+            found, ends = gather(columns, at, batch)
+            row = np.repeat(np.arange(len(batch)), np.diff(ends))
+            part = (theta * own)[found]
+            sums = np.stack([np.bincount(row, part[:, k], len(batch)) for k in range(FACTORS + 1)], axis=1)
+            squares = np.bincount(row, (part[:, 1:] ** 2).sum(axis=1), len(batch))
+            raw = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
+            error = (1 / (1 + np.exp(-np.clip(raw, -50, 50))) - labels[batch]) / len(batch)
+            pull = error[row]
+            grad = np.stack([np.bincount(found, pull * (sums[row, k] - part[:, k]) if k else pull, len(used)) for k in range(FACTORS + 1)], axis=1)
+            grad = (grad * own).astype(np.float32) + shrink * theta
+            step += 1
+            mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
+            bias_mean, bias_var = 0.9 * bias_mean + 0.1 * error.sum(), 0.999 * bias_var + 0.001 * error.sum() ** 2
+            rise, spread = 1 - 0.9**step, 1 - 0.999**step
+            theta -= RATE * (mean / rise) / (np.sqrt(var / spread) + 1e-8)
+            bias -= RATE * (bias_mean / rise) / (np.sqrt(bias_var / spread) + 1e-8)
+    whole = np.zeros((size, FACTORS + 1), np.float32)
+    whole[used] = theta * own
+    return Machine(float(bias), whole[:, 0].copy(), whole[:, 1:].copy())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on the labelled texts that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = cut_lineage(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    nothing = np.zeros(0, np.int64)
-    if not 0 < total["toxic"] < total["n"]:
-        return fit_machine(nothing, nothing, nothing, np.repeat([0.0, 1.0], [total["n"] - total["toxic"], total["toxic"]]))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows, found, _ = terms(strings(batch))
-            toxic = pc.cast(batch.column("toxic"), pa.int64()).to_numpy()[rows]
-            term, at = np.unique(found, return_inverse=True)
-            yield pa.record_batch({
-                "term": term, "n": np.bincount(at, minlength=len(term)), "toxic": np.bincount(at, toxic, len(term)).astype(np.int64),
-            })
-
-    counts = sample.mapInArrow(held, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    wanted = clear_terms(counts, total["n"], total["toxic"])
-    empty = Machine(wanted, 0.0, np.zeros(0), np.zeros((0, 0)))
+    # An id may stand on many rows: the rows are counted, not the ids.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(TRAIN_ROWS)
 
-    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, columns = empty.matrix(strings(batch))
-            order = np.lexsort((columns, rows))
-            at = starts(np.bincount(rows, minlength=batch.num_rows))
+            words = read_words(strings(batch))
+            text, found = occurrences(words)
+            at = starts(np.bincount(text, minlength=batch.num_rows))
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "toxic": pc.cast(batch.column("toxic"), pa.float64()),
-                "columns": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(columns[order].astype(np.int32))),
+                "key": batch.column("key"), "toxic": pc.cast(batch.column("toxic"), pa.float64()), "length": length_class(words.n_words).astype(np.int32),
+                "columns": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32))),
             })
 
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(ones, f"doc_id {kind}, toxic double, columns array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    lists = pa.concat_arrays(found.column("columns").chunks)
-    return fit_machine(
-        wanted, np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy().astype(np.int64),
-        found.column("toxic").to_numpy(),
-    )
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
+    sample = cut_lineage(keyed.mapInArrow(read, "key long, toxic double, length int, columns array<int>"), "toxic-sample")
+    sizes = sample.select("key", F.size("columns").alias("n")).toArrow().sort_by("key")
+    within = np.cumsum(sizes.column("n").to_numpy()) <= TRAIN_TERMS
+    if not within.all():
+        sample = sample.where(F.col("key") < int(sizes.column("key")[int(np.argmin(within))].as_py()))
+    found = sample.toArrow().sort_by("key").combine_chunks()
+    lists = pa.concat_arrays(found.column("columns").chunks or [pa.array([], pa.list_(pa.int32()))])
+    count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return fit_machine(starts(count), lists.flatten().to_numpy(), found.column("length").to_numpy().astype(np.int64), found.column("toxic").to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -230,7 +284,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = shared.value.score(*shared.value.matrix(strings(batch)), batch.num_rows)
+            found = shared.value.score(strings(batch))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": found})
 
     rows = texts(docs)
@@ -243,8 +297,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            text = pc.fill_null(strings(batch), "")
-            found = shared.value.score(*shared.value.matrix(text), batch.num_rows)
+            found = shared.value.score(pc.fill_null(strings(batch), ""))
             yield batch.filter(pa.array(found < threshold))
 
     return docs.mapInArrow(run, docs.schema)

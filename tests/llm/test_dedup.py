@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cueweave.llm import exact_dedup, simhash
 from cueweave.llm.components import components
+from cueweave.llm.sql import ORACLE
 
 AWKWARD = [
     (1, "a b c d"), (2, "a  b\tc d"), (3, None), (4, ""), (5, " "), (6, "  \n"), (7, "a b c d"), (7, "a b c d"), (8, "a b c e"),
@@ -19,16 +21,14 @@ AWKWARD = [
 
 
 def exact_loop(pairs):
-    body = {}
-    for i, t in set(pairs):
-        body.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
-    out = set()
-    for text, ids in body.items():
-        known = [i for i in ids if i is not None]
-        keep = min(known) if known else None
-        n = sum(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") == text for _, t in pairs)
-        out |= {(i, keep, n, i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids}
-    return out
+    """A row per row; of each group the row with the smallest id (ids before none) is kept, once."""
+    rows, held = [], {}
+    for i, t in sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0)):
+        body = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        first = body not in held
+        held.setdefault(body, []).append(i)
+        rows.append((i, body, first))
+    return [(i, held[b][0], len(held[b]), first, hashlib.sha256(b.encode()).hexdigest()) for i, b, first in rows]
 
 
 @pytest.mark.parametrize("weak", [False, True])
@@ -37,16 +37,26 @@ def test_exact_dedup(make, weak):
     kind = {"content_hash": lambda c: F.substring(F.encode(c, "UTF-8"), 1, 1)} if weak else {}
     docs = make(AWKWARD)
     rows = exact_dedup.exact_duplicates(docs, **kind).collect()
-    assert len(rows) == len(set(AWKWARD)) and {tuple(r) for r in rows} == exact_loop(AWKWARD)
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, exact_loop(AWKWARD)))
     kept = exact_dedup.drop_duplicates(docs, **kind)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k in {x[1] for x in exact_loop(AWKWARD)})
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in exact_loop(AWKWARD) if r[3])
+
+
+def test_exact_dedup_as_sql(make, tmp_path):
+    """Rows that repeat, and rows without an id, as the twin has them."""
+    make(AWKWARD).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    twin = con.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({ORACLE['op8_exact_dedup']})").fetchall()
+    rows = exact_dedup.exact_duplicates(make(AWKWARD)).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, twin))
 
 
 def test_exact_dedup_other_columns(make):
     docs = make(AWKWARD).withColumn("hash", F.lit(1)).withColumn("_body", F.lit("x")).withColumn("keep_id", F.lit(2)).withColumn("a.b", F.lit(3))
-    assert exact_dedup.exact_duplicates(docs).count() == len(set(AWKWARD))
-    assert exact_dedup.drop_duplicates(docs).columns == docs.columns
+    assert exact_dedup.exact_duplicates(docs).count() == len(AWKWARD)
+    assert exact_dedup.drop_duplicates(docs).columns == docs.columns and exact_dedup.drop_duplicates(docs).dtypes == docs.dtypes
     assert exact_dedup.exact_duplicates(make([])).count() == 0 and exact_dedup.drop_duplicates(make([])).count() == 0
 
 

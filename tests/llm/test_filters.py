@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from cueweave.llm import quality, toxicity
 
 AWKWARD = [
@@ -116,11 +117,61 @@ def test_toxicity_awkward(fitted, make, spark):
     assert toxicity.score(make([]), machine).count() == 0
 
 
-def test_pairs_of_terms_count():
-    """The machine learns a label that no sum of weights can give: one of two terms, not both."""
+def score_loop(machine, text):
+    """The machine's definition: every pair of occurrences, one by one."""
+    words = re.findall(r"[^\W\d_]+|[^\x00-\x7F]+", text.lower()) if text.isascii() else None
+    if words is None:
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()
+    cells = [toxicity.BUCKETS + min(int(np.log2(len(words) + 1)), toxicity.LENGTHS - 1)]
+    for word in sorted(set(words)):
+        for level, least in enumerate(toxicity.LEVELS):
+            if words.count(word) >= least:
+                cells += toxicity.buckets(np.array(toxicity.word_terms(word), np.uint64), level).tolist()
+    raw = machine.bias + sum(float(machine.weights[c]) for c in cells)
+    for i, a in enumerate(cells):
+        for b in cells[:i]:
+            raw += float(machine.vectors[a].astype(float) @ machine.vectors[b].astype(float))
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_scores_by_loop(fitted, spark, make):
+    """The registered query's columns from plain loops over pairs of terms."""
+    docs, labels, machine = fitted
+    found = {r.doc_id: r for r in queries()["op10_toxicity"](spark, "/root/testdata/sf0.01").collect()}
+    rows = [r for r in docs.orderBy(F.length("text"), "doc_id").limit(60).collect()]
+    assert len(found) == docs.count()
+    for r in rows:
+        got, want = found[r.doc_id], score_loop(machine, r.text or "")
+        assert got.score == pytest.approx(want, abs=1e-5) and got.predicted == (got.score >= 0.7)
+        assert got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_pairs_of_neutral_terms(spark, make):
+    """A label that no sum of weights can give (one of two words, not both) is learnt through ``fit``, among other words."""
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 2, (2, 800))
-    rows, columns = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)]), np.repeat([0, 1], [a.sum(), b.sum()])
-    labels = (a ^ b).astype(float)
-    machine = toxicity.fit_machine(np.array([4, 8]), rows, columns, labels)
-    assert ((machine.score(rows, columns, 800) > 0.5) == labels).mean() > 0.99
+    filler = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    rows, toxic = [], []
+    for i in range(4000):
+        a, b = rng.integers(0, 2, 2)
+        words = [*rng.choice(filler, 12), *["mention"] * a, *["remark"] * b]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        toxic.append((i, 1, int(a ^ b)))
+    docs = make(rows)
+    labels = spark.createDataFrame(toxic, "doc_id long, quality int, toxic int")
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r.score >= 0.5) == r.toxic for r in found]) > 0.95
+
+
+def test_fit_bounds(spark, make, monkeypatch):
+    """An id that stands on many rows, and long texts, don't pass the bounds."""
+    k = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = make([(k, f"bad word{i}") for i in range(300)] + [(i, "fine words here") for i in range(10, 60)])
+    labels = spark.createDataFrame([(k, 1, 1)] + [(i, 1, 0) for i in range(10, 60)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit_machine = toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "fit_machine", lambda *a: seen.append((len(a[3]), len(a[1]))) or fit_machine(*a))
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 200)
+    monkeypatch.setattr(toxicity, "TRAIN_TERMS", 500)
+    toxicity.fit(docs, labels)
+    assert 0 < seen[0][0] < 200 and seen[0][1] <= 500

@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cueweave.llm import pii, simhash, toxicity, warc
+from cueweave.llm import pii, toxicity, warc
 from cueweave.llm.sql import ORACLE
-from tests.llm.test_dedup import component_of, fingerprint_loop
+from tests.llm.test_near_copies import groups_loop
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
 from check import compare, connect  # noqa: E402
@@ -36,7 +36,7 @@ def test_pipeline_step_by_step(spark):
         assert stage.columns == docs.columns and stage.dtypes == docs.dtypes, name
         # The same by loops.
         if name == "toxicity":
-            score = machine.score(*machine.matrix(pa.array([r["text"] for r in rows], pa.string())), len(rows))
+            score = machine.score(pa.array([r["text"] for r in rows], pa.string()))
             rows = [r for r, s in zip(rows, score, strict=True) if s < toxicity.THRESHOLD]
         elif name == "exact dedup":
             first = {}
@@ -44,8 +44,7 @@ def test_pipeline_step_by_step(spark):
                 first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]), r)
             rows = list(first.values())
         elif name == "near dedup":
-            group = component_of([r["doc_id"] for r in rows], [fingerprint_loop(r["text"]) for r in rows], simhash.MAX_BITS)
-            kept = {i for i, _, c in group if i == c}
+            kept = {min(members)[1] for members in groups_loop([(r["doc_id"], r["text"]) for r in rows]).values()}
             rows = [r for r in rows if r["doc_id"] in kept]
         else:
             model = pii.fit(spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema))
