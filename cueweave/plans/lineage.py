@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a session inside one JVM
-    (tests, bench; not ``local-cluster``) may set a temporary folder of its own.
+    (tests, bench; not ``local-cluster``) that names none gets a temporary folder,
+    as the checkpoint folder of its context.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -21,9 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cueweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cueweave-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -36,6 +39,27 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/cueweave-{spark.sparkContext.applicationId}"
 
 
+#: Lists that note the paths of tables as they are written.
+_notes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Note in ``paths`` the tables that ``cut_lineage`` writes meanwhile, for ``drop_tables``."""
+    _notes.append(paths)
+    try:
+        yield
+    finally:
+        _notes.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables noted; what was read from them must be written by now."""
+    while paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's tables; call it when the results are written."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
@@ -50,5 +74,7 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for paths in _notes:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
