@@ -1,8 +1,9 @@
 """Cue tables derived from the given parquet tables.
 
-Every adapter is a narrow transformation of its source rows (no shuffle): one
-document is one media, its sentences are the cues, and the cue index is the
-position inside the row's own array.
+Every adapter is a narrow transformation of its source rows: one document is one
+media, its sentences are the cues, and the cue index is the position inside the
+row's own array. Rows are dealt out first only where the table has fewer files
+than the session has cores.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mark in ".?!":
         text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
     pieces = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    # The given table is one file with one row group, which is one split: deal its rows out.
-    docs = table(spark, sf_dir, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = table(spark, sf_dir, "documents")
+    # A table of fewer files than cores (the small given ones are one file with one row group) would keep most cores idle.
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return docs.select(
         F.col("doc_id").alias("media_id"), "lang", "source", pieces.alias("ls")
     )
@@ -136,7 +139,11 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source type and language of both tracks of each media, as the merge jobs need them."""
     kind = F.col("doc_id") % 4
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents")
+    # A table of fewer files than cores (the small given ones are one file with one row group) would keep most cores idle.
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select(
         F.col("doc_id").alias("media_id"),
         F.when(kind < 2, "embedded").otherwise("external").alias("source1"),
         F.when((kind == 0) | (kind == 2), "embedded").otherwise("external").alias("source2"),
@@ -151,7 +158,11 @@ EXTS = ("srt", "vtt", "ass", "ssa")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file name per document: language tag from the table, extension by id."""
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), F.expr("cast(doc_id % 4 as int) + 1"))
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents")
+    # A table of fewer files than cores (the small given ones are one file with one row group) would keep most cores idle.
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select(
         F.col("doc_id").alias("media_id"), "lang", "source", "text", ext.alias("ext"),
         F.concat(F.lit("Movie."), "source", F.lit("."), F.col("doc_id").cast("string")).alias("video_stem"),
         F.concat(F.lit("Movie."), "source", F.lit("."), F.col("doc_id").cast("string"), F.lit("."),

@@ -660,7 +660,7 @@ def _(s, d):
 
 
 def _packet_starts(s: SparkSession, d: str) -> DataFrame:
-    return manifest.packet_times(_packets(s, d))
+    return manifest.packet_times(_packets(s, d), sy.PACKET_WINDOW_MS)
 
 
 def _ext_starts(s: SparkSession, d: str, k: int = 15) -> DataFrame:
@@ -882,7 +882,8 @@ def _(s, d):
 def _(s, d):
     even = sm.same_language(cues_a(s, d), cues_zh(s, d)).withColumn("rule", F.lit("even"))
     first = sm.same_language(cues_a(s, d), cues_same(s, d), sampled=False).withColumn("rule", F.lit("first"))
-    return even.unionByName(first)
+    whole = sm.same_language(cues_a(s, d), cues_same(s, d), k=None).withColumn("rule", F.lit("all"))
+    return even.unionByName(first).unionByName(whole)
 
 
 @query("any_cjk")

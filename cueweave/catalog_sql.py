@@ -165,12 +165,12 @@ _HEAD = (
 )
 sql(
     "render_ass",
-    f"""SELECT media_id, 0 AS seq, CASE WHEN media_id % 4 = 0 THEN '[Script Info] ' || media_id WHEN bool_or(cue_idx < 50 AND regexp_matches(text, '{tx.CJK_FONT}'))
+    f"""SELECT media_id, 0 AS seq, CASE WHEN media_id % 4 = 0 THEN '[Script Info] ' || media_id WHEN bool_or(regexp_matches(text, '{tx.CJK_FONT}'))
     THEN '{_HEAD % 'Microsoft YaHei,56'}' ELSE '{_HEAD % 'Arial,48'}' END AS block FROM styled GROUP BY media_id UNION ALL
   SELECT media_id, cue_idx + 1, 'Dialogue: 0,' || {_time('start_ms', 'ass')} || ',' || {_time('end_ms', 'ass')} || ',' || style || ',,0,0,0,,' || CASE WHEN cue_idx % 3 = 0 THEN '{{\\an2}}' || text ELSE replace(text, {_NL}, '\\N') END FROM styled""",
     LINES, STYLED,
 )
-sql("any_cjk", f"SELECT media_id, bool_or(cue_idx < 50 AND regexp_matches(text, '{tx.CJK_FONT}')) AS has_cjk FROM styled GROUP BY 1", LINES, STYLED)
+sql("any_cjk", f"SELECT media_id, bool_or(regexp_matches(text, '{tx.CJK_FONT}')) AS has_cjk FROM styled GROUP BY 1", LINES, STYLED)
 sql(
     "format_dispatch",
     f"""SELECT media_id, ['srt', 'vtt', 'ass', 'ssa'][CAST(media_id % 4 AS INTEGER) + 1] AS format, count(*) AS n_cues,
@@ -200,7 +200,7 @@ sql(
     TRACKS,
 )
 EMB = "emb AS (SELECT DISTINCT media_id, start_ms AS emb_ms FROM track_a WHERE start_ms < 120000)"
-sql("packet_times", "SELECT * FROM emb", LINES, EMB)
+sql("packet_times", "SELECT DISTINCT media_id, start_ms AS emb_ms FROM track_a", LINES)
 sql("first_k_starts", "SELECT media_id, cue_idx AS ext_i, start_ms AS ext_ms FROM track_a WHERE cue_idx < 15", LINES)
 
 # ---- time functions -----------------------------------------------------------------
@@ -686,19 +686,20 @@ _FOR = _ind(("starts_with(t, '(') AND ends_with(t, ')')", 3), ("len(list_filter(
 _SIG = _ind(("t = upper(t) AND t <> lower(t) AND length(t) > 3", 2), ("regexp_matches(t, '[♪♫♬]')", 3), ("starts_with(t, '[') AND ends_with(t, ']')", 2), ("nw <= 2 AND length(t) < 15", 1))
 sql("content_score", f"""SELECT media_id, n, dialogue, signs, forced, round(CASE WHEN chars = 0 THEN 0.0 WHEN forced / n > 0.3 THEN -0.8 ELSE greatest(-1.0, least(1.0, (dialogue / n - signs / n - forced / n * 0.5) / 5.0)) END, 6) AS content_score FROM (
   SELECT media_id, count(*) AS n, sum(length(t)) AS chars, CAST(sum({_DIA}) AS BIGINT) AS dialogue, CAST(sum({_SIG}) AS BIGINT) AS signs, CAST(sum({_FOR}) AS BIGINT) AS forced FROM (
-    SELECT media_id, t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS nw FROM (SELECT media_id, {_S} AS t FROM styled WHERE cue_idx < 20)) GROUP BY 1)""", LINES, STYLED)
+    SELECT media_id, t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS nw FROM (SELECT media_id, {_S} AS t FROM styled)) GROUP BY 1)""", LINES, STYLED)
 sql("is_bilingual", f"""SELECT media_id, bool_or(k = 'cjk') AS has_cjk, bool_or(k = 'latin') AS has_latin, bool_or(k = 'cjk') AND bool_or(k = 'latin') AS bilingual
-  FROM (SELECT media_id, {_class('line')} AS k FROM (SELECT media_id, unnest({_LS}) AS line FROM styled WHERE cue_idx < 50)) GROUP BY 1""", LINES, STYLED)
+  FROM (SELECT media_id, {_class('line')} AS k FROM (SELECT media_id, unnest({_LS}) AS line FROM styled)) GROUP BY 1""", LINES, STYLED)
 
 
-def _sampled(src: str, out: str, even: bool) -> str:
-    cond = "cue_idx % greatest(1, n // 10) = 0 AND cue_idx // greatest(1, n // 10) < 10" if even else "cue_idx < 10"
+def _sampled(src: str, out: str, even: bool | None) -> str:
+    cond = "true" if even is None else "cue_idx % greatest(1, n // 10) = 0 AND cue_idx // greatest(1, n // 10) < 10" if even else "cue_idx < 10"
     return f"{out} AS (SELECT media_id, string_agg(text, ' ' ORDER BY cue_idx) AS smp FROM (SELECT *, count(*) OVER (PARTITION BY media_id) AS n FROM {src}) WHERE {cond} GROUP BY 1)"
 
 
 sql("same_language", f"""SELECT media_id, {_lang('x.smp')} AS lang_a, {_lang('y.smp')} AS lang_b, ({_lang('x.smp')}) = ({_lang('y.smp')}) AND ({_lang('x.smp')}) <> 'unknown' AS same, 'even' AS rule FROM e1 x JOIN e2 y USING (media_id)
-  UNION ALL SELECT media_id, {_lang('x.smp')}, {_lang('y.smp')}, ({_lang('x.smp')}) = ({_lang('y.smp')}) AND ({_lang('x.smp')}) <> 'unknown', 'first' FROM f1 x JOIN f2 y USING (media_id)""",
-    LINES, TRACK_B, _sampled("a", "e1", True), _sampled("zh", "e2", True), _sampled("a", "f1", False), _sampled("same", "f2", False))
+  UNION ALL SELECT media_id, {_lang('x.smp')}, {_lang('y.smp')}, ({_lang('x.smp')}) = ({_lang('y.smp')}) AND ({_lang('x.smp')}) <> 'unknown', 'first' FROM f1 x JOIN f2 y USING (media_id)
+  UNION ALL SELECT media_id, {_lang('x.smp')}, {_lang('y.smp')}, ({_lang('x.smp')}) = ({_lang('y.smp')}) AND ({_lang('x.smp')}) <> 'unknown', 'all' FROM g1 x JOIN g2 y USING (media_id)""",
+    LINES, TRACK_B, _sampled("a", "e1", True), _sampled("zh", "e2", True), _sampled("a", "f1", False), _sampled("same", "f2", False), _sampled("a", "g1", None), _sampled("same", "g2", None))
 sql("font_size", """SELECT media_id, font_size, 'Style: Bilingual,Microsoft YaHei,' || font_size || ',&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0,0,100,100,0,0,1,3,1,2,15,15,50,1' AS style_line
   FROM (SELECT doc_id AS media_id, CAST(greatest(40, (720 + 360 * (doc_id % 3)) * 48 // 1000) AS INTEGER) AS font_size FROM documents)""")
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.keywords import folded_keywords, numbers
-from cueweave.operators.matching import match_by_tokens, signature_pairs
+from cueweave.operators.matching import signature_pairs
 from cueweave.operators.similarity_join import anchor_similarity, similarity_align, similarity_sample
+from cueweave.operators.token_matching import match_by_tokens
 from cueweave.plans.lineage import cut_lineage
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import combine_texts
+from cueweave.plans.lineage import cut_lineage
 from cueweave.plans.ordered import with_neighbour
 from cueweave.plans.ranges import near_pairs, overlap_pairs
 
@@ -59,11 +60,17 @@ def anchor_scan(a: DataFrame, b: DataFrame, k: int = 10, tolerance_ms: int = 2_0
 
     ``k`` is also limited by the shorter track. At most ``k`` x ``k`` pairs per media.
     """
-    limit = a.groupBy("media_id").agg(F.count("*").alias("na")).join(
-        b.groupBy("media_id").agg(F.count("*").alias("nb")), "media_id"
-    ).select("media_id", F.least(F.lit(k), "na", "nb").alias("_k"))
-    left = a.where(F.col("cue_idx") < k).join(limit, "media_id").where("cue_idx < _k").drop("_k")
-    right = b.where(F.col("cue_idx") < k).join(limit, "media_id").where("cue_idx < _k").drop("_k")
+    both = a.select("media_id", "cue_idx", "start_ms", "end_ms", F.lit(1).alias("_side")).unionByName(
+        b.select("media_id", "cue_idx", "start_ms", "end_ms", F.lit(2).alias("_side"))
+    )
+    # One pass: how long both tracks are, and their first cues.
+    mine = lambda side: F.col("_side") == side
+    head = lambda side: F.collect_list(F.when(mine(side) & (F.col("cue_idx") < k), F.struct("cue_idx", "start_ms", "end_ms")))
+    heads = both.groupBy("media_id").agg(
+        F.least(F.lit(k), F.count_if(mine(1)), F.count_if(mine(2))).alias("_k"), head(1).alias("_a"), head(2).alias("_b")
+    ).where("_k > 0")
+    heads = cut_lineage(heads, "heads")
+    left, right = (heads.select("media_id", "_k", F.inline(c)).where("cue_idx < _k").drop("_k") for c in ("_a", "_b"))
     pairs = time_candidates(left, right, tolerance_ms)
     best = pairs.groupBy("media_id").agg(F.min(F.struct("delta_ms", "a_idx", "b_idx")).alias("m"))
     return best.select(
@@ -78,12 +85,15 @@ def align_from_anchor(a: DataFrame, b: DataFrame, anchors: DataFrame, tolerance_
     ``anchors`` is ``media_id, a_idx, b_idx, confidence``. Partners may repeat.
     After the anchor ties go to the lower, before it to the higher index.
     """
+    a, b = (cut_lineage(side.select("media_id", "cue_idx", "start_ms"), "starts") for side in (a, b))
     at_a = a.select("media_id", F.col("cue_idx").alias("a_idx"), F.col("start_ms").alias("_a"))
     at_b = b.select("media_id", F.col("cue_idx").alias("b_idx"), F.col("start_ms").alias("_b"))
+    anchors = cut_lineage(anchors, "anchors")
     plan = anchors.join(at_a, ["media_id", "a_idx"]).join(at_b, ["media_id", "b_idx"]).select(
         "media_id", F.col("a_idx").alias("_anchor_a"), F.col("b_idx").alias("_anchor_b"),
         (F.col("_b") - F.col("_a")).alias("_off"), F.col("confidence").alias("_c"),
     )
+    plan = cut_lineage(plan, "plan")
     side = F.when(F.col("cue_idx") > F.col("_anchor_a"), 1).when(F.col("cue_idx") < F.col("_anchor_a"), -1)
     left = a.join(plan, "media_id").select(
         "media_id", F.col("cue_idx").alias("a_idx"), (F.col("start_ms") + F.col("_off")).alias("_want"), side.alias("_side"), "_c"
@@ -110,17 +120,17 @@ def timeline_segments(a: DataFrame, b: DataFrame, top: str = "first") -> DataFra
     marks = boundaries(a).unionByName(boundaries(b)).distinct()
     nxt = with_neighbour(marks, ["media_id"], "t", [], {"t": "seg_end"}, after=True).where("seg_end is not null")
     seg = nxt.select("media_id", F.col("t").alias("a_start"), (F.col("t") + 1).alias("a_end"), "seg_end")
+    spans = _side(a, "b", "text").withColumn("_side", F.lit(1)).unionByName(_side(b, "b", "text").withColumn("_side", F.lit(2)))
 
-    def active(cues: DataFrame, out: str) -> DataFrame:
-        spans = _side(cues, "b", "text")
-        return overlap_pairs(seg, spans).groupBy("media_id", F.col("a_start").alias("start_ms"), F.col("seg_end").alias("end_ms")).agg(
-            F.min_by("b_text", "b_idx").alias(out)
-        )
+    def active(side: int) -> Column:
+        mine = F.col("_side") == side
+        return F.min_by(F.when(mine, F.col("b_text")), F.when(mine, F.col("b_idx")))
 
-    key = ["media_id", "start_ms", "end_ms"]
-    both = active(a, "text1").join(active(b, "text2"), key, "full")
+    both = overlap_pairs(seg, spans).groupBy("media_id", F.col("a_start").alias("start_ms"), F.col("seg_end").alias("end_ms")).agg(
+        active(1).alias("text1"), active(2).alias("text2")
+    )
     text = combine_texts(F.col("text1"), F.col("text2"), top)
-    return both.select(*key, text.alias("text")).where("text <> ''")
+    return both.select("media_id", "start_ms", "end_ms", text.alias("text")).where("text <> ''")
 
 
 def merge_from_alignments(a: DataFrame, b: DataFrame, pairs: DataFrame, reference: DataFrame, top: str = "first") -> DataFrame:

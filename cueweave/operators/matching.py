@@ -7,7 +7,6 @@ through a small sweep that only remembers what is already taken.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,57 +103,6 @@ def match_serial(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return picks.drop("_chunk")
 
 
-def _grouped_sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one media: references, then signature pairs, then sources in rule order."""
-    media = None
-    refs: dict[str, list[int]] = {}
-    ptr: dict[str, int] = {}
-    adjacent: dict[tuple[str, int], list[str]] = {}
-    heaps: dict[tuple[str, int], list[tuple[int, str]]] = {}
-    weights: dict[str, list[int]] = {}
-    used: set[int] = set()
-
-    def lowest_free(sig: str, weight: int) -> int | None:
-        key = (sig, weight)
-        if key not in heaps:
-            heaps[key] = [(refs[s][ptr[s]], s) for s in adjacent.get(key, ()) if ptr[s] < len(refs[s])]
-            heapq.heapify(heaps[key])
-        heap = heaps[key]
-        while heap:
-            head, s = heap[0]
-            if ptr[s] >= len(refs[s]):
-                heapq.heappop(heap)
-            elif refs[s][ptr[s]] != head:
-                heapq.heapreplace(heap, (refs[s][ptr[s]], s))
-            else:
-                ptr[s] += 1
-                return head
-        return None
-
-    for pdf in batches:
-        out = []
-        rows = zip(pdf.media_id.tolist(), pdf.kind.tolist(), pdf.level.tolist(),
-                   pdf.idx.tolist(), pdf.sig.tolist(), pdf.other.tolist())
-        for m, kind, level, idx, sig, other in rows:
-            if m != media:
-                media, refs, ptr, adjacent, heaps, weights, used = m, {}, {}, {}, {}, {}, set()
-            if kind == 0:
-                refs.setdefault(sig, []).append(idx)
-                ptr.setdefault(sig, 0)
-            elif kind == 1:
-                adjacent.setdefault((sig, idx), []).append(other)
-                if idx not in weights.setdefault(sig, []):
-                    weights[sig].append(idx)
-            elif idx not in used:
-                for weight in [-level] if level else sorted(weights.get(sig, ()), reverse=True):
-                    ref = lowest_free(sig, weight)
-                    if ref is not None:
-                        out.append((m, idx, ref, weight))
-                        used.add(idx)
-                        break
-        yield pd.DataFrame(out, columns=["media_id", "src_idx", "ref_idx", "weight"])
-
-
 def signature_pairs(src: DataFrame, ref: DataFrame) -> DataFrame:
     """``media_id, src_sig, ref_sig, n_shared, n_src, n_ref`` of cues with a ``tokens`` array.
 
@@ -174,49 +122,6 @@ def signature_pairs(src: DataFrame, ref: DataFrame) -> DataFrame:
     ).agg(F.count("*").cast("int").alias("n_shared"))
 
 
-def match_by_tokens(src: DataFrame, ref: DataFrame, by_weight: bool) -> DataFrame:
-    """One-to-one matching on shared tokens: ``media_id, src_idx, ref_idx, weight``.
-
-    ``by_weight`` takes pairs by (shared tokens desc, source, reference);
-    otherwise sources go in index order and take their best free reference.
-    Works on distinct token sets plus one index row per cue; cue pairs are
-    never enumerated. The sweep of a media is one ordered stream holding its
-    reference indexes (8 bytes each) and its distinct token-set pairs.
-    """
-    pairs = signature_pairs(src, ref)
-    join = lambda c: F.array_join(c, "\x1f")
-    flat = cut_lineage(
-        pairs.select("media_id", join("src_sig").alias("s"), join("ref_sig").alias("r"), "n_shared"), "signatures"
-    )
-    src_sigs = flat.groupBy("media_id", F.col("s").alias("sig")).agg(F.collect_set("n_shared").alias("ws"))
-    ref_sigs = flat.select("media_id", F.col("r").alias("sig")).distinct()
-    none = F.lit("")
-
-    def indexed(cues: DataFrame) -> DataFrame:
-        return cues.where(F.size("tokens") > 0).select(
-            "media_id", F.col("cue_idx").cast("bigint").alias("idx"), join("tokens").alias("sig")
-        )
-
-    ref_rows = indexed(ref).join(ref_sigs, ["media_id", "sig"], "left_semi").select(
-        "media_id", F.lit(0).alias("kind"), F.lit(0).alias("level"), "idx", "sig", none.alias("other")
-    )
-    pair_rows = flat.select(
-        "media_id", F.lit(1).alias("kind"), F.lit(0).alias("level"),
-        F.col("n_shared").cast("bigint").alias("idx"), F.col("s").alias("sig"), F.col("r").alias("other"),
-    )
-    sources = indexed(src).join(src_sigs, ["media_id", "sig"])
-    level = F.explode("ws") if by_weight else F.lit(0)
-    src_rows = sources.withColumn("w", level).select(
-        "media_id", F.lit(2).alias("kind"), (-F.col("w")).cast("int").alias("level"), "idx", "sig", none.alias("other")
-    )
-    return (
-        ref_rows.unionByName(pair_rows).unionByName(src_rows)
-        .repartition("media_id")
-        .sortWithinPartitions("media_id", "kind", "level", "idx")
-        .mapInPandas(_grouped_sweep, "media_id bigint, src_idx int, ref_idx int, weight int")
-    )
-
-
 def best_per_reference(edges: DataFrame, weight: str) -> DataFrame:
     """Greedy by weight when every source has a single candidate: the best source of each reference."""
     order = F.struct(F.col(weight), (-F.col("src_idx")).alias("_s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions.language import detect_lang, is_chinese_track, is_english_track
 from cueweave.functions.text import line_class, strip_ws
+from cueweave.plans.lineage import cut_lineage
 
 
 def track_summary(cues: DataFrame) -> DataFrame:
@@ -79,12 +80,12 @@ def robust_offset(anchors: DataFrame) -> DataFrame:
     def median(value: str) -> Column:
         return F.percentile(value, 0.5, F.col("n"))
 
-    counted = anchors.groupBy("media_id", F.col("time_offset_ms").alias("o")).agg(F.count("*").alias("n"))
+    counted = cut_lineage(anchors.groupBy("media_id", F.col("time_offset_ms").alias("o")).agg(F.count("*").alias("n")), "offsets")
     first = counted.groupBy("media_id").agg(median("o").alias("m0"), F.sum("n").alias("n_all"))
     near = F.abs(F.col("o") - F.col("m0")) < 5_000
     marked = counted.join(first, "media_id").withColumn("_in", near)
     some = marked.groupBy("media_id").agg(F.bool_or("_in").alias("_any"))
-    kept = marked.join(some, "media_id").where("n_all < 3 or _in or not _any")
+    kept = cut_lineage(marked.join(some, "media_id").where("n_all < 3 or _in or not _any"), "inliers")
     second = kept.groupBy("media_id").agg(median("o").alias("median_ms"), F.sum("n").alias("n_inliers"))
     spread = kept.join(second, "media_id").withColumn("d", F.abs(F.col("o") - F.col("median_ms")))
     mad = spread.groupBy("media_id", "median_ms", "n_inliers", "n_all").agg(median("d").alias("_mad"))
@@ -138,8 +139,8 @@ def preservation(original: DataFrame, merged: DataFrame, exact: bool = False) ->
     return agg.select("media_id", "n_original", "n_kept", ratio.alias("ratio"), (ratio >= 0.8).alias("preserved"))
 
 
-def content_score(cues: DataFrame, first: int = 20) -> DataFrame:
-    """Dialogue, sign and forced indicators summed over the first cues, and the resulting score."""
+def content_score(cues: DataFrame, first: int | None = None) -> DataFrame:
+    """Dialogue, sign and forced indicators summed over the cues (or the ``first`` ones), and the resulting score."""
     t = strip_ws(F.col("text"))
     low = F.lower(t)
     n_words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
@@ -156,6 +157,7 @@ def content_score(cues: DataFrame, first: int = 20) -> DataFrame:
             total = total + F.when(rule, n).otherwise(0)
         return total
 
+    # The marks and words of each rule, and its points.
     dialogue = points(
         (any_of(t, ".", ",", "!", "?"), 2), (any_of(low, "i", "you", "we", "they", "he", "she"), 1),
         (n_words > 5, 1), (any_of(t, '"', "'"), 2),
@@ -169,7 +171,7 @@ def content_score(cues: DataFrame, first: int = 20) -> DataFrame:
         (upper & (F.length(t) > 3), 2), (any_of(t, "♪", "♫", "♬"), 3),
         (t.startswith("[") & t.endswith("]"), 2), ((n_words <= 2) & (F.length(t) < 15), 1),
     )
-    head = cues.where(F.col("cue_idx") < first)
+    head = cues if first is None else cues.where(F.col("cue_idx") < first)
     filled = t != ""
     per = head.groupBy("media_id").agg(
         F.count("*").alias("n"), F.sum(F.length(t)).alias("chars"),
@@ -185,28 +187,29 @@ def content_score(cues: DataFrame, first: int = 20) -> DataFrame:
     return per.select("media_id", "n", "dialogue", "signs", "forced", score.alias("content_score"))
 
 
-def is_bilingual(cues: DataFrame, first: int = 50) -> DataFrame:
-    """Does any of the first cues have a CJK line, and any a Latin line?"""
+def is_bilingual(cues: DataFrame, first: int | None = None) -> DataFrame:
+    """Does any cue (or any of the ``first`` ones) have a CJK line, and any a Latin line?"""
     lines = F.transform(F.split("text", "\n"), lambda x: line_class(strip_ws(x)))
-    per = cues.where(F.col("cue_idx") < first).select("media_id", lines.alias("k"))
+    per = (cues if first is None else cues.where(F.col("cue_idx") < first)).select("media_id", lines.alias("k"))
     has = {k: F.coalesce(F.bool_or(F.array_contains("k", k)), F.lit(False)) for k in ("cjk", "latin")}
     return per.groupBy("media_id").agg(
         has["cjk"].alias("has_cjk"), has["latin"].alias("has_latin"), (has["cjk"] & has["latin"]).alias("bilingual")
     )
 
 
-def sample_text(cues: DataFrame, k: int = 10) -> DataFrame:
-    """``media_id, sample``: the texts of at most ``k`` given cues in order, joined by spaces."""
+def sample_text(cues: DataFrame, k: int | None = 10) -> DataFrame:
+    """``media_id, sample``: the texts of at most ``k`` given cues (None: of all) in order, joined by spaces."""
     pairs = F.array_sort(F.collect_list(F.struct("cue_idx", "text")))
-    return cues.groupBy("media_id").agg(F.array_join(F.slice(F.transform(pairs, lambda p: p["text"]), 1, k), " ").alias("sample"))
+    whole = F.transform(pairs, lambda p: p["text"])
+    return cues.groupBy("media_id").agg(F.array_join(whole if k is None else F.slice(whole, 1, k), " ").alias("sample"))
 
 
-def same_language(a: DataFrame, b: DataFrame, sampled: bool = True, k: int = 10) -> DataFrame:
-    """Do samples of both tracks (evenly spread, or the first cues) read as one known language?"""
+def same_language(a: DataFrame, b: DataFrame, sampled: bool = True, k: int | None = 10) -> DataFrame:
+    """Do samples of both tracks (evenly spread, or the first cues; ``k`` None: all cues) read as one known language?"""
     from cueweave.operators.timing import even_sample
 
     def lang(cues: DataFrame, out: str) -> DataFrame:
-        head = even_sample(cues, k) if sampled else cues.where(F.col("cue_idx") < k)
+        head = cues if k is None else even_sample(cues, k) if sampled else cues.where(F.col("cue_idx") < k)
         return sample_text(head, k).select("media_id", detect_lang(F.col("sample")).alias(out))
 
     return lang(a, "lang_a").join(lang(b, "lang_b"), "media_id").select(

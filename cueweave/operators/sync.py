@@ -10,6 +10,10 @@ from cueweave.operators.summary import track_is_lang
 from cueweave.operators.timing import apply_offset, realign, shift
 
 
+#: Fixed value: the packets that the sync rule compares with the first starts of an external file.
+PACKET_WINDOW_MS = 120_000
+
+
 def offset_vote(ext: DataFrame, emb: DataFrame, tolerance_ms: int = 200) -> DataFrame:
     """Offset between external and embedded starts that most external starts agree on.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.plans.ordered import number_rows, running_sum, time_chunk, with_neighbour
+from cueweave.plans.ordered import islands, number_rows
 
 GAP_MS = 100
 
@@ -68,19 +68,14 @@ def anti_jitter(cues: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
 
     In (start, cue_idx) order; the joined cue ends where its last member ends.
     Needs ``media_id, cue_idx, start_ms, end_ms, text``; other columns come
-    from the first member. Islands are numbered by a chunked running sum.
+    from the first member. Islands are numbered by a segmented scan.
     """
     extra = [c for c in cues.columns if c not in ("media_id", "cue_idx", "start_ms", "end_ms", "text")]
-    prev = with_neighbour(
-        cues, ["media_id"], "start_ms", ["cue_idx"], {"text": "_ptext", "end_ms": "_pend"}, after=False
-    )
-    same = (F.col("text") == F.col("_ptext")) & (F.col("start_ms") - F.col("_pend") <= gap_ms)
-    flagged = prev.withColumn("_new", F.when(same, 0).otherwise(1).cast("bigint")).withColumn(
-        "_chunk", time_chunk(F.col("start_ms"))
-    )
-    islands = running_sum(flagged, ["media_id"], "_chunk", ["start_ms", "cue_idx"], "_new", "_island")
+    last, this = F.col("_last"), F.col("_this")
+    same = (this["text"] == last["text"]) & (this["start_ms"] - last["end_ms"] <= gap_ms)
+    joined = islands(cues, ["media_id"], "start_ms", ["cue_idx"], F.struct("text", "start_ms", "end_ms"), same, "_island")
     order = F.struct("start_ms", "cue_idx")
-    return islands.groupBy("media_id", "_island").agg(
+    return joined.groupBy("media_id", "_island").agg(
         F.min_by(F.struct("cue_idx", "start_ms", "text", *extra), order).alias("_f"),
         F.max_by("end_ms", order).alias("end_ms"),
         F.count("*").alias("n_joined"),

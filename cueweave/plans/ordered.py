@@ -1,8 +1,10 @@
-"""Ordered computations over one media whose cues need not fit into one task.
+"""Ordered computations over one media whose cues need not fit into one task: a segmented scan.
 
 A plain ``Window.partitionBy("media_id")`` sorts a whole media inside a single
-task. The helpers here cut each media into time chunks, run the window inside
-the chunk, and carry one small summary row per chunk across chunk borders.
+task. Here one exchange by (media, chunk) sorts each chunk; what a window gives
+inside it is written with the rows. Of the written rows each chunk's state (a
+sum, its first and last row) is read, folded along the media and added back. The
+input is computed and moved once, however often its result is looked at.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueweave.plans.lineage import cut_lineage
+
 CHUNK_MS = 600_000
 
 
@@ -18,35 +22,33 @@ def time_chunk(ms: Column, width: int = CHUNK_MS) -> Column:
     return F.call_function("div", ms, F.lit(width))
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str
+def segments(
+    df: DataFrame, keys: list[str], by: str, tie: list[str], local: dict[str, Column], sums: dict[str, Column] | None = None, width: int = CHUNK_MS
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` in (chunk, *order) order within ``keys``."""
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        df.groupBy(*keys, chunk)
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_total").over(across), F.lit(0)))
-        .drop("_total")
-    )
-    local = df.withColumn(
-        "_local", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return (
-        local.join(totals, [*keys, chunk])
-        .withColumn(out, F.col("_local") + F.col("_before"))
-        .drop("_local", "_before")
-    )
+    """``df`` with its ``_chunk`` and columns over each chunk in (by, *tie) order, written.
+
+    ``local`` are window functions such as ``F.lag("x")``; ``sums`` are added up to
+    the row at hand and may name columns of ``local``.
+    """
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(by, *tie)
+    found = df.withColumn("_chunk", time_chunk(F.col(by), width)).withColumns({name: value.over(inner) for name, value in local.items()})
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    return cut_lineage(found.withColumns({name: F.sum(value).over(upto) for name, value in (sums or {}).items()}), "segments")
+
+
+def chunks_before(keys: list[str]) -> Window:
+    """All chunks of a media before the one at hand."""
+    return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def number_rows(
     df: DataFrame, keys: list[str], by: str, tie: list[str], out: str, width: int = CHUNK_MS
 ) -> DataFrame:
     """Dense 0-based position in (by, *tie) order within ``keys``."""
-    chunked = df.withColumn("_chunk", time_chunk(F.col(by), width)).withColumn("_one", F.lit(1).cast("bigint"))
-    summed = running_sum(chunked, keys, "_chunk", [by, *tie], "_one", "_n")
-    return summed.withColumn(out, (F.col("_n") - 1).cast("int")).drop("_chunk", "_one", "_n")
+    placed = segments(df, keys, by, tie, {"_at": F.row_number()}, width=width)
+    states = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = states.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(chunks_before(keys)), F.lit(0)).alias("_before"))
+    return placed.join(before, [*keys, "_chunk"]).withColumn(out, (F.col("_before") + F.col("_at") - 1).cast("int")).drop("_chunk", "_at", "_before")
 
 
 def with_neighbour(
@@ -58,20 +60,33 @@ def with_neighbour(
     lead; the first (last) row of a chunk takes the border row of the nearest
     non-empty chunk before (after) it.
     """
-    chunked = df.withColumn("_chunk", time_chunk(F.col(ms)))
-    order = [ms, *tie]
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    step = F.lead if after else F.lag
+    step, pick = (F.lead, F.min_by) if after else (F.lag, F.max_by)
     payload = F.struct(*[F.col(c).alias(o) for c, o in cols.items()])
-    pick = F.min_by if after else F.max_by
-    border = chunked.groupBy(*keys, "_chunk").agg(
-        pick(payload, F.struct(*order)).alias("_edge")
-    )
+    near = segments(df.withColumn("_own", payload), keys, ms, tie, {"_near": step("_own")})
     across = Window.partitionBy(*keys).orderBy("_chunk")
-    border = border.withColumn("_far", step("_edge").over(across)).drop("_edge")
-    local = chunked.withColumn("_near", step(payload).over(inner))
-    joined = local.join(border, [*keys, "_chunk"])
+    border = near.groupBy(*keys, "_chunk").agg(pick("_own", F.struct(ms, *tie)).alias("_edge")).select(
+        *keys, "_chunk", step("_edge").over(across).alias("_far")
+    )
+    joined = near.drop("_own").join(border, [*keys, "_chunk"])
     chosen = F.coalesce(F.col("_near"), F.col("_far"))
-    for o in cols.values():
-        joined = joined.withColumn(o, chosen[o])
-    return joined.drop("_chunk", "_near", "_far")
+    return joined.withColumns({o: chosen[o] for o in cols.values()}).drop("_chunk", "_near", "_far")
+
+
+def islands(df: DataFrame, keys: list[str], by: str, tie: list[str], payload: Column, same: Column, out: str) -> DataFrame:
+    """``out``: number of the island of each row, in (by, *tie) order within ``keys``.
+
+    An island goes on where ``same`` holds of ``_last`` and ``_this``, the ``payload``
+    structs of the row before and the row at hand. Chunks number their own
+    islands; whether a chunk's first row goes on with the island before is told
+    by the two rows at the border.
+    """
+    order = F.struct(by, *tie)
+    fresh = F.when(F.col("_last").isNull() | F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("bigint")
+    near = segments(df.withColumn("_this", payload), keys, by, tie, {"_last": F.lag("_this")}, {"_local": fresh})
+    states = near.groupBy(*keys, "_chunk").agg(
+        F.max("_local").alias("_n"), F.min_by("_this", order).alias("_this"), F.max_by("_this", order).alias("_end")
+    ).withColumn("_last", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")))
+    # The first row of a chunk begins an island unless it goes on with the chunk before.
+    begun = states.withColumn("_new", F.when(F.col("_last").isNotNull() & F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("bigint"))
+    base = begun.select(*keys, "_chunk", (F.coalesce(F.sum(F.col("_n") + F.col("_new")).over(chunks_before(keys)), F.lit(0)) + F.col("_new")).alias("_base"))
+    return near.drop("_this", "_last").join(base, [*keys, "_chunk"]).withColumn(out, F.col("_base") + F.col("_local")).drop("_chunk", "_local", "_base")

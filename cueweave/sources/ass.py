@@ -277,11 +277,11 @@ def replace_fonts(files: DataFrame, text: str, fonts: DataFrame) -> DataFrame:
     ).withColumn("fonts_fixed", F.coalesce(F.col("_n"), F.lit(0))).drop("_map", "_n")
 
 
-def any_cjk(cues: DataFrame, first: int = 50) -> DataFrame:
-    """``media_id, has_cjk`` over the first cues; a partial aggregate, no window."""
-    return cues.groupBy("media_id").agg(
-        F.coalesce(F.bool_or(F.when(F.col("cue_idx") < first, has_cjk_font(F.col("text")))), F.lit(False)).alias("has_cjk")
-    )
+def any_cjk(cues: DataFrame, first: int | None = None) -> DataFrame:
+    """``media_id, has_cjk`` over all cues, or the ``first`` ones; a partial aggregate, no window."""
+    found = has_cjk_font(F.col("text"))
+    looked = found if first is None else F.when(F.col("cue_idx") < first, found)
+    return cues.groupBy("media_id").agg(F.coalesce(F.bool_or(looked), F.lit(False)).alias("has_cjk"))
 
 
 def dialogue_line(start: Column, end: Column, style: Column, body: Column) -> Column:
@@ -301,6 +301,7 @@ def render(cues: DataFrame, header: DataFrame | None = None) -> DataFrame:
         if name not in cues.columns:
             cues = cues.withColumn(name, F.lit(None).cast("string"))
     has_cjk = F.col("has_cjk")
+    # The colours, scales and margins behind font and size.
     style = F.concat(
         F.lit(f"[V4+ Styles]\n{STYLE_FORMAT}\nStyle: Default,"),
         F.when(has_cjk, f"{CJK_FONT},{CJK_SIZE}").otherwise(f"{LATIN_FONT},{LATIN_SIZE}"),

@@ -44,14 +44,14 @@ def tracks(manifests: DataFrame) -> DataFrame:
     )
 
 
-def packet_times(manifests: DataFrame, window_ms: int = 120_000) -> DataFrame:
-    """``media_id, emb_ms``: distinct packet times of the first ``window_ms``."""
+def packet_times(manifests: DataFrame, window_ms: int | None = None) -> DataFrame:
+    """``media_id, emb_ms``: distinct packet times (before ``window_ms``, where given)."""
     packets = F.from_json("manifest", _PACKETS)["packets"]
     ms = (F.col("p.pts_time").try_cast("decimal(20,6)") * 1000).cast("bigint")
     return (
         manifests.select("media_id", F.explode(packets).alias("p"))
         .select("media_id", ms.alias("emb_ms"))
-        .where(F.col("emb_ms").isNotNull() & (F.col("emb_ms") < window_ms))
+        .where(F.col("emb_ms").isNotNull() if window_ms is None else F.col("emb_ms") < window_ms)
         .dropDuplicates()
     )
 

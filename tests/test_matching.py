@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from cueweave import catalog as cat
 from cueweave.functions import similarity as sim
 from cueweave.operators import matching as mt
 from cueweave.operators import similarity_join as sj
+from cueweave.operators import token_matching as tm
 
 
 def serial(edges):
@@ -74,8 +76,9 @@ def test_match_greedy(spark, chunk):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("hot, chunk", [(tm.HOT, tm.CHUNK), (3, tm.CHUNK), (3, 4), (0, 3)])
 @pytest.mark.parametrize("by_weight", [True, False])
-def test_match_by_tokens(spark, by_weight):
+def test_match_by_tokens(spark, by_weight, hot, chunk):
     rng = random.Random(11)
     words = list("abcdef")
 
@@ -88,7 +91,7 @@ def test_match_by_tokens(spark, by_weight):
     schema = "media_id long, cue_idx int, tokens array<string>"
     got = sorted(
         (r.media_id, r.src_idx, r.ref_idx)
-        for r in mt.match_by_tokens(spark.createDataFrame(src, schema), spark.createDataFrame(ref, schema), by_weight).collect()
+        for r in tm.match_by_tokens(spark.createDataFrame(src, schema), spark.createDataFrame(ref, schema), by_weight, hot, chunk).collect()
     )
     want = []
     for m in range(12):
@@ -103,6 +106,47 @@ def test_match_by_tokens(spark, by_weight):
     assert got == sorted(want)
 
 
+def two_tokens(src, ref):
+    """Greedy by (weight, source, reference) of cues with at most a hot and a rare token, in linear time."""
+    taken, picks = set(), {}
+    rare = {}
+    for i, tokens in enumerate(ref):
+        for t in tokens:
+            rare.setdefault(t, []).append(i)
+    at = 0
+    for weight in (2, 1):
+        for s, tokens in enumerate(src):
+            if s in picks:
+                continue
+            near = [r for t in tokens if t != "hot" for r in rare.get(t, ()) if r not in taken and len(set(tokens) & set(ref[r])) == weight]
+            if weight == 1 and "hot" in tokens:
+                queue = rare.get("hot", [])
+                while at < len(queue) and queue[at] in taken:
+                    at += 1
+                near += queue[at : at + 1]
+            if near:
+                picks[s] = min(near)
+                taken.add(picks[s])
+    return picks
+
+
+def test_match_by_tokens_large_media(spark):
+    """One media of 200 000 cues, a word on a third of them: no task has more than a chunk."""
+    rng = random.Random(2)
+    n = 200_000
+
+    def track():
+        return [(["hot"] if rng.random() < 1 / 3 else []) + ([f"t{rng.randrange(n // 2)}"] if rng.random() < 0.3 else []) for _ in range(n)]
+
+    src, ref = track(), track()
+    frames = []
+    for side in (src, ref):
+        pdf = pd.DataFrame({"media_id": 1, "cue_idx": range(n), "t": [" ".join(x) for x in side]})
+        frames.append(spark.createDataFrame(pdf).select("media_id", F.col("cue_idx").cast("int").alias("cue_idx"), F.filter(F.split("t", " "), lambda x: x != "").alias("tokens")))
+    got = {r.src_idx: r.ref_idx for r in tm.match_by_tokens(*frames, True).collect()}
+    assert got == two_tokens(src, ref) and len(got) > 60_000
+
+
 def test_text_pairs_equals_all_pairs(spark):
     """The prefix filter loses no pair: compare with scoring every pair."""
     rng = random.Random(5)
