@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.llm.common import column_name
+from cueweave.plans.lineage import cut_lineage
 
 
 def normalised(text: Column | str) -> Column:
     """White space runs as one space; null as empty."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    # Runs that are one space already stay untouched.
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
 def hash128(text: Column) -> Column:
@@ -54,7 +56,7 @@ def groups(docs: DataFrame, content_hash: Callable[[Column], Column] = hash128)
 
 def exact_duplicates(docs: DataFrame, content_hash: Callable[[Column], Column] = hash128) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row."""
-    rows = _digests(docs, content_hash).drop("body").join(groups(docs, content_hash), ["hash", "sha"])
+    rows = cut_lineage(_digests(docs, content_hash).drop("body").join(groups(docs, content_hash), ["hash", "sha"]), "copies")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Only rows that hold the smallest id of a group of several are numbered.
     head = first & (F.col("group_size") > 1)
