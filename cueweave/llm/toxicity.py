@@ -19,7 +19,8 @@ all whole texts; a word's terms are looked up once per slice.
 
 Defined results: a null or empty text is scored by its length alone; a null id
 is held out (never learnt from) and scored; several labels of one id count as
-the largest, null labels as none; texts that repeat an id are rows of their own;
+the largest, null labels as none; texts that repeat an id are rows of their own
+(of more than ``TRAIN_ROWS`` equal rows none is read);
 without a row of both classes every score is the share of toxic rows (0 without
 any); rows that repeat come out as often as they stand; other columns of the
 table are not touched.
@@ -41,7 +42,7 @@ from cueweave.llm.common import buffers, gather, slices, starts, string_array, s
 from cueweave.plans.lineage import cut_lineage
 
 #: Most labelled rows that fitting reads, most terms in them, and what terms are hashed to.
-TRAIN_ROWS, TRAIN_TERMS, BUCKETS = 16_000, 20_000_000, 2**18
+TRAIN_ROWS, TRAIN_TERMS, BUCKETS = 16_000, 8_000_000, 2**18
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
 #: Size of the vectors, rows of a step, fewest steps and rounds over the rows, step size.
@@ -252,9 +253,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on the labelled texts that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    # An id may stand on many rows: the rows are counted, not the ids.
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(TRAIN_ROWS)
+    # An id may stand on many rows: rows are counted, by a hash of id and text.
+    keyed = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
+    first = keyed.select("key").orderBy("key").limit(TRAIN_ROWS).toArrow().column("key")
+    if len(first) == TRAIN_ROWS:
+        keyed = keyed.where(F.col("key") < first[-1].as_py())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -266,16 +269,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
                 "columns": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32))),
             })
 
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
     sample = cut_lineage(keyed.mapInArrow(read, "key long, toxic double, length int, columns array<int>"), "toxic-sample")
     sizes = sample.select("key", F.size("columns").alias("n")).toArrow().sort_by("key")
     within = np.cumsum(sizes.column("n").to_numpy()) <= TRAIN_TERMS
     if not within.all():
         sample = sample.where(F.col("key") < int(sizes.column("key")[int(np.argmin(within))].as_py()))
-    found = sample.toArrow().sort_by("key").combine_chunks()
-    lists = pa.concat_arrays(found.column("columns").chunks or [pa.array([], pa.list_(pa.int32()))])
-    count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit_machine(starts(count), lists.flatten().to_numpy(), found.column("length").to_numpy().astype(np.int64), found.column("toxic").to_numpy())
+    return fit_machine(*_training(sample))
+
+
+def _training(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and buckets of the rows, in order of their keys, their length classes and labels."""
+    found = sample.toArrow()
+    order = np.argsort(found.column("key").to_numpy(), kind="stable")
+    lists = found.column("columns").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), starts(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat, ends = gather(flat, ends, order)
+    return ends, flat, found.column("length").to_numpy()[order].astype(np.int64), found.column("toxic").to_numpy()[order]
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
