@@ -486,6 +486,21 @@ def _near_texts(s: SparkSession, d: str) -> DataFrame:
     return pairs.join(a, ["media_id", "a_idx"]).join(b, ["media_id", "b_idx"])
 
 
+#: Scorers of one's own: usual scores at other weights, and one more with a bound by lengths.
+OWN_SCORERS = (
+    *sim.scorers({"edit": 0.3, "jaccard": 0.2, "length": 0.2}),
+    sim.Scorer("starts", 0.3, lambda p, q: (F.substring(p["text"], 1, 4) == F.substring(q["text"], 1, 4)).cast("double"),
+               lambda p, q: F.when(F.least(F.length(p["text"]), 4) == F.least(F.length(q["text"]), 4), 1.0).otherwise(0.0)),
+)
+
+
+@query("similarity_own")
+def _(s, d):
+    pairs = sj.profiled(sj.profiled(_near_texts(s, d), "_a", "_p"), "_b", "_q")
+    found = sj.prune_and_score(pairs, 0.551237, scorers=OWN_SCORERS)
+    return found.select("media_id", "a_idx", "b_idx", r6("similarity").alias("similarity"))
+
+
 @query("similarity_scores")
 def _(s, d):
     pairs = _near_texts(s, d)

@@ -389,6 +389,8 @@ _SC = f"""scored AS (SELECT *, CASE WHEN len(w1) = 0 AND len(w2) = 0 THEN 1.0 EL
   FROM (SELECT *, list_filter(w1, lambda w: NOT list_contains({_list(sim.STOP_WORDS)}, w)) AS s1, list_filter(w2, lambda w: NOT list_contains({_list(sim.STOP_WORDS)}, w)) AS s2 FROM (
     SELECT *, list_filter(string_split(x, ' '), lambda w: w <> '') AS w1, list_filter(string_split(y, ' '), lambda w: w <> '') AS w2 FROM (
       SELECT media_id, a_idx, b_idx, {_norm("ta")} AS x, {_norm("tb")} AS y FROM timed))))"""
+sql("similarity_own", """SELECT media_id, a_idx, b_idx, round(t, 6) AS similarity FROM (
+  SELECT *, 0.3 * edit + 0.2 * jaccard + 0.2 * length + CASE WHEN left(x, 4) = left(y, 4) THEN 0.3 ELSE 0 END AS t FROM scored) WHERE t >= 0.551237""", LINES, TRACK_B, TIMED, _SC)
 sql("similarity_scores", """SELECT media_id, a_idx, b_idx, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine, round(edit, 6) AS edit, round(length, 6) AS length, round(common, 6) AS common,
   round(0.2 * jaccard + 0.2 * cosine + 0.15 * edit + 0.1 * length + 0.1 * common, 6) AS weighted,
   round(least(0.2, 2 * list_var_pop([jaccard, cosine, edit, length, common])) + 1e-12, 6) AS variance,

@@ -2,18 +2,22 @@
 
 Everything but the sequence ratio is a built-in expression; the ratio has no
 JVM counterpart and runs as one Arrow batch UDF on candidates that survived
-the bounds of the cheaper scores.
+the bounds of the cheaper scores. A ``Scorer`` is one score with its weight and the
+upper bound that it declares, so a weighted sum of any scorers can be pruned.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cueweave.functions import sequence
 from cueweave.functions.text import alnum_text
 
 # Words ignored by the common-words score.
@@ -32,7 +36,24 @@ ANCHOR_WEIGHTS = {"sequence": 0.3, "jaccard": 0.2, "cosine": 0.3, "edit": 0.2}
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(_ratios(a, b, None))
+
+
+@F.pandas_udf(DoubleType())
+def seq_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio where it can be ``least`` or more by the characters in common, else null."""
+    return pd.Series(_ratios(a, b, least.to_numpy()))
+
+
+def _ratios(a: pd.Series, b: pd.Series, least: np.ndarray | None) -> np.ndarray:
+    """Null texts (pairs that a guard has left out) give null."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    x, y = a[known].tolist(), b[known].tolist()
+    hopeful = np.ones(len(x), bool) if least is None else sequence.bounds(x, y) >= least[known] - 1e-9
+    picked = np.flatnonzero(hopeful).tolist()
+    out[np.flatnonzero(known)[hopeful]] = sequence.ratios([x[k] for k in picked], [y[k] for k in picked])
+    return out
 
 
 def words(text: Column) -> Column:
@@ -122,6 +143,39 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A score from 0 to 1 of two profile structs, with its weight in the sum.
+
+    ``bound`` is a cheaper column that the score never exceeds (1 if there is
+    none); scorers of lower ``cost`` are computed first. ``above`` may compute the
+    score given the least value that still matters, and give null below it.
+    ``kind`` names one of the six scores, of which a join knows more than a bound.
+    """
+
+    name: str
+    weight: float
+    score: Callable[[Column, Column], Column]
+    bound: Callable[[Column, Column], Column] | None = None
+    cost: int = 1
+    above: Callable[[Column, Column, Column], Column] | None = None
+    kind: str | None = None
+
+
+def _by_texts(fn: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda p, q: fn(p["text"], q["text"])
+
+
+def scorers(weights: dict[str, float] | None = None) -> tuple[Scorer, ...]:
+    """The six scores with ``weights`` (the combined ones if None); those without a weight are left out."""
+    known = {k.name: k for k in (
+        Scorer("sequence", 0, _by_texts(seq_ratio), _by_texts(ratio_bound), 3, lambda p, q, least: seq_ratio_from(p["text"], q["text"], least)),
+        Scorer("jaccard", 0, jaccard), Scorer("cosine", 0, cosine), Scorer("edit", 0, _by_texts(edit_similarity), _by_texts(length_ratio), 2),
+        Scorer("length", 0, _by_texts(length_ratio), cost=0), Scorer("common", 0, common_words),
+    )}
+    return tuple(replace(known[n], weight=w, kind=n) for n, w in (WEIGHTS if weights is None else weights).items())
+
+
 def position_penalty(src_idx: Column, ref_idx: Column, n_src: Column, n_ref: Column) -> Column:
     gap = F.abs(src_idx / F.greatest(F.lit(1), n_src - 1) - ref_idx / F.greatest(F.lit(1), n_ref - 1))
     return F.least(F.lit(0.3), gap * 0.5)

@@ -329,7 +329,8 @@ def merge(
     the tracks found through a translation; they serve the realignment of mixed
     sources and the enhanced merge. The other options go to the enhanced merge.
     """
-    a, b = with_style(a), with_style(b)
+    # All strategies read both tracks, most of them several times: they are computed once.
+    a, b, roles = cut_lineage(with_style(a), "track"), cut_lineage(with_style(b), "track"), cut_lineage(roles, "roles")
     chosen = cut_lineage(merge_strategy(a, b, roles, align), "strategy")
 
     def part(name: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -28,37 +28,43 @@ def total_score(weights: dict[str, float] = sim.WEIGHTS) -> Column:
     return sim.weighted({n: F.col(f"s_{n}") for n in weights}, weights)
 
 
-def scores_above(pairs: DataFrame, p: str, q: str, min_score: float) -> DataFrame:
-    """All six scores of pairs whose combined score is >= ``min_score``, cheapest score first.
+def scores_above(pairs: DataFrame, p: str, q: str, min_score: float, scorers: tuple[sim.Scorer, ...] | None = None) -> DataFrame:
+    """``s_<name>`` of every scorer, of the pairs whose weighted sum is >= ``min_score``; the cheapest score first.
 
-    Each stage keeps the pairs that perfect remaining scores could still lift
-    to the threshold: lengths alone, then the word sets, then the edit
-    distance. The sequence ratio sees what is left.
+    Each stage keeps the pairs that the declared bounds of the remaining scores
+    could still lift to the threshold, so nothing is lost whatever the scorers
+    are. The six scores with their usual weights are the default.
     """
-    x, y = F.col(p)["text"], F.col(q)["text"]
-    ratio = sim.WEIGHTS["sequence"] * F.col("_bound")
-    edit_room = sim.WEIGHTS["edit"] * F.col("s_length")
-    limit = min_score - 1e-9
-
-    def have(*names: str) -> Column:
-        return sim.weighted({n: F.col(f"s_{n}") for n in names}, {n: sim.WEIGHTS[n] for n in names})
-
-    sets = ("jaccard", "cosine", "common")
-    sized = pairs.withColumn("s_length", sim.length_ratio(x, y)).withColumn("_bound", sim.ratio_bound(x, y))
-    near = sized.where(0.5 + have("length") + ratio + edit_room >= limit)
-    hopeful = have("length", *sets) + ratio + edit_room >= limit
-    worded = pair_scores(near, p, q, sets).where(hopeful)
-    # The optimizer merges neighbouring filters; the CASE keeps the edit distance behind its guard.
-    guarded = F.when(hopeful, sim.score("edit", F.col(p), F.col(q)))
-    edited = worded.withColumn("s_edit", guarded).where(have("length", "edit", *sets) + ratio >= limit)
-    return pair_scores(edited, p, q, ("sequence",)).drop("_bound").where(total_score() >= min_score)
-
-
-def prune_and_score(pairs: DataFrame, min_score: float, p: str = "_p", q: str = "_q") -> DataFrame:
-    """``similarity`` of pairs of profiles, keeping those >= ``min_score`` (above 0)."""
-    return scores_above(pairs, p, q, min_score).withColumn("similarity", total_score()).drop(
-        p, q, *[f"s_{n}" for n in sim.WEIGHTS]
-    )
+    scorers = sim.scorers() if scorers is None else scorers
+    x, y, limit = F.col(p), F.col(q), min_score - 1e-9
+
+    def at_most(done: list[sim.Scorer], but: sim.Scorer | None = None) -> Column:
+        """What the sum can be, with the scores done and the bounds of the others (``but`` counts as 0)."""
+        parts = [k.weight * (F.col(f"s_{k.name}") if k in done else F.lit(1.0) if k.bound is None else F.col(f"_u_{k.name}")) for k in scorers if k != but]
+        return sum(parts[1:], parts[0]) if parts else F.lit(0.0)
+
+    found = pairs.withColumns({f"_u_{k.name}": k.bound(x, y) for k in scorers if k.bound})
+    done: list[sim.Scorer] = []
+    for k in sorted(scorers, key=lambda k: k.cost):
+        hopeful = at_most(done) >= limit
+        if k.above and k.weight > 0:
+            score = k.above(F.when(hopeful, x), F.when(hopeful, y), (limit - at_most(done, k)) / k.weight)
+        else:
+            # The optimizer merges neighbouring filters; the CASE keeps a costly score behind its guard.
+            score = F.when(hopeful, k.score(x, y)) if k.cost > 1 else k.score(x, y)
+        found = found.where(hopeful).withColumn(f"s_{k.name}", score)
+        done.append(k)
+    total = sim.weighted({k.name: F.col(f"s_{k.name}") for k in scorers}, {k.name: k.weight for k in scorers})
+    return found.drop(*[f"_u_{k.name}" for k in scorers]).where(total >= min_score)
+
+
+def prune_and_score(
+    pairs: DataFrame, min_score: float, p: str = "_p", q: str = "_q", scorers: tuple[sim.Scorer, ...] | None = None
+) -> DataFrame:
+    """``similarity`` of pairs of profiles by the scorers, keeping those >= ``min_score`` (above 0)."""
+    scorers = sim.scorers() if scorers is None else scorers
+    total = sim.weighted({k.name: F.col(f"s_{k.name}") for k in scorers}, {k.name: k.weight for k in scorers})
+    return scores_above(pairs, p, q, min_score, scorers).withColumn("similarity", total).drop(p, q, *[f"s_{k.name}" for k in scorers])
 
 
 def _texts(cues: DataFrame, side: str) -> DataFrame:
@@ -67,14 +73,20 @@ def _texts(cues: DataFrame, side: str) -> DataFrame:
     return norm.groupBy("media_id", f"{side}_norm").agg(F.min("cue_idx").alias(f"{side}_id"))
 
 
-def _prefix_words(texts: DataFrame, side: str, need: float) -> DataFrame:
+def _weights(scorers: tuple[sim.Scorer, ...]) -> tuple[dict[str, float], float]:
+    """Weights of the known scores, and of all others together."""
+    known = {n: sum(k.weight for k in scorers if k.kind == n) for n in sim.WEIGHTS}
+    return known, sum(k.weight for k in scorers if k.kind is None)
+
+
+def _prefix_words(texts: DataFrame, side: str, need: float, w: dict[str, float]) -> DataFrame:
     """The words of each text of which a qualifying partner must share at least one.
 
     Words are ranked by a fixed order, commonest kinds first (stop words, then
     short words). As long as sharing *only* the first words of that order keeps
-    jaccard + cosine + common / 2 below ``need``, these words cannot carry a
-    pair on their own and are left out of the join. Jaccard is bounded by the
-    share of the text's words, cosine by the root of the share of its squared
+    the weighted jaccard, cosine and common below ``need``, these words cannot
+    carry a pair on their own and are left out of the join. Jaccard is bounded by
+    the share of the text's words, cosine by the root of the share of its squared
     counts (Cauchy-Schwarz), common by the share of its non-stop words.
     """
     key = ["media_id", f"{side}_id"]
@@ -91,24 +103,29 @@ def _prefix_words(texts: DataFrame, side: str, need: float) -> DataFrame:
 
     all_solid = F.sum(solid).over(whole)
     common = F.when(all_solid > 0, F.sum(solid).over(upto) / F.greatest(all_solid, F.lit(1))).otherwise(1.0)
-    bound = share(F.lit(1)) + F.sqrt(share(squares)) + 0.5 * common
+    bound = w["jaccard"] * share(F.lit(1)) + w["cosine"] * F.sqrt(share(squares)) + w["common"] * common
     return words.withColumn("_bound", bound).where(F.col("_bound") >= need - 1e-9).select(*key, "word")
 
 
-def _similar_lengths(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
-    """Pairs of texts whose lengths let them reach ``min_score`` without a common word.
+def _least_ratio(min_score: float, w: dict[str, float], others: float) -> float:
+    """Least ratio of the shorter length to the longer that lets a pair without a common word reach ``min_score``.
 
-    With r the shorter length over the longer, such a pair scores at most
-    0.25 * 2r / (1 + r) by sequence, (0.15 + 0.1) r by edit distance and length
-    and 0.1 by common words (if neither text has any but stop words). Texts meet
-    in classes of that ratio; the lower the threshold, the fewer the classes,
-    and at 0.1 or below every pair of a media qualifies and is returned.
+    With that ratio r such a pair scores at most 2r / (1 + r) by sequence, and r by
+    edit distance and by length.
     """
     low, high = 0.0, 1.0
     for _ in range(60):
         r = (low + high) / 2
-        low, high = (r, high) if 0.5 * r / (1 + r) + 0.25 * r + 0.1 < min_score else (low, r)
-    if min_score <= 0.1:
+        enough = w["sequence"] * 2 * r / (1 + r) + (w["edit"] + w["length"]) * r + others >= min_score
+        low, high = (low, r) if enough else (r, high)
+    return low if w["sequence"] + w["edit"] + w["length"] + others >= min_score else 2.0
+
+
+def _similar_lengths(left: DataFrame, right: DataFrame, low: float) -> DataFrame:
+    """Pairs of texts of at least the ratio ``low`` of lengths; texts meet in classes of that ratio."""
+    if low > 1:
+        return left.where("false").join(right, "media_id").select("media_id", "a_id", "b_id")
+    if low <= 0:
         return left.join(right, "media_id").select("media_id", "a_id", "b_id")
     size = lambda side: F.greatest(F.length(f"{side}_norm"), F.lit(1))
     group = lambda side: F.floor(F.log(size(side)) / math.log(1 / min(low, 1 - 1e-6)) + 1e-9)
@@ -118,40 +135,115 @@ def _similar_lengths(left: DataFrame, right: DataFrame, min_score: float) -> Dat
     return a.join(b, ["media_id", "_class"]).where(near).select("media_id", "a_id", "b_id")
 
 
-def text_pairs(src: DataFrame, ref: DataFrame, min_score: float) -> DataFrame:
-    """All distinct text pairs of a media with combined similarity >= ``min_score``, exactly.
+def gram_share(min_score: float, w: dict[str, float], others: float) -> float:
+    """The share k of common two-character pieces that a pair without a common word needs; 0 or less: none.
+
+    Such a pair needs ``w_s s + w_e e >= R`` of its sequence ratio s and edit
+    similarity e, where R leaves the length ratio and all other scorers at 1. So s
+    is s1 or more, or e is e1 or more, for any s1 and e1 on that line.
+
+    * e >= e1: at most (1 - e1) L edits of the longer length L, each of which
+      touches two pieces, so (2 e1 - 1) L - 1 pieces are common.
+    * s >= s1: the blocks hold s (la + lb) / 2 characters; between two blocks lies a
+      character outside, so there are at most (1 - s)(la + lb) + 1 blocks, and
+      (3 s / 2 - 1)(la + lb) - 1 pieces inside blocks.
+
+    With ``2 e1 - 1 = 3 s1 - 2 = k`` both have ``k (la + lb) / 2 - 1`` pieces or more.
+    """
+    room = min_score - w["length"] - others
+    slope = w["sequence"] / 3 + w["edit"] / 2
+    return (room - 2 * w["sequence"] / 3 - w["edit"] / 2) / slope if slope > 0 else (1.0 if room > 0 else 0.0)
+
+
+def _common_grams(left: DataFrame, right: DataFrame, share: float, low: float) -> DataFrame:
+    """Pairs that have ``share (la + lb) / 2 - 1`` two-character pieces or more in common, at the ratio ``low`` of lengths.
 
-    Prefix filter: with every character score at its maximum of 1 a pair still
-    needs jaccard + cosine + common / 2 >= 5 (min_score - 0.5), so its rarest
-    shared word is a prefix word on both sides. The word join carries text ids
-    only; texts are attached to the distinct id pairs. Below 0.6 pairs without a
-    common word can qualify too, if their lengths are near enough: those come
-    from a join on length classes (see :func:`_similar_lengths`).
+    Pieces are told apart by their number in the text, so that they are counted
+    as often as they stand. Rare pieces of the media come first; a text needs
+    some number of common pieces with any partner, so all but that many of its
+    pieces, the rarest, hold one of them. Pairs that meet there are counted.
+    """
+    def pieces(texts: DataFrame, side: str) -> DataFrame:
+        text = F.col(f"{side}_norm")
+        each = texts.select(
+            "media_id", F.col(f"{side}_id").alias("id"), F.length(text).alias("n"),
+            F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))).alias("at", "gram"),
+        )
+        number = F.row_number().over(Window.partitionBy("media_id", "id", "gram").orderBy("at"))
+        return each.withColumn("piece", F.concat("gram", number.cast("string"))).select("media_id", "id", "n", "piece", F.lit(side).alias("side"))
+
+    long = lambda side: F.length(f"{side}_norm") > 1
+    both = cut_lineage(pieces(left.where(long("a")), "a").unionByName(pieces(right.where(long("b")), "b")), "pieces")
+    rare = both.groupBy("media_id", "piece").agg(F.count(F.lit(1)).alias("_df"), F.min("side").alias("_x"), F.max("side").alias("_y"))
+    # A piece that one track alone has can't be common.
+    known = both.join(rare.where("_x <> _y").select("media_id", "piece", "_df"), ["media_id", "piece"])
+    text = Window.partitionBy("media_id", "side", "id")
+    need = F.ceil(share * F.col("n") * (1 + low) / 2 - 1 - 1e-9)
+    ranked = known.withColumn("_lone", F.col("n") - 1 - F.count(F.lit(1)).over(text)).withColumn(
+        "_rank", F.row_number().over(text.orderBy("_df", "piece"))
+    )
+    # The pieces of one track alone are the first of any order, so they use up the places before the others.
+    prefix = ranked.where((need >= 1) & (F.col("_rank") <= F.col("n") - need - F.col("_lone"))).select("media_id", "side", "id", "n", "piece")
+    prefix = cut_lineage(prefix, "prefix")
+    side = lambda name: prefix.where(F.col("side") == name).select("media_id", F.col("id").alias(f"{name}_id"), F.col("n").alias(f"_n{name}"), "piece")
+    near = F.least("_na", "_nb") >= low * F.greatest("_na", "_nb") - 1e-9
+    met = side("a").join(side("b"), ["media_id", "piece"]).where(near).select("media_id", "a_id", "b_id", "_na", "_nb").distinct()
+    whole = both.groupBy("media_id", "side", "id").agg(F.collect_list("piece").alias("pieces"))
+    of = lambda name: whole.where(F.col("side") == name).select("media_id", F.col("id").alias(f"{name}_id"), F.col("pieces").alias(f"_{name}"))
+    counted = met.join(of("a"), ["media_id", "a_id"]).join(of("b"), ["media_id", "b_id"])
+    enough = F.size(F.array_intersect("_a", "_b")) >= share * (F.col("_na") + F.col("_nb")) / 2 - 1 - 1e-9
+    return counted.where(enough).select("media_id", "a_id", "b_id")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, min_score: float, scorers: tuple[sim.Scorer, ...]) -> DataFrame:
+    """``media_id, a_id, b_id``: the pairs of distinct texts that are to be scored; none that qualifies is missing."""
+    w, others = _weights(scorers)
+    need = min_score - others - w["sequence"] - w["edit"] - w["length"]
+    pairs = _prefix_words(left, "a", need, w).join(_prefix_words(right, "b", need, w), ["media_id", "word"]).select(
+        "media_id", "a_id", "b_id"
+    )
+    if need < w["common"] + 1e-9:
+        # Pairs without a common word: of texts that have none but stop words (these count as alike), and of others.
+        plain = lambda texts, side: texts.where(F.size(F.array_except(sim.words(F.col(f"{side}_norm")), F.array(*[F.lit(x) for x in sim.STOP_WORDS]))) == 0)
+        alike = _similar_lengths(plain(left, "a"), plain(right, "b"), _least_ratio(min_score, w, others + w["common"]))
+        pairs = pairs.unionByName(alike)
+    if need <= 1e-9:
+        low, share = _least_ratio(min_score, w, others), gram_share(min_score, w, others)
+        if share <= 0 or low <= 0:
+            pairs = pairs.unionByName(_similar_lengths(left, right, low))
+        elif low <= 1:
+            # Texts too short to need a common piece, and their partners.
+            longest = 4 / (share * (1 + low)) / low + 1
+            short = lambda texts, side: texts.where(F.length(f"{side}_norm") <= longest)
+            pairs = pairs.unionByName(_similar_lengths(short(left, "a"), short(right, "b"), low)).unionByName(_common_grams(left, right, share, low))
+    empty = left.where("a_norm = ''").join(right.where("b_norm = ''"), "media_id").select("media_id", "a_id", "b_id")
+    return pairs.unionByName(empty).distinct()
+
+
+def text_pairs(src: DataFrame, ref: DataFrame, min_score: float, scorers: tuple[sim.Scorer, ...] | None = None) -> DataFrame:
+    """All distinct text pairs of a media whose weighted scores reach ``min_score``, exactly.
+
+    Prefix filter: with every other score at its maximum of 1 a pair still needs
+    some of jaccard, cosine and common, so its rarest shared word is a prefix word
+    on both sides. The word join carries text ids only; texts are attached to the
+    distinct id pairs. Where pairs without a common word can qualify too, they
+    come from an index of two-character pieces (see :func:`gram_share`), or, at
+    thresholds that need none, from classes of similar lengths.
     ``media_id, a_id, b_id, similarity, _var`` with the texts' first indexes as ids.
     """
     if not 0.0 <= min_score <= 1.0:
         raise ValueError("a similarity threshold lies between 0 and 1")
-    need = 5.0 * (min_score - 0.5)
+    scorers = sim.scorers() if scorers is None else scorers
     left, right = cut_lineage(_texts(src, "a"), "texts"), cut_lineage(_texts(ref, "b"), "texts")
-    pairs = _prefix_words(left, "a", need).join(_prefix_words(right, "b", need), ["media_id", "word"]).select(
-        "media_id", "a_id", "b_id"
-    )
-    if min_score < 0.6:
-        pairs = pairs.unionByName(_similar_lengths(left, right, min_score))
-    pairs = pairs.distinct()
+    pairs = cut_lineage(candidate_pairs(left, right, min_score, scorers), "candidates")
     profiles_a = sim.with_profile(left, "a_norm", "_p").drop("a_norm")
     profiles_b = sim.with_profile(right, "b_norm", "_q").drop("b_norm")
     attached = pairs.join(profiles_a, ["media_id", "a_id"]).join(profiles_b, ["media_id", "b_id"])
-    full = scores_above(attached, "_p", "_q", min_score).drop("_p", "_q")
-    # Two empty texts score 1 everywhere but in cosine; a track has one such text at most.
-    empty = left.where("a_norm = ''").join(right.where("b_norm = ''"), "media_id").select("media_id", "a_id", "b_id")
-    both = full.unionByName(
-        empty.withColumns({f"s_{n}": F.lit(0.0 if n == "cosine" else 1.0) for n in sim.WEIGHTS})
+    full = scores_above(attached, "_p", "_q", min_score, scorers).drop("_p", "_q")
+    total = sim.weighted({k.name: F.col(f"s_{k.name}") for k in scorers}, {k.name: k.weight for k in scorers})
+    return full.select(
+        "media_id", "a_id", "b_id", total.alias("similarity"), sim.variance_penalty([F.col(f"s_{k.name}") for k in scorers]).alias("_var"),
     )
-    return both.select(
-        "media_id", "a_id", "b_id", total_score().alias("similarity"),
-        sim.variance_penalty([F.col(f"s_{n}") for n in sim.WEIGHTS]).alias("_var"),
-    ).where(F.col("similarity") >= min_score)
 
 
 def similarity_align(src: DataFrame, ref: DataFrame, min_confidence: float = 0.6) -> DataFrame:

@@ -166,6 +166,50 @@ def test_text_pairs_equals_all_pairs(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.36, 0.4, 0.42])
+def test_pieces_in_common(spark, threshold):
+    """Texts of slightly changed words: no pair is lost, and few are looked at in vain."""
+    rng = random.Random(9)
+    words = [["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(200)] for _ in range(4)]
+
+    def changed(word):
+        at = rng.randrange(len(word))
+        return word[:at] + rng.choice("xyz") + word[at + 1 :]
+
+    lines = [(m, [rng.choice(words[m]) for _ in range(rng.randint(1, 9))]) for m in range(4) for _ in range(50)]
+    left = [(m, i, 0, 1, " ".join(w)) for i, (m, w) in enumerate(lines)]
+    right = [(m, i, 0, 1, " ".join(changed(x) for x in w)) for i, (m, w) in enumerate(lines)]
+    schema = "media_id long, cue_idx int, start_ms long, end_ms long, text string"
+    a, b = sj._texts(spark.createDataFrame(left, schema), "a").cache(), sj._texts(spark.createDataFrame(right, schema), "b").cache()
+    every = sj.profiled(a, "a_norm", "_p").join(sj.profiled(b, "b_norm", "_q"), "media_id")
+    scored = sj.pair_scores(every, "_p", "_q").withColumn("t", sj.total_score())
+    want = {(r.media_id, r.a_id, r.b_id) for r in scored.where(F.col("t") >= threshold).collect()}
+    looked = {(r.media_id, r.a_id, r.b_id) for r in sj.candidate_pairs(a, b, threshold, sim.scorers()).collect()}
+    assert want <= looked and len(want) >= 40
+    if threshold >= 0.4:
+        assert len(looked) <= 10 * len(want)
+
+
+def test_own_scorers(spark):
+    """A weighted sum of the user's scorers, pruned by their bounds, equals the sum over all pairs."""
+    rng = random.Random(6)
+    words = "the a house mouse green river run runner night light lights nights".split()
+    rows = [[(m, i, 0, 1, " ".join(rng.choices(words, k=rng.randint(0, 5)))) for m in range(4) for i in range(12)] for _ in range(2)]
+    schema = "media_id long, cue_idx int, start_ms long, end_ms long, text string"
+    a, b = (spark.createDataFrame(r, schema) for r in rows)
+    starts = sim.Scorer("starts", 0.3, lambda p, q: (F.substring(p["text"], 1, 4) == F.substring(q["text"], 1, 4)).cast("double"), cost=0)
+    ends = sim.Scorer("ends", 0.2, lambda p, q: (F.try_element_at(p["words"], F.lit(-1)) == F.try_element_at(q["words"], F.lit(-1))).cast("double"),
+                      lambda p, q: F.when((F.size(p["words"]) > 0) & (F.size(q["words"]) > 0), 1.0).otherwise(0.0), cost=2)
+    own = (*sim.scorers({"edit": 0.3, "jaccard": 0.2}), starts, sim.Scorer("ends", 0.2, lambda p, q: F.coalesce(ends.score(p, q), F.lit(0.0)), ends.bound, 2))
+    every = sj.profiled(sj._texts(a, "a"), "a_norm", "_p").join(sj.profiled(sj._texts(b, "b"), "b_norm", "_q"), "media_id")
+    p, q = F.col("_p"), F.col("_q")
+    whole = every.withColumn("t", sum((k.weight * k.score(p, q) for k in own[1:]), own[0].weight * own[0].score(p, q)))
+    for threshold in (0.3, 0.5, 0.75):
+        want = {(r.media_id, r.a_id, r.b_id): round(r.t, 9) for r in whole.where(F.col("t") >= threshold).collect()}
+        got = {(r.media_id, r.a_id, r.b_id): round(r.similarity, 9) for r in sj.text_pairs(a, b, threshold, own).collect()}
+        assert got == want and want
+
+
 def test_text_pairs_below_common_words(spark):
     """Low thresholds reach pairs without a common word."""
     rng = random.Random(8)
