@@ -38,13 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.llm.common import buffers, gather, slices, starts, string_array, strings, texts
+from cueweave.llm.common import buffers, gather, give_back, slices, starts, string_array, strings, texts
 from cueweave.plans.lineage import cut_lineage
 
 #: Most labelled rows that fitting reads, most terms in them, and what terms are hashed to.
 TRAIN_ROWS, TRAIN_TERMS, BUCKETS = 16_000, 8_000_000, 2**18
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
+#: Bytes of text that a task handles at once.
+SLICE = 2_000_000
 #: Size of the vectors, rows of a step, fewest steps and rounds over the rows, step size.
 FACTORS, BATCH, STEPS, ROUNDS, RATE = 6, 256, 200, 3, 0.02
 #: Standard deviations from its share of toxic rows that make a bucket clear, alone or in a pair; toxic rows that it needs; buckets looked at in pairs.
@@ -260,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         keyed = keyed.where(F.col("key") < first[-1].as_py())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             words = read_words(strings(batch))
             text, found = occurrences(words)
             at = starts(np.bincount(text, minlength=batch.num_rows))
@@ -274,7 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     within = np.cumsum(sizes.column("n").to_numpy()) <= TRAIN_TERMS
     if not within.all():
         sample = sample.where(F.col("key") < int(sizes.column("key")[int(np.argmin(within))].as_py()))
-    return fit_machine(*_training(sample))
+    machine = fit_machine(*_training(sample))
+    give_back()
+    return machine
 
 
 def _training(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +296,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             found = shared.value.score(strings(batch))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": found})
 
@@ -305,7 +309,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             found = shared.value.score(pc.fill_null(strings(batch), ""))
             yield batch.filter(pa.array(found < threshold))
 
