@@ -490,7 +490,7 @@ def _near_texts(s: SparkSession, d: str) -> DataFrame:
 OWN_SCORERS = (
     *sim.scorers({"edit": 0.3, "jaccard": 0.2, "length": 0.2}),
     sim.Scorer("starts", 0.3, lambda p, q: (F.substring(p["text"], 1, 4) == F.substring(q["text"], 1, 4)).cast("double"),
-               lambda p, q: F.when(F.least(F.length(p["text"]), 4) == F.least(F.length(q["text"]), 4), 1.0).otherwise(0.0)),
+               lambda p, q: F.when(F.least(F.length(p["text"]), F.lit(4)) == F.least(F.length(q["text"]), F.lit(4)), 1.0).otherwise(0.0)),
 )
 
 
