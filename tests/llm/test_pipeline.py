@@ -139,6 +139,7 @@ def test_revisits_as_sql(spark):
 
     assert compare(QUERIES["op4_warc_revisits"](spark, SF), connect(SF), ORACLE["op4_warc_revisits"]).startswith("ok")
     assert compare(QUERIES["op8_exact_dedup"](spark, SF), connect(SF), ORACLE["op8_exact_dedup"]).startswith("ok")
+    assert compare(QUERIES["op11_decontamination"](spark, SF), connect(SF), ORACLE["op11_decontamination"]).startswith("ok")
 
 
 def test_bodies(spark):
