@@ -45,3 +45,26 @@ def test_best_pair_keeps_ties_and_bonus(spark):
     )
     got = sj.best_pair(left, right, 0.3, bonus=lambda i, j: F.greatest(F.lit(0.0), 0.1 - (i + j) * 0.005))
     assert {r.media_id: (r.a_idx, r.b_idx) for r in got.collect()} == {1: (0, 4), 2: (0, 2)}
+
+
+def test_timeline_moves_each_cue_once(spark):
+    from cueweave.operators.joins import timeline_segments
+
+    # Buckets are 60 s: a span over three of them, marks on a border, an empty and a reversed span, times below 0, a null.
+    a = [(1, 0, 0, 1_000, "a0"), (1, 1, 59_000, 185_000, "a1"), (1, 2, 60_000, 120_000, "a2"), (1, 3, 70_000, 70_000, "none"),
+         (1, 4, 90_000, 80_000, "none"), (2, 0, -500, 700, "b0"), (3, 0, 5, None, "c0"), (None, 0, 0, 9, "lost")]
+    b = [(1, 0, 500, 2_000, "z0"), (1, 1, 400_000, 401_000, ""), (1, 2, 61_000, 500_000, "z2"), (2, 0, None, 300, "y0"), (2, 1, -20, -10, "y1")]
+
+    def loop(media):
+        tracks = [[r for r in t if r[0] == media] for t in (a, b)]
+        times = sorted({t for tr in tracks for r in tr for t in r[2:4] if t is not None})
+        for t, after in zip(times, times[1:], strict=False):
+            texts = [next((r[4] for r in sorted(tr, key=lambda r: r[1]) if max(r[2] or 0, 0) <= t < max(r[3] or 0, 0)), "") for tr in tracks]
+            if t >= 0 and any(texts):
+                yield media, t, after, "\n".join(x for x in texts if x)
+
+    got = timeline_segments(_cues(spark, a), _cues(spark, b))
+    assert sorted(map(tuple, got.collect())) == sorted(r for m in (1, 2, 3) for r in loop(m))
+    # Texts pass one exchange; no join of segments with cues multiplies them.
+    plan = _plan(got)
+    assert "Join" not in plan and "segments" not in plan
