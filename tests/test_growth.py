@@ -68,3 +68,47 @@ def test_timeline_moves_each_cue_once(spark):
     # Texts pass one exchange; no join of segments with cues multiplies them.
     plan = _plan(got)
     assert "Join" not in plan and "segments" not in plan
+
+
+def test_islands_write_each_text_once(spark, monkeypatch):
+    from cueweave.operators.timing import anti_jitter
+    from cueweave.plans import ordered
+
+    seen = []
+    cut = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df, label="cut": seen.append((df.columns, _plan(df))) or cut(df, label))
+    # Chunks are 600 s: an island over the border, one that ends there, equal texts after a gap.
+    rows = [(1, 0, 0, 10, "x"), (1, 1, 50, 599_990, "x"), (1, 2, 600_000, 600_500, "x"), (1, 3, 600_700, 600_800, "x"), (1, 4, 600_800, 600_900, "y"),
+            (2, 0, 599_000, 599_999, "y"), (2, 1, 600_000, 600_001, "z"), (2, 2, 600_001, 600_002, None), (2, 3, 600_002, 600_003, None)]
+    got = anti_jitter(_cues(spark, rows)).collect()
+    assert sorted((r.media_id, r.cue_idx, r.start_ms, r.end_ms, r.n_joined) for r in got) == [
+        (1, 0, 0, 600_500, 3), (1, 3, 600_700, 600_800, 1), (1, 4, 600_800, 600_900, 1),
+        (2, 0, 599_000, 599_999, 1), (2, 1, 600_000, 600_001, 1), (2, 2, 600_001, 600_002, 1), (2, 3, 600_002, 600_003, 1)]
+    assert sorted(seen[0][0]) == ["_chunk", "_local", "cue_idx", "end_ms", "media_id", "start_ms", "text"]
+
+
+def test_equal_texts_meet_alone(spark, monkeypatch):
+    seen = []
+    candidates = sj.candidate_pairs
+    monkeypatch.setattr(sj, "candidate_pairs", lambda left, right, *rest: seen.append(left.count()) or candidates(left, right, *rest))
+    src = _cues(spark, [(1, 0, 0, 0, "the red fox runs home"), (1, 1, 0, 0, "the red fox ran home"), (1, 2, 0, 0, "!!"), (1, 3, 0, 0, "the red fox runs home")])
+    ref = _cues(spark, [(1, 0, 0, 0, "the red fox rans home"), (1, 1, 0, 0, "the red fox runs home"), (1, 2, 0, 0, "the red fox runs hom"), (1, 3, 0, 0, "the red fox runs home")])
+
+    def best(**how):
+        found = {}
+        for r in sj.text_pairs(src, ref, 0.5, **how).collect():
+            key = (r.similarity, -r.b_id, r._var)
+            found[r.a_id] = max(found.get(r.a_id, key), key)
+        return found
+
+    whole = best()
+    assert best(best=True) == whole and whole[0][1] == -1
+    # The text that both tracks have isn't looked for among the others.
+    assert seen[1] == seen[0] - 1
+
+
+def test_scores_are_computed_once(spark):
+    pairs = spark.createDataFrame([("a b c", "a b d")], "x string, y string")
+    pairs = sj.profiled(sj.profiled(pairs, "x", "_p"), "y", "_q").localCheckpoint()
+    plan = _plan(sj.prune_and_score(pairs, 0.6))
+    assert plan.count("levenshtein") <= 2 and plan.count("array_intersect") <= 8
