@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cueweave.functions import language as lg
+from cueweave.functions import text as tx
 
 
 def plan(df):
@@ -15,3 +16,11 @@ def test_counts_read_the_text_once(spark):
     rows = [("的" * 10,), ("的" * 11 + " abc",), ("的" * 9 + "かな" * 2,), ("가나다 라마바" * 3 + "的",), ("latin " * 50,), (None,), ("",)]
     found = spark.createDataFrame(rows, "a_text string").select(counted.alias("lang")).collect()
     assert [r.lang for r in found] == [None, "zh", "ja", "ko", None, "zh", None]  # a null text passes every test, as before
+
+
+def test_line_class_counts_each_script_once(spark):
+    kind = tx.line_class(F.col("line"))
+    assert str(kind).count("regexp_replace") == 2
+    rows = [("ab 的 c 的 的",), ("abc 的 的",), ("12 -",), ("",), (None,)]
+    found = spark.createDataFrame(rows, "line string").select(kind.alias("k")).collect()
+    assert [r.k for r in found] == ["cjk", "latin", "other", "other", "other"]
