@@ -84,8 +84,11 @@ def _format(fields: Column, pos: Column) -> Column:
         found = (F.array_position(fields, F.lit(name)) - 1).cast("int")
         return F.when(known & (found >= 0), found).otherwise(F.lit(fallback)).alias(name)
 
+    # Where each of the ten columns stands, -1 for those the line doesn't name.
+    places = F.transform(F.array(*[F.lit(f) for f in DEFAULT_FIELDS]), lambda name: (F.array_position(fields, name) - 1).cast("int"))
     return F.struct(
-        pos.cast("int").alias("pos"), fields.alias("fields"), F.size(fields).alias("n"), at("start", 1), at("end", 2), at("style", 3), at("text", 9)
+        pos.cast("int").alias("pos"), fields.alias("fields"), F.size(fields).alias("n"), at("start", 1), at("end", 2), at("style", 3), at("text", 9),
+        places.alias("places"),
     )
 
 
@@ -162,35 +165,40 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def parse_full(files: DataFrame) -> DataFrame:
-    """All ten dialogue columns; lines with too few fields or bad integers are dropped."""
-    def value(d: Column, name: str, default: str) -> Column:
-        pos = F.array_position(d["format"]["fields"], F.lit(name)) - 1
-        return F.when(pos >= 0, strip_ws(F.get(d["parts"], pos.cast("int")))).otherwise(F.lit(default))
+    """All ten dialogue columns; lines with too few fields or bad integers are dropped.
 
-    def number(d: Column, name: str) -> Column:
-        text = value(d, name, "0")
-        return F.when(text == "", F.lit(0)).otherwise(text.try_cast("int"))
+    Only the integers, which decide about a line, are read in the array.
+    """
+    def field(values: Column, name: str, default: str) -> Column:
+        # A whole line has all fields that its format names, so null stands for those it doesn't name.
+        return strip_ws(F.coalesce(F.get(values, F.lit(DEFAULT_FIELDS.index(name))), F.lit(default)))
+
+    def number(values: Column, name: str) -> Column:
+        return let(field(values, name, "0"), lambda t: F.when(t == "", F.lit(0)).otherwise(t.try_cast("int")))
+
+    def values(line: Column, f: Column) -> Column:
+        return let(F.split(_after_colon(line), ",", f["n"]), lambda parts: F.when(
+            F.size(parts) >= f["n"], F.transform(f["places"], lambda p: F.get(parts, p))))
 
-    def row(d: Column) -> Column:
-        raw = value(d, "text", "")
+    def row(v: Column) -> Column:
         return F.struct(
-            (F.size(d["parts"]) >= d["format"]["n"]).alias("whole"),
-            value(d, "layer", "0").try_cast("int").alias("layer"),
-            value(d, "start", "0:00:00.00").alias("start"), value(d, "end", "0:00:00.00").alias("end"),
-            value(d, "style", "Default").alias("style"), value(d, "name", "").alias("name"),
-            number(d, "marginl").alias("margin_l"), number(d, "marginr").alias("margin_r"),
-            number(d, "marginv").alias("margin_v"), value(d, "effect", "").alias("effect"),
-            clean_ass(raw).alias("text"), raw.alias("raw"),
+            v.alias("v"), field(v, "layer", "0").try_cast("int").alias("layer"), number(v, "marginl").alias("margin_l"),
+            number(v, "marginr").alias("margin_r"), number(v, "marginv").alias("margin_v"),
         )
 
+    whole = F.filter(_listed(F.col("text"), "events", "dialogue", values), lambda v: v.isNotNull())
     good = F.filter(
-        F.transform(_dialogue(F.col("text")), row),
-        lambda r: r["whole"] & r["layer"].isNotNull() & r["margin_l"].isNotNull()
-        & r["margin_r"].isNotNull() & r["margin_v"].isNotNull(),
+        F.transform(whole, row),
+        lambda r: r["layer"].isNotNull() & r["margin_l"].isNotNull() & r["margin_r"].isNotNull() & r["margin_v"].isNotNull(),
     )
+
+    def text(name: str, default: str) -> Column:
+        return field(F.col("r.v"), name, default)
+
     return rows_of(files, ["media_id"], good, "cue_idx", "r").select(
-        "media_id", "cue_idx", "r.layer", "r.start", "r.end", "r.style", "r.name", "r.margin_l",
-        "r.margin_r", "r.margin_v", "r.effect", "r.text", "r.raw",
+        "media_id", "cue_idx", "r.layer", text("start", "0:00:00.00").alias("start"), text("end", "0:00:00.00").alias("end"),
+        text("style", "Default").alias("style"), text("name", "").alias("name"), "r.margin_l", "r.margin_r", "r.margin_v",
+        text("effect", "").alias("effect"), clean_ass(text("text", "")).alias("text"), text("text", "").alias("raw"),
     )
 
 
@@ -328,7 +336,9 @@ def to_srt(files: DataFrame, preserve_bilingual: bool = True) -> DataFrame:
 
     Unlike the SRT sink nothing is dropped but empty cues.
     """
-    rows = parse_full(files).where(strip_ws(F.col("text")) != "")
+    # The text is cleaned once: a filter would be moved below the cleaning and do it again.
+    filled = F.filter(F.array("text"), lambda t: strip_ws(t) != "")
+    rows = rows_of(parse_full(files), ["media_id", "cue_idx", "start", "end"], filled, "_one", "text")
     text = cjk_first(F.col("text")) if preserve_bilingual else F.col("text")
     timed = rows.select(
         "media_id", "cue_idx", ass_time_to_srt(F.col("start")).alias("start"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions import language as lg
 from cueweave.functions import text as tx
+from cueweave.sources import ass
 
 
 def plan(df):
@@ -24,3 +25,19 @@ def test_line_class_counts_each_script_once(spark):
     rows = [("ab 的 c 的 的",), ("abc 的 的",), ("12 -",), ("",), (None,)]
     found = spark.createDataFrame(rows, "line string").select(kind.alias("k")).collect()
     assert [r.k for r in found] == ["cjk", "latin", "other", "other", "other"]
+
+
+def test_full_ass_cleans_rows_not_arrays(spark):
+    text = (
+        "[Events]\nFormat: Layer, Start, End, Text\nDialogue: 0, 0:00:01.00,0:00:02.00, {\\i1}a, b\nDialogue: x,0:00:01.00,0:00:02.00,c\n"
+        "Dialogue: 0,0:00:01.00\nDialogue: ,0:00:03.00,0:00:04.00,d\nFormat: MarginL, Text\nDialogue: ,e\nDialogue: 7,f\nDialogue: y,g\n"
+    )
+    rows = ass.parse_full(spark.createDataFrame([(1, text)], "media_id long, text string"))
+    whole = plan(rows)
+    assert "regexp_replace" not in whole[whole.index("Generate"):]
+    found = [tuple(r[c] for c in ("cue_idx", "layer", "start", "style", "name", "margin_l", "margin_r", "text", "raw")) for r in rows.orderBy("cue_idx").collect()]
+    assert found == [
+        (0, 0, "0:00:01.00", "Default", "", 0, 0, "a, b", "{\\i1}a, b"),
+        (1, 0, "0:00:00.00", "Default", "", 0, 0, "e", "e"),
+        (2, 0, "0:00:00.00", "Default", "", 7, 0, "f", "f"),
+    ]
