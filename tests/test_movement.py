@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions import language as lg
 from cueweave.functions import text as tx
+from cueweave.plans.ordered import number_rows
 from cueweave.sources import ass
 
 
@@ -41,3 +42,12 @@ def test_full_ass_cleans_rows_not_arrays(spark):
         (1, 0, "0:00:00.00", "Default", "", 0, 0, "e", "e"),
         (2, 0, "0:00:00.00", "Default", "", 7, 0, "f", "f"),
     ]
+
+
+def test_numbered_rows_join_only_later_chunks(spark):
+    rows = [(m, i, "x" * 50) for m in range(300) for i in (0, 3)] + [(300, i, "y") for i in (0, 9, 10, 25, 26)] + [(None, 1, "z"), (5, None, "z")]
+    placed = number_rows(spark.createDataFrame(rows, "media_id long, cue_idx int, text string"), ["media_id"], "cue_idx", [], "at", width=10)
+    # The two chunks of the last media with rows before them are written; nothing is counted again to be joined.
+    assert "HashAggregate" not in plan(placed)
+    found = {(r.media_id, r.cue_idx): r["at"] for r in placed.collect()}
+    assert len(found) == 605 and found[300, 26] == 4 and found[300, 10] == 2 and found[7, 3] == 1
