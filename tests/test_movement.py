@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions import language as lg
 from cueweave.functions import text as tx
+from cueweave.operators.joins import merge_from_alignments
 from cueweave.plans.ordered import number_rows
 from cueweave.sources import ass
 
@@ -51,3 +52,21 @@ def test_numbered_rows_join_only_later_chunks(spark):
     assert "HashAggregate" not in plan(placed)
     found = {(r.media_id, r.cue_idx): r["at"] for r in placed.collect()}
     assert len(found) == 605 and found[300, 26] == 4 and found[300, 10] == 2 and found[7, 3] == 1
+
+
+def test_alignments_move_each_text_once_or_twice(spark):
+    def cues(*rows):
+        return spark.createDataFrame([(m, i, s, s + 10, t) for m, i, s, t in rows], "media_id long, cue_idx int, start_ms long, end_ms long, text string")
+
+    a = cues((1, 0, 100, "a0"), (1, 1, 200, "a1"), (1, 2, 300, "a2"), (2, 0, 400, "p"), (None, 0, 1, "n"), (1, None, 2, "m"))
+    b = cues((1, 0, 150, "b0"), (1, 1, 250, "b1"), (1, 2, 350, "b2"), (2, 0, 450, "q"), (None, 0, 1, "k"))
+    # One cue in two pairs, pairs whose other cue isn't there, a media without a reference, null keys.
+    pairs = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 77), (1, 88, 2), (2, 0, 0), (1, None, 0), (None, 0, 0)], "media_id long, a_idx int, b_idx int")
+    reference = spark.createDataFrame([(1, 2)], "media_id long, reference int")
+    merged = merge_from_alignments(a, b, pairs, reference)
+    assert sum("Join" in line for line in plan(merged).splitlines()) == 3
+    got = sorted(((r.media_id, r.idx1, r.idx2, r.start_ms, r.text, r.kind) for r in merged.collect()), key=str)
+    assert got == sorted([
+        (1, 0, 0, 150, "a0\nb0", "both"), (1, 0, 1, 250, "a0\nb1", "both"), (1, 2, None, 300, "a2", "first"), (1, None, None, 2, "m", "first"),
+        (None, 0, None, 1, "n", "first"), (None, None, 0, 1, "k", "second"),
+    ], key=str)
