@@ -70,3 +70,23 @@ def test_alignments_move_each_text_once_or_twice(spark):
         (1, 0, 0, 150, "a0\nb0", "both"), (1, 0, 1, 250, "a0\nb1", "both"), (1, 2, None, 300, "a2", "first"), (1, None, None, 2, "m", "first"),
         (None, 0, None, 1, "n", "first"), (None, None, 0, 1, "k", "second"),
     ], key=str)
+
+
+def test_merge_deals_cues_out_once(spark):
+    from cueweave.operators.merge import merge
+
+    def cues(*rows):
+        return spark.createDataFrame([(m, i, s, s + 1000, t) for m, i, s, t in rows], "media_id long, cue_idx int, start_ms long, end_ms long, text string")
+
+    a, b = cues((1, 0, 0, "a"), (2, 0, 0, "c"), (3, 0, 0, "e"), (9, 0, 0, "x")), cues((1, 0, 10, "b"), (2, 0, 10, "d"), (4, 0, 0, "f"))
+    kinds = {1: "embedded", 2: "external", 3: "external", 4: "external"}
+    # The roles of one media stand twice and give no row twice; a media without roles isn't merged.
+    roles = spark.createDataFrame(
+        [(m, kinds[m], kinds[m], "english", "chinese") for m in (1, 2, 2, 3, 4)],
+        "media_id long, source1 string, source2 string, language1 string, language2 string",
+    )
+    merged = merge(a, b, roles, align=False)
+    # Only the roles of the one strategy that reads them are picked by a join.
+    assert sum("LeftSemi" in line for line in plan(merged).splitlines()) <= 6
+    got = sorted((r.media_id, r.text, r.strategy) for r in merged.collect())
+    assert got == [(1, "b\na", "preserved"), (2, "d\nc", "comprehensive"), (3, "e", "copy_first"), (4, "f", "copy_second")]
