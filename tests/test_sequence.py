@@ -51,3 +51,19 @@ def test_large_pairs():
     pairs = _texts(rng, 4, 2_000, "abcdefghijklmnopqrstuvwxyz ") + [("x" * 3_000, "x" * 3_000)]
     want = [SequenceMatcher(None, x, y).ratio() for x, y in pairs]
     assert sequence.ratios([p[0] for p in pairs], [p[1] for p in pairs]).tolist() == want
+
+
+def test_equal_and_wide():
+    """Equal texts of frequent characters alone, characters beyond 16 bits, blocks over the borders of words of bits."""
+    rng = random.Random(2)
+    pairs = [("a" * 300, "a" * 300), ("ab" * 150, "ab" * 150), ("a" * 300, "b" + "a" * 300), ("", ""), ("", "a"), ("a\U0001F600b" * 9, "b\U0001F600a" * 9)]
+    for n in (63, 64, 65, 127, 128, 129, 200):
+        x = "".join(rng.choices("abcdefgh \uFFFF", k=n))
+        pairs += [(x, x[1:] + x[:1]), (x, x + "z"), ("z" + x, x), (x[: n // 2], x), (x, x[n // 3 :] + x)]
+    want = [SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+    assert sequence.ratios([p[0] for p in pairs], [p[1] for p in pairs]).tolist() == want
+
+
+def test_equal_texts_need_no_blocks(monkeypatch):
+    monkeypatch.setattr(sequence, "_matched", None)
+    assert sequence.ratios(["same text", "", "x" * 3_000], ["same text", "", "x" * 3_000]).tolist() == [1.0] * 3
