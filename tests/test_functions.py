@@ -98,3 +98,56 @@ def test_script_borders(spark, name):
     points = {c for ranges in SCRIPTS.values() for a, b in ranges for c in (a - 1, a, a + 1, b - 1, b, b + 1)} - set(range(0xD800, 0xE000))
     rows = spark.createDataFrame([(c, chr(c)) for c in sorted(points)], "c int, v string").select("c", getattr(tx, name)(F.col("v")).alias("o")).collect()
     assert {r.c for r in rows if r.o} == {c for c in points if any(a <= c <= b for a, b in SCRIPTS[name])}
+
+
+def _plain_keywords(text):
+    import re
+    found = set()
+    for line in re.split(r"\\[Nn]|\n", re.sub(r"<[^>]+>", "", re.sub(r"\{[^}]*\}", "", text))):
+        cjk = re.search(r"[\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]", line)
+        for pos, w in enumerate(re.findall(r"[A-Za-z']+|[0-9]+", line)):
+            proper = re.fullmatch("[A-Z][A-Za-z]*[a-z][A-Za-z]*", w) and (cjk or pos > 0)
+            if (re.fullmatch("[0-9]{2,}|[A-Z]{2,}", w) or proper) and w.lower() not in kw.STOP_WORDS + kw.NOISE_WORDS:
+                found.add(w)
+    return sorted(found)
+
+
+def test_keywords_by_one_pattern(spark):
+    """Apostrophes, digits beside letters, first words with and without CJK, acronyms, stop words."""
+    texts = [
+        "Ab12 CD ab", "'Ab Cd's Ef'", "AB Cd", "  -- Hello World 5 55", "A Bb b\\NCc Dd 的 Ee\nFf Gg", "", "X", "XY'z Zz", "HELLO There", "12Ab",
+        "Ab-Cd The THE", "Ab'", "'Ab", "1 Ab", "ABc dE", "a Ab 的", "Éa Bc", "{x}Ab <i>Cd", "Ab\tCd", "...Ab'Cd Ef", "7Seven Of Nine99 007",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", kw.keywords(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in rows} == {t: _plain_keywords(t) for t in texts}
+
+
+def test_tokens_found_once_per_side(spark):
+    from cueweave.operators import anchors
+
+    cues = spark.createDataFrame([(1, 0, 0, "of Ann and 12"), (1, 1, 9, "nothing")], "media_id long, cue_idx int, start_ms long, text string")
+    pairs = anchors.keyword_pairs(cues, cues)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+    assert [(r.src_sig, r.n_shared, r.n_src, r.n_ref) for r in pairs.collect()] == [(["12", "ann"], 2, 1, 1)]
+
+
+def test_edits(spark):
+    """Few edits, many, different lengths, characters of several bytes, nulls."""
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = ["", "a", "kitten", "sitting", "的 of the long way home", "of the long way hoṁe 的", "x" * 20, "abcdefgh" * 4, "bcdefghi" * 4, "ABCDEFGH", "abcdefghi"]
+    pairs = [(a, b) for a in texts for b in texts]
+    rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select("a", "b", sim.edits(F.col("a"), F.col("b")).alias("e")).collect()
+    assert [r.e for r in rows] == [*(plain(a, b) for a, b in pairs), None]
+
+
+def test_profile_counts(spark):
+    """Texts with and without a repeated word."""
+    df = spark.createDataFrame([("a b c",), ("a b a c a b",), ("",)], "t string")
+    assert [r.p.counts for r in sim.with_profile(df, "t", "p").collect()] == [[1, 1, 1], [3, 2, 1], []]
