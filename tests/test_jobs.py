@@ -251,3 +251,38 @@ def test_quartile_spots(spark, n):
         assert [(r.a_idx, r.b_idx) for r in got] == ([(only, only)] if only in spots else [])
         if only >= 3 and n > 4:
             break
+
+
+def test_offset_vote_loops(spark):
+    """Starts far apart, times on both sides of spans, repeated and null times, ties, another tolerance."""
+    import random
+
+    rng = random.Random(4)
+    for tolerance in (0, 200, 50_000):
+        ext, emb = [], []
+        for media in range(12):
+            apart = rng.choice((40, 4_000, 90_000))
+            ext += [(media, i, rng.randrange(apart * 15)) for i in range(rng.randrange(1, 9))]
+            emb += [(media, rng.randrange(-2_000, apart * 20)) for _ in range(rng.randrange(1, 30))]
+        ext += [ext[0], (50, 0, 100), (51, 0, None)]
+        emb += [emb[0], (52, 7), (51, 3), (0, None)]
+        want = {}
+        for media in {m for m, _, t in ext if t is not None} & {m for m, t in emb if t is not None}:
+            starts = [(i, t) for m, i, t in ext if m == media and t is not None]
+            times = [t for m, t in emb if m == media and t is not None]
+            votes = lambda o: len({i for i, t in starts if any(abs(t - x - o) <= tolerance for x in times)})  # noqa: E731, B023
+            best = min((-votes(t - x), i, x, t - x) for i, t in starts for x in times)
+            want[media] = (best[3], -best[0], sum(m == media for m, _, _ in ext))
+        found = sy.offset_vote(
+            spark.createDataFrame(ext, "media_id long, ext_i int, ext_ms long"), spark.createDataFrame(emb, "media_id long, emb_ms long"), tolerance
+        )
+        assert found.dtypes == [("media_id", "bigint"), ("offset_ms", "bigint"), ("votes", "bigint"), ("n_ext", "bigint")]
+        assert {r.media_id: (r.offset_ms, r.votes, r.n_ext) for r in found.collect()} == want
+
+
+def test_offset_vote_gathers_times_alone(spark):
+    """No operator sorts the differences: single times are gathered per span."""
+    ext = spark.createDataFrame([(1, i, 4_000 * i) for i in range(15)], "media_id long, ext_i int, ext_ms long")
+    emb = spark.createDataFrame([(1, 4_000 * i) for i in range(30)], "media_id long, emb_ms long")
+    plan = sy.offset_vote(ext, emb)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate explode(sequence(") == 1
