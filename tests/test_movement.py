@@ -90,3 +90,20 @@ def test_merge_deals_cues_out_once(spark):
     assert sum("LeftSemi" in line for line in plan(merged).splitlines()) <= 6
     got = sorted((r.media_id, r.text, r.strategy) for r in merged.collect())
     assert got == [(1, "b\na", "preserved"), (2, "d\nc", "comprehensive"), (3, "e", "copy_first"), (4, "f", "copy_second")]
+
+
+def test_samples_move_references_once(spark):
+    """The language is told once, and no text is moved to cut the references to the media of one language."""
+    from cueweave.operators import anchors
+    from cueweave.operators.summary import same_language
+
+    rows = [(m, i, 4000 * i, 4000 * i + 900, f"line number {i} of film {m} is said") for m in range(3) for i in range(30)]
+    a = spark.createDataFrame(rows, "media_id long, cue_idx int, start_ms long, end_ms long, text string")
+    zh = a.withColumn("text", F.when(F.col("media_id") == 2, "的一是在不了有和人这").otherwise(F.col("text")))
+    found = anchors.anchors_all(a, zh, same_language(a, zh))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+    assert {r.media_id for r in found.where("method = 'similarity'").collect()} <= {0, 1}
+    listed = spark.createDataFrame([(1,)], "media_id long")
+    some, every = anchors.sample_anchors(a, zh, listed).collect(), anchors.sample_anchors(a, zh).where("media_id = 1").collect()
+    assert len(some) == 20 and sorted(some) == sorted(every)
