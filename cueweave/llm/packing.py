@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cueweave.llm.byte_bpe import NUMBER, char_classes
-from cueweave.llm.common import buffers, code_points, gather, slices, starts, string_array, strings, texts
+from cueweave.llm.common import batches_of, buffers, code_points, gather, slices, starts, string_array, strings, texts
 from cueweave.llm.merge_matrix import PairTable, merge_all
 from cueweave.plans.lineage import cut_lineage
 
@@ -40,6 +40,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Fewest rows of a length that are ranked together (else the square root of their number).
 BLOCK = 128
+#: Texts that a task is given at once.
+BATCH_ROWS = 1_000
 
 
 # ---- tokens ----------------------------------------------------------------------
@@ -244,7 +246,8 @@ def layout(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (any columns, with ``doc_id, piece, length``), ``sequence_id`` and ``offset``."""
     spark = found.sparkSession
-    found = cut_lineage(found.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 40))), "pieces")
+    with batches_of(spark, BATCH_ROWS):
+        found = cut_lineage(found.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 40))), "pieces")
     lengths = found.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in lengths.collect()}  # at most ``capacity`` rows
     if any(k > capacity for k in counts):

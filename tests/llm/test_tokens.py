@@ -184,3 +184,22 @@ def test_packing_many_of_one_length(spark):
     found = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"))
     rows = packing.pack(found).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 5000 and {r.sequence_id for r in rows} == set(range(2500))
+
+
+def test_packing_takes_small_batches(spark, monkeypatch):
+    """No task holds more texts than ``BATCH_ROWS`` at once; the session's setting comes back."""
+    from cueweave.llm import packing as pk
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, held = spark.conf.get(key), []
+    cut = pk.cut_lineage
+
+    def noted(df, label):
+        held.append(int(spark.conf.get(key)))
+        return cut(df, label)
+
+    monkeypatch.setattr(pk, "cut_lineage", noted)
+    docs = spark.range(30).selectExpr("id AS doc_id", "repeat('some words ', cast(id AS int) * 40) AS text")
+    rows = pk.pack_documents(docs, P.path("word_bpe_49k.json")).collect()
+    assert held == [pk.BATCH_ROWS] and spark.conf.get(key) == before
+    assert {r.doc_id for r in rows} == set(range(30))
