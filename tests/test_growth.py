@@ -1,8 +1,11 @@
 """Steps whose cost must grow with the input alone: plans and results on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from cueweave.functions import similarity as sim
 from cueweave.operators import similarity_join as sj
 from cueweave.operators.timing import even_sample
 
@@ -112,3 +115,35 @@ def test_scores_are_computed_once(spark):
     pairs = sj.profiled(sj.profiled(pairs, "x", "_p"), "y", "_q").localCheckpoint()
     plan = _plan(sj.prune_and_score(pairs, 0.6))
     assert plan.count("levenshtein") <= 2 and plan.count("array_intersect") <= 8
+
+
+def test_sequence_ratio_is_computed_once(spark):
+    pairs = spark.createDataFrame([("a b c", "a b d")], "x string, y string")
+    pairs = sj.profiled(sj.profiled(pairs, "x", "_p"), "y", "_q").localCheckpoint()
+    assert _plan(sj.prune_and_score(pairs, 0.6)).count("ArrowEvalPython") == 1
+
+
+def test_words_of_a_text_are_not_moved(spark):
+    """Prefix words come from the text's own row, by the order and the bound of the rule."""
+    texts = spark.createDataFrame([(1, 0, "the the of zebra zebra yak"), (1, 1, "the"), (1, 2, "")], "media_id long, a_id int, a_norm string")
+    w = {"jaccard": 0.2, "cosine": 0.2, "common": 0.1}
+    found = sj._prefix_words(texts, "a", 0.25, w)
+    assert "Exchange" not in _plan(found)
+    # the, of: 0.1 + 0.2 * sqrt(0.5) = 0.241; with yak 0.15 + 0.2 * sqrt(0.6) + 0.05 = 0.355.
+    assert sorted((r.a_id, r.word) for r in found.collect()) == [(0, "yak"), (0, "zebra"), (1, "the")]
+
+
+def test_sketches_bound_the_scores(spark):
+    rng = random.Random(3)
+    words = "the a of to house mouse green river running x".split() + [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(words[: rng.choice([6, 12, 400])], k=rng.choice([0, 1, 3, 8, 300]))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    p, q = F.col("_p"), F.col("_q")
+    pairs = sj.profiled(rows, "x", "_p").drop("x").crossJoin(sj.profiled(rows, "x", "_q").drop("x"))
+    known = {k.name: k for k in sim.scorers()}
+    cols = [c for n in ("jaccard", "cosine", "common", "edit", "length") for c in (known[n].score(p, q).alias(n), (known[n].bound or known[n].score)(p, q).alias(f"{n}_u"))]
+    found = pairs.select(*cols).collect()
+    assert all(r[n] <= r[f"{n}_u"] + 1e-9 for r in found for n in ("jaccard", "cosine", "common", "edit", "length"))
+    assert sum(r.jaccard_u <= r.jaccard + 0.1 for r in found) > len(found) / 2
+    brief = sim.with_brief(rows, "x", "_p").join(sj.profiled(rows, "x", "_q"), "x").where("_p.sketch <> _q.sketch or _p.text <> _q.text")
+    assert brief.isEmpty()
