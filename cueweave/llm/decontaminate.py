@@ -44,6 +44,8 @@ WINDOW, SLACK = 10, 2
 APART = 64
 #: Words of benchmark items that are looked up at once, and candidates that a search holds at once.
 ITEM_WORDS, FRONTIER = 1_000_000, 1_000_000
+#: Rows of the index, each of up to ``SLICE_BYTES`` of text, that are held at once where it is written and read.
+INDEX_ROWS = 2
 
 _KEPT = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
@@ -229,7 +231,7 @@ def search(postings: DataFrame, items: DataFrame, slack: int = SLACK, words: int
     for k, block in enumerate(blocks):
         rows = _search_block(rows, block, slack, k + 1 == len(blocks))
         if k + 1 < len(blocks):
-            rows = cut_lineage(rows, "searched")
+            rows = cut_lineage(rows, "searched", INDEX_ROWS)
     kind = rows.schema["doc_id"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,4 +263,4 @@ def report(found: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, slack: int = SLACK) -> DataFrame:
     """``report`` of documents against benchmark items, through a stored index."""
-    return report(search(cut_lineage(index(docs), "postings"), items, slack))
+    return report(search(cut_lineage(index(docs), "postings", INDEX_ROWS), items, slack))

@@ -1,15 +1,18 @@
 """Positional index against plain loops."""
 
+import glob
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from cueweave.llm import decontaminate as dc
+from cueweave.plans.lineage import noted
 
 DATA = "/root/testdata/sf0.001"
 ITEMS = [
@@ -125,3 +128,17 @@ def test_query(spark):
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     assert any(r.contaminated for r in rows.values())
+
+
+def test_large_index_rows_are_held_a_few_at_once(spark):
+    """Writers and readers hold a row group: one of all rows of a task would grow with the input."""
+    # Each text is longer than a slice, so it is a row of the index.
+    docs = spark.createDataFrame([(k, f"w{k} " * 1_400_000) for k in range(5)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("7", "w3 " * 10)], "item_id string, text string")
+    paths = []
+    with noted(paths):
+        rows = dc.contamination(docs, items).select("doc_id", "n_hit").collect()
+    assert sorted(map(tuple, rows)) == [(k, 1_400_000 if k == 3 else 0) for k in range(5)]
+    files = [pq.ParquetFile(f).metadata for path in paths if "postings" in path for f in glob.glob(f"{path}/*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 5 and max(groups) <= dc.INDEX_ROWS
