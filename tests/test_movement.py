@@ -107,3 +107,26 @@ def test_samples_move_references_once(spark):
     listed = spark.createDataFrame([(1,)], "media_id long")
     some, every = anchors.sample_anchors(a, zh, listed).collect(), anchors.sample_anchors(a, zh).where("media_id = 1").collect()
     assert len(some) == 20 and sorted(some) == sorted(every)
+
+
+def test_keep_foreign_moves_overlay_texts_once(spark):
+    """Pairs, leftovers of both sides and odd keys, out of one join."""
+    from cueweave.operators.merge import merge_keep_foreign, merge_preserved
+
+    def cues(*rows):
+        return spark.createDataFrame([(m, i, s, s + 1000, t) for m, i, s, t in rows], "media_id long, cue_idx int, start_ms long, end_ms long, text string")
+
+    english = cues((1, 0, 0, "one"), (1, 1, 20_000, "two"), (1, 0, 0, "again"), (2, 0, 0, "alone"), (None, 0, 0, "n"))
+    foreign = cues((1, 0, 100, "un"), (1, 1, 90_000, "late"), (3, 0, 0, "seul"), (None, 0, 0, "n"))
+    merged = merge_keep_foreign(english, foreign)
+    assert "LeftAnti" not in plan(merged)
+    rows = lambda df: sorted(((r.media_id, r.idx1, r.idx2, r.start_ms, r.text, r.kind) for r in df.collect()), key=str)
+    assert rows(merged) == sorted([
+        (1, 0, 0, 0, "un\none", "both"), (1, 0, 0, 0, "un\nagain", "both"), (1, 1, None, 20_000, "two", "first"), (1, None, 1, 90_000, "late", "second"),
+        (2, 0, None, 0, "alone", "first"), (3, None, 0, 0, "seul", "second"),
+    ], key=str)
+    # A media whose reference is its second track, and which drops what its first track has left over.
+    roles = spark.createDataFrame([(1, "external", "embedded", "english", "chinese")], "media_id long, source1 string, source2 string, language1 string, language2 string")
+    assert rows(merge_preserved(foreign, english, roles)) == sorted([
+        (1, 0, 0, 0, "one\nun", "both"), (1, 0, 0, 0, "again\nun", "both"), (1, None, 1, 20_000, "two", "second"),
+    ], key=str)
